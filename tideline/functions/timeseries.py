@@ -55,7 +55,11 @@ def pct_change(col: Column | str, w: WindowSpec, fill: str = "pad") -> Column:
 
 
 def rolling_std(col: Column | str, w: WindowSpec, rows: int, min_rows: int) -> Column:
-    """Sample deviation of the trailing ``rows``; NULL below ``min_rows`` non-null values."""
+    """Sample deviation of the trailing ``rows``; NULL below ``min_rows`` non-null values.
+
+    For short frames; ``operators.rolling`` has the form whose cost does not
+    grow with the frame.
+    """
     frame = _trailing(w, rows)
     c = _c(col)
     return F.when(F.count(c).over(frame) >= min_rows, F.stddev_samp(c).over(frame))
@@ -65,38 +69,6 @@ def annualize(vol: Column | str) -> Column:
     return _c(vol) * F.lit(SQRT_TRADING_DAYS)
 
 
-def rolling_zscore(col: Column | str, w: WindowSpec, rows: int, min_rows: int) -> Column:
-    """(x - mean) / sd of the trailing frame, and 0.0 on a frame of equal values.
-
-    Equality is tested by min = max, which is exact where a rolled deviation
-    could leave rounding noise.
-    """
-    frame = _trailing(w, rows)
-    c = _c(col)
-    return (
-        F.when(F.count(c).over(frame) < min_rows, F.lit(None).cast("double"))
-        .when(F.min(c).over(frame) == F.max(c).over(frame), F.lit(0.0))
-        .otherwise(safe_divide(c - F.avg(c).over(frame), F.stddev_samp(c).over(frame)))
-    )
-
-
-def rolling_corr(
-    left: Column | str, right: Column | str, w: WindowSpec, rows: int, min_rows: int
-) -> Column:
-    """Pearson correlation over complete pairs; NULL when either side is constant."""
-    frame = _trailing(w, rows)
-    x, y = _c(left), _c(right)
-    complete = x.isNotNull() & y.isNotNull()
-    x, y = F.when(complete, x), F.when(complete, y)
-    varies = (F.min(x).over(frame) < F.max(x).over(frame)) & (
-        F.min(y).over(frame) < F.max(y).over(frame)
-    )
-    ratio = safe_divide(
-        F.covar_samp(x, y).over(frame), F.stddev_samp(x).over(frame) * F.stddev_samp(y).over(frame)
-    )
-    return F.when((F.count(x).over(frame) >= min_rows) & varies, ratio)
-
-
 def base_100(col: Column | str, w: WindowSpec) -> Column:
     """Price relative to the first quoted price of the series, times 100.
 

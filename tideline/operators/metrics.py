@@ -11,11 +11,10 @@ from tideline.functions.timeseries import (
     by_series,
     drawdown,
     pct_change,
-    rolling_corr,
     rolling_std,
-    rolling_zscore,
 )
 from tideline.operators.panel import align_pairs
+from tideline.operators.rolling import correlation_of, trailing_moments, zscore_of
 from tideline.schemas import FRAME_CORRELATION, FRAME_VOL_LONG, FRAME_VOL_SHORT, FRAME_ZSCORE
 
 
@@ -38,11 +37,13 @@ def add_norm(dense: DataFrame) -> DataFrame:
 
 
 def add_zscore(dense: DataFrame) -> DataFrame:
-    return dense.withColumn("z", rolling_zscore("value", by_series(), *FRAME_ZSCORE))
+    rows, least = FRAME_ZSCORE
+    with_moments = trailing_moments(dense, rows, "value", out="_m")
+    return with_moments.withColumn("z", zscore_of(F.col("value"), F.col("_m"), least)).drop("_m")
 
 
 def add_metrics(dense: DataFrame, fill: str = "pad") -> DataFrame:
-    """Every per-series metric. All windows share one partitioning and one sort."""
+    """Every per-series metric. All windows share one partitioning by series."""
     return dense.transform(add_returns, fill).transform(add_volatility).transform(add_norm).transform(
         add_zscore
     )
@@ -50,9 +51,10 @@ def add_metrics(dense: DataFrame, fill: str = "pad") -> DataFrame:
 
 def pair_correlation(returns: DataFrame, pairs: DataFrame, value: str = "ret") -> DataFrame:
     """Rolling correlation per (pair, date)."""
+    rows, least = FRAME_CORRELATION
     aligned = align_pairs(returns, pairs, value)
-    w = by_series("pair")
-    return aligned.select("pair", "date", rolling_corr("x", "y", w, *FRAME_CORRELATION).alias("corr"))
+    moments = trailing_moments(aligned, rows, "x", "y", keys=["pair"], out="_m")
+    return moments.select("pair", "date", correlation_of(F.col("_m"), least).alias("corr"))
 
 
 def add_drawdown(panel: DataFrame) -> DataFrame:

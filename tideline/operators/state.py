@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.operators.upsert import upsert_rows
-from tideline.schemas import ASSET_CLASSES, DEFAULT_STATE_DATE, LOAD_STATE, STATE_DOCUMENT, conform
+from tideline.schemas import ASSET_CLASSES, DEFAULT_STATE_DATE, LOAD_STATE, STATE_DOCUMENT, conform, inline_rows
 
 STATE_KEYS = ["asset_class", "source"]
 
@@ -30,7 +30,7 @@ def run_plan(spark: SparkSession, selector: str = "all") -> DataFrame:
         for asset_class in classes
         if wanted in ("all", source, asset_class)
     ]
-    return spark.createDataFrame(rows, "asset_class string, source string")
+    return inline_rows(spark, rows, "asset_class string, source string")
 
 
 def parse_state_document(documents: DataFrame, column: str = "value") -> DataFrame:

@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 from tideline.operators.cleanse import history_floor
 from tideline.operators.metrics import add_metrics, pair_correlation
 from tideline.operators.panel import densify, fill_forward, keep_weekdays, map_series, with_gap
-from tideline.operators.resolve import keep_last, keep_preferred, union_all
+from tideline.operators.resolve import keep_preferred, union_all
 from tideline.operators.upsert import upsert_rows
-from tideline.session import materialize
 from tideline.schemas import (
     ASSET_CLASSES,
     BASE_COLUMNS,
@@ -31,9 +30,11 @@ from tideline.schemas import (
     ZSCORE_COLUMNS,
     conform,
     gold_schema,
+    inline_rows,
     series_dimension,
     series_rows,
 )
+from tideline.session import materialize
 from tideline.sources.lake import base_columns_only, scan_layer, scan_macro
 
 
@@ -105,15 +106,16 @@ def daily_grid(
     return fill_forward(densify(keep_weekdays(panel), calendar=weekdays), only=slow)
 
 
-def _cell(series: str, field: str) -> Column:
-    return F.max(F.when(F.col("series") == series, F.col(field)))
+def _cell(series: str, field: str, name: str) -> Column:
+    return F.expr(f"max(CASE WHEN series = '{series}' THEN {field} END) AS {name}")
 
 
 def wide_table(grid: DataFrame, return_fill: str = "pad") -> DataFrame:
     """Metrics per series, then one grouping by date into the fixed 96 columns."""
     spark = grid.sparkSession
     metrics = add_metrics(grid, return_fill)
-    pairs = spark.createDataFrame(
+    pairs = inline_rows(
+        spark,
         [(name, a, b) for name, (a, b) in CORRELATION_PAIRS.items()],
         "pair string, left_series string, right_series string",
     )
@@ -123,21 +125,18 @@ def wide_table(grid: DataFrame, return_fill: str = "pad") -> DataFrame:
         F.col("pair").alias("series"), "date", F.col("corr").alias("value")
     )
     rows = metrics.unionByName(corr, allowMissingColumns=True)
-    cells = [_cell(c, "value").alias(c) for c in BASE_COLUMNS]
+    cells = [_cell(c, "value", c) for c in BASE_COLUMNS]
     for column, prefix in METRIC_PREFIX.items():
-        cells.append(_cell(column, "ret").alias(f"{prefix}_ret"))
-        cells.append(_cell(column, "norm").alias(f"{prefix}_norm"))
-        if prefix in VOL_7D:
-            cells.append(_cell(column, "vol_7d").alias(f"{prefix}_vol_7d"))
-            cells.append(_cell(column, "vol_7d_annualized").alias(f"{prefix}_vol_7d_annualized"))
-        if prefix in VOL_30D:
-            cells.append(_cell(column, "vol_30d").alias(f"{prefix}_vol_30d"))
-    cells += [_cell(c, "z").alias(f"{c}_z") for c in ZSCORE_COLUMNS]
-    cells += [_cell(name, "value").alias(name) for name in CORRELATION_PAIRS]
+        fields = ["ret", "norm"]
+        fields += ["vol_7d", "vol_7d_annualized"] if prefix in VOL_7D else []
+        fields += ["vol_30d"] if prefix in VOL_30D else []
+        cells += [_cell(column, field, f"{prefix}_{field}") for field in fields]
+    cells += [_cell(c, "z", f"{c}_z") for c in ZSCORE_COLUMNS]
+    cells += [_cell(name, "value", name) for name in CORRELATION_PAIRS]
     wide = rows.groupBy("date").agg(*cells)
     for prefix, (left, right) in PRICE_GAPS.items():
         wide = with_gap(wide, left, right, f"{prefix}_price_diff", f"{prefix}_price_diff_pct")
-    return conform(wide, gold_schema())
+    return wide.select(*gold_schema().names)
 
 
 def build_gold(
@@ -193,8 +192,3 @@ def merge_day(existing: DataFrame, fresh: DataFrame, options: GoldOptions) -> tu
     panel = upsert_rows(old, fresh.select("series", "date", "value"), ["date"])
     calendar = existing.select("date").union(fresh.select("date")).distinct()
     return panel, options, calendar
-
-
-def newest_versions(rows: DataFrame, series_id: str) -> DataFrame:
-    """One row per (date, series): the latest transform wins."""
-    return keep_last(rows, ["date", series_id], ["transform_timestamp"])

@@ -16,7 +16,7 @@ from tideline.schemas import (
     MACRO_PROVIDERS,
 )
 from tideline.sinks.lake import write_silver
-from tideline.sources.lake import scan_layer
+from tideline.sources.lake import find_layer
 
 
 def bronze_to_silver(
@@ -28,18 +28,23 @@ def bronze_to_silver(
     day: dt.date | str | None = None,
     provider: str | None = None,
     transform_timestamp: Column | None = None,
-) -> DataFrame:
-    """Silver rows of one source and asset class, for one day when ``load_type`` is daily."""
+) -> DataFrame | None:
+    """Silver rows of one source and asset class, for one day when ``load_type`` is daily.
+
+    None when nothing has been landed there.
+    """
     schema = {
         "yfinance": BRONZE_PRICES,
         "cryptocompare": BRONZE_CRYPTO,
         "fred": BRONZE_MACRO,
         "dbnomics": BRONZE_MACRO,
     }[source]
-    bronze = scan_layer(
+    bronze = find_layer(
         spark, root, "raw", schema, source, [asset_class], [load_type], [provider], day,
-        tolerate_corrupt=source in ("dbnomics", "cryptocompare"),
+        tolerate_corrupt=source in ("dbnomics", "cryptocompare"), landed=True,
     )
+    if bronze is None:
+        return None
     if source == "yfinance":
         floor = HISTORY_FLOOR if load_type == "historical" else None
         return silver_prices(bronze, asset_class, load_type, floor, transform_timestamp)
@@ -52,12 +57,14 @@ def bronze_to_silver(
 def run_silver(spark: SparkSession, root: str, source: str, load_type: str, day: dt.date | str | None = None) -> dict:
     """Run the silver step of every asset class (and provider) routed to ``source``.
 
-    Returns the rows written per (asset class, provider).
+    Returns the rows written per (asset class, provider) that had landed files.
     """
     providers = [*MACRO_PROVIDERS, None] if source == "dbnomics" else [None]
     written = {}
     for asset_class in ROUTES[source]:
         for provider in providers:
             rows = bronze_to_silver(spark, root, source, asset_class, load_type, day, provider)
+            if rows is None:
+                continue
             written[asset_class, provider] = write_silver(rows, root, load_type, provider is not None)
     return written

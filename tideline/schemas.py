@@ -260,9 +260,23 @@ def series_rows() -> list[tuple[str, str, str, int]]:
     return rows
 
 
+def inline_rows(spark: SparkSession, rows: list[tuple], schema: T.StructType | str) -> DataFrame:
+    """A few literal rows as a plan whose small size the optimizer can see.
+
+    ``createDataFrame`` on a Python list hides its size, and a join would then
+    treat the literal side as the large one.
+    """
+    fields = (T._parse_datatype_string(schema) if isinstance(schema, str) else schema).fields
+    structs = [
+        F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for f, v in zip(fields, row)])
+        for row in rows
+    ]
+    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*structs)))
+
+
 def series_dimension(spark: SparkSession) -> DataFrame:
     """The fixed mapping as a 41-row dimension."""
-    return spark.createDataFrame(series_rows(), SERIES_DIM)
+    return inline_rows(spark, series_rows(), SERIES_DIM)
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:

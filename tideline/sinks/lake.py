@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -17,6 +18,14 @@ def _day_keys(df: DataFrame) -> DataFrame:
     })
 
 
+def _observed(seen: Observation, name: str) -> int:
+    """Observed count; a plan reduced to an empty relation reports no metrics at all."""
+    try:
+        return seen.get[name]
+    except (Py4JJavaError, KeyError):
+        return 0
+
+
 def write_layer(
     df: DataFrame, root: str, layer: str, by_day: bool, provider: bool = False, rows_per_file: int | None = None
 ) -> int:
@@ -45,7 +54,7 @@ def write_layer(
     else:
         writer = writer.mode("append")
     writer.parquet(f"{root.rstrip('/')}/{layer}")
-    return seen.get["rows"]
+    return _observed(seen, "rows")
 
 
 def write_silver(df: DataFrame, root: str, load_type: str, provider: bool = False) -> int:

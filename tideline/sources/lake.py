@@ -49,30 +49,56 @@ def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
+def from_nanoseconds(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """Turn integer nanoseconds into timestamps where ``schema`` expects a time.
+
+    Spark has no nanosecond type; such columns are read as integers and reduced
+    inside the scan's projection, so nothing is routed through the driver.
+    """
+    times = (T.TimestampType, T.TimestampNTZType, T.DateType)
+    found = {f.name: f.dataType for f in df.schema.fields}
+    return df.withColumns({
+        f.name: F.timestamp_micros(F.expr(f"`{f.name}` div 1000")).cast("timestamp_ntz")
+        for f in schema.fields
+        if isinstance(f.dataType, times) and isinstance(found.get(f.name), T.LongType)
+    })
+
+
 def scan_prefix(
-    spark: SparkSession, base: str, path: str, schema: T.StructType, tolerate_corrupt: bool = False
+    spark: SparkSession,
+    base: str,
+    path: str,
+    schema: T.StructType,
+    tolerate_corrupt: bool = False,
+    landed: bool = False,
 ) -> DataFrame | None:
     """Every Parquet file below ``path``, or None when the prefix does not exist.
 
-    The fixed schema spares a footer-reading inference job, keeps column pruning
-    and filters effective, and yields NULL for columns a file does not have.
+    The fixed schema spares the inference job, keeps column pruning and filters
+    effective, and yields NULL for columns a file does not have. ``landed``
+    files, written by other tools, are read with their own types instead and
+    converted, nanosecond timestamps included.
     """
     reader = (
-        spark.read.schema(schema)
-        .option("basePath", base)
+        spark.read.option("basePath", base)
         .option("pathGlobFilter", "*.parquet")
         .option("ignoreMissingFiles", "true")
         .option("ignoreCorruptFiles", str(tolerate_corrupt).lower())
     )
+    if landed:
+        spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
+    else:
+        reader = reader.schema(schema)
     try:
-        return conform(reader.parquet(path), schema)
+        rows = reader.parquet(path)
     except AnalysisException as err:
         if err.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
+    return conform(from_nanoseconds(rows, schema) if landed else rows, schema)
 
 
-def scan_layer(
+def find_layer(
     spark: SparkSession,
     root: str,
     layer: str,
@@ -83,11 +109,11 @@ def scan_layer(
     providers: Sequence[str | None] = (None,),
     day: dt.date | str | None = None,
     tolerate_corrupt: bool = False,
-) -> DataFrame:
+    landed: bool = False,
+) -> DataFrame | None:
     """Union of the named prefixes; ``day`` narrows the daily ones to one folder.
 
-    Prefixes that do not exist are skipped; none at all gives an empty frame of
-    the right schema.
+    Prefixes that do not exist are skipped; None when there are none at all.
     """
     base = f"{root.rstrip('/')}/{layer}"
     types = ["daily"] if day is not None else load_types
@@ -96,10 +122,16 @@ def scan_layer(
         for provider in providers:
             for load_type in types:
                 path = prefix(root, layer, asset_class, source, load_type, provider, day)
-                frame = scan_prefix(spark, base, path, schema, tolerate_corrupt)
+                frame = scan_prefix(spark, base, path, schema, tolerate_corrupt, landed)
                 if frame is not None:
                     frames.append(frame)
-    return union_all(frames) if frames else empty(spark, schema)
+    return union_all(frames) if frames else None
+
+
+def scan_layer(spark: SparkSession, root: str, layer: str, schema: T.StructType, *args, **kwargs) -> DataFrame:
+    """As :func:`find_layer`, with an empty frame of the right schema in place of None."""
+    found = find_layer(spark, root, layer, schema, *args, **kwargs)
+    return empty(spark, schema) if found is None else found
 
 
 def scan_macro(
@@ -126,21 +158,6 @@ def require_rows(df: DataFrame, what: str) -> DataFrame:
     return df
 
 
-def scan_nanosecond_prices(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
-    """Parquet whose timestamps are stored in nanoseconds, which Spark has no type for.
-
-    They are read as integers and reduced to microseconds inside the scan's
-    projection; nothing is routed through the driver.
-    """
-    spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
-    raw = spark.read.parquet(path)
-    return raw.withColumns({
-        c: F.timestamp_micros(F.expr(f"`{c}` div 1000")).cast("timestamp_ntz")
-        for c in columns
-        if isinstance(raw.schema[c].dataType, T.LongType)
-    })
-
-
 def checked_key(key: str, suffix: str) -> str:
     """Normalised object key, refused unless it ends in ``suffix``."""
     key = key.strip().lstrip("/").rstrip(".")
