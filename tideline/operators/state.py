@@ -30,6 +30,8 @@ def run_plan(spark: SparkSession, selector: str = "all") -> DataFrame:
         for asset_class in classes
         if wanted in ("all", source, asset_class)
     ]
+    if not rows:
+        raise ValueError(f"no source or asset class is called {selector!r}")
     return inline_rows(spark, rows, "asset_class string, source string")
 
 
