@@ -18,7 +18,7 @@ def spark(tmp_path_factory):
         "local[8]",
         4,
         {
-            "spark.ui.enabled": "false",
+            "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "4g",
             CHECKPOINT_CONF: str(tmp_path_factory.mktemp("shared")),
         },

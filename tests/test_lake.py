@@ -46,9 +46,9 @@ def test_silver_job_end_to_end(spark, tmp_path):
     root = str(tmp_path)
     land(bars(spark, [D(2017, 1, 2), D(2019, 1, 2)]), root, "stocks", "historical")
     land(bars(spark, [D(2024, 1, 2), D(2024, 1, 3)], close=4.0), root, "stocks", "daily")
-    assert run_silver(spark, root, "yfinance", "historical") == {("stocks", None): 1}
-    assert run_silver(spark, root, "yfinance", "daily", "2024-01-03") == {("stocks", None): 1}
-    assert run_silver(spark, root, "yfinance", "daily", "2024-01-09") == {}
+    assert run_silver(spark, root, "yfinance", "historical") == 1
+    assert run_silver(spark, root, "yfinance", "daily", "2024-01-03") == 1
+    assert run_silver(spark, root, "yfinance", "daily", "2024-01-09") == 0
     every = lake.scan_layer(spark, root, "transformed", SILVER_PRICES, "yfinance")
     assert sorted((r.date, r.load_type) for r in every.collect()) == [(D(2019, 1, 2), "historical"), (D(2024, 1, 3), "daily")]
     one = lake.scan_layer(spark, root, "transformed", SILVER_PRICES, "yfinance", day="2024-01-03")
@@ -58,7 +58,7 @@ def test_silver_job_end_to_end(spark, tmp_path):
 def test_rows_all_filtered_still_counts_zero(spark, tmp_path):
     root = str(tmp_path)
     land(bars(spark, [D(2024, 1, 2)], close=-1.0), root, "stocks", "historical")
-    assert run_silver(spark, root, "yfinance", "historical") == {("stocks", None): 0}
+    assert run_silver(spark, root, "yfinance", "historical") == 0
 
 
 def test_missing_prefix_is_typed_and_empty(spark, tmp_path):
@@ -100,7 +100,7 @@ def test_nanosecond_and_corrupt_files(spark, tmp_path):
     good = pd.concat([pdf, pdf.assign(close=1.5)])
     pq.write_table(pa.Table.from_pandas(good, preserve_index=False), folder / "a.parquet", version="2.6")
     assert "ns" in str(pq.read_schema(folder / "a.parquet").field("date").type)
-    rows = bronze_to_silver(spark, str(tmp_path), "yfinance", "stocks", "historical").collect()
+    rows = bronze_to_silver(spark, str(tmp_path), "yfinance", "historical").collect()
     assert [(r.date, r.close, r.ticker) for r in rows] == [(D(2020, 3, 2), 1.5, "N")]
     (folder / "z.parquet").write_bytes(b"not parquet")
     base = str(tmp_path / "raw")

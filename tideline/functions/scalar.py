@@ -43,7 +43,8 @@ def parse_number(col: Column | str) -> Column:
     """Lenient double: unparsable text and NaN become NULL."""
     c = _c(col).cast("string")
     # the JVM parser would take a type suffix ("1.5d"), which is not a number in a data file
-    return nan_to_null(F.when(~c.rlike(r"[\d.][dDfF]\s*$"), c).try_cast("double"))
+    suffixed = F.lower(F.substring(F.rtrim(c), -1, 1)).isin("d", "f") & ~F.lower(c).contains("inf")
+    return nan_to_null(F.when(~suffixed, c).try_cast("double"))
 
 
 def cleanse_number(col: Column | str) -> Column:

@@ -63,7 +63,7 @@ def valid_bars(df: DataFrame) -> DataFrame:
 
 def with_lineage(
     df: DataFrame,
-    asset_class: str,
+    asset_class: str | None,
     source: str,
     load_type: str,
     transform_timestamp: Column | None = None,
@@ -71,6 +71,8 @@ def with_lineage(
 ) -> DataFrame:
     """Date parts, layout keys and the audit stamp.
 
+    Without ``asset_class`` or ``provider`` the rows keep the ones they carry.
+
     Pass ``transform_timestamp`` for reproducible output; the default is the
     one query-wide current time.
     """
@@ -79,13 +81,14 @@ def with_lineage(
         "year": year,
         "month": month,
         "day": day,
-        "asset_class": F.lit(asset_class),
         "source": F.lit(source),
         "load_type": F.lit(load_type),
         "transform_timestamp": F.current_timestamp()
         if transform_timestamp is None
         else transform_timestamp,
     }
+    if asset_class is not None:
+        columns["asset_class"] = F.lit(asset_class)
     if provider is not None:
         columns["provider"] = F.lit(provider)
     return df.withColumns(columns)
@@ -93,7 +96,7 @@ def with_lineage(
 
 def silver_prices(
     bronze: DataFrame,
-    asset_class: str,
+    asset_class: str | None,
     load_type: str,
     floor: str | None = None,
     transform_timestamp: Column | None = None,
@@ -112,7 +115,7 @@ def silver_prices(
 
 def silver_crypto(
     bronze: DataFrame,
-    asset_class: str,
+    asset_class: str | None,
     load_type: str,
     process_date: str | None = None,
     transform_timestamp: Column | None = None,
@@ -129,7 +132,7 @@ def silver_crypto(
 
 def silver_macro(
     bronze: DataFrame,
-    asset_class: str,
+    asset_class: str | None,
     source: str,
     load_type: str,
     provider: str | None = None,

@@ -87,9 +87,8 @@ def densify(
     per series and are repeated on the added rows.
     """
     cal = calendar_array(panel if calendar is None else calendar)
-    days = (calendar if calendar is not None else panel).agg(
-        F.sort_array(F.collect_set("date")).alias("dates")
-    ).select(F.posexplode("dates").alias("_at", "date"))
+    one = panel.sparkSession.range(0, 1, 1, 1)
+    days = one.select(cal.alias("dates")).select(F.posexplode("dates").alias("_at", "date"))
     w = by_series()
     placed = panel.join(days, "date", "inner").select(
         "series",

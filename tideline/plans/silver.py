@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tideline.operators.cleanse import silver_crypto, silver_macro, silver_prices
 from tideline.operators.state import ROUTES
@@ -23,15 +24,14 @@ def bronze_to_silver(
     spark: SparkSession,
     root: str,
     source: str,
-    asset_class: str,
     load_type: str,
     day: dt.date | str | None = None,
-    provider: str | None = None,
     transform_timestamp: Column | None = None,
 ) -> DataFrame | None:
-    """Silver rows of one source and asset class, for one day when ``load_type`` is daily.
+    """Silver rows of every asset class routed to ``source``, as one plan.
 
-    None when nothing has been landed there.
+    ``day`` restricts a daily load to one folder per class. None when nothing
+    has been landed.
     """
     schema = {
         "yfinance": BRONZE_PRICES,
@@ -40,31 +40,32 @@ def bronze_to_silver(
         "dbnomics": BRONZE_MACRO,
     }[source]
     bronze = find_layer(
-        spark, root, "raw", schema, source, [asset_class], [load_type], [provider], day,
-        tolerate_corrupt=source in ("dbnomics", "cryptocompare"), landed=True,
+        spark, root, "raw", schema, source, ROUTES[source], [load_type],
+        [*MACRO_PROVIDERS, None] if source == "dbnomics" else [None], day,
+        tolerate_corrupt=source in ("dbnomics", "cryptocompare"), landed=True, with_keys=True,
     )
     if bronze is None:
         return None
     if source == "yfinance":
         floor = HISTORY_FLOOR if load_type == "historical" else None
-        return silver_prices(bronze, asset_class, load_type, floor, transform_timestamp)
+        return silver_prices(bronze, None, load_type, floor, transform_timestamp)
     if source == "cryptocompare":
         process_date = None if day is None else str(day)
-        return silver_crypto(bronze, asset_class, load_type, process_date, transform_timestamp)
-    return silver_macro(bronze, asset_class, source, load_type, provider, transform_timestamp)
+        return silver_crypto(bronze, None, load_type, process_date, transform_timestamp)
+    return silver_macro(bronze, None, source, load_type, None, transform_timestamp)
 
 
-def run_silver(spark: SparkSession, root: str, source: str, load_type: str, day: dt.date | str | None = None) -> dict:
-    """Run the silver step of every asset class (and provider) routed to ``source``.
-
-    Returns the rows written per (asset class, provider) that had landed files.
-    """
-    providers = [*MACRO_PROVIDERS, None] if source == "dbnomics" else [None]
-    written = {}
-    for asset_class in ROUTES[source]:
-        for provider in providers:
-            rows = bronze_to_silver(spark, root, source, asset_class, load_type, day, provider)
-            if rows is None:
-                continue
-            written[asset_class, provider] = write_silver(rows, root, load_type, provider is not None)
-    return written
+def run_silver(
+    spark: SparkSession, root: str, source: str, load_type: str, day: dt.date | str | None = None
+) -> int:
+    """Refine what has been landed for ``source`` and return the rows written."""
+    rows = bronze_to_silver(spark, root, source, load_type, day)
+    if rows is None:
+        return 0
+    if source != "dbnomics":
+        return write_silver(rows, root, load_type)
+    # rows of a named provider go to its folder, the others to the flat one
+    named = F.col("provider").isNotNull()
+    return write_silver(rows.where(named), root, load_type, provider=True) + write_silver(
+        rows.where(~named), root, load_type
+    )

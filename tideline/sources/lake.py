@@ -110,10 +110,12 @@ def find_layer(
     day: dt.date | str | None = None,
     tolerate_corrupt: bool = False,
     landed: bool = False,
+    with_keys: bool = False,
 ) -> DataFrame | None:
     """Union of the named prefixes; ``day`` narrows the daily ones to one folder.
 
     Prefixes that do not exist are skipped; None when there are none at all.
+    ``with_keys`` sets asset_class and provider from the prefix of each row.
     """
     base = f"{root.rstrip('/')}/{layer}"
     types = ["daily"] if day is not None else load_types
@@ -123,8 +125,12 @@ def find_layer(
             for load_type in types:
                 path = prefix(root, layer, asset_class, source, load_type, provider, day)
                 frame = scan_prefix(spark, base, path, schema, tolerate_corrupt, landed)
-                if frame is not None:
-                    frames.append(frame)
+                if frame is None:
+                    continue
+                if with_keys:
+                    keys = {"asset_class": F.lit(asset_class), "provider": F.lit(provider).cast("string")}
+                    frame = frame.withColumns(keys)
+                frames.append(frame)
     return union_all(frames) if frames else None
 
 

@@ -12,6 +12,7 @@ from tideline.operators import cleanse, metrics, panel, quality, resolve, state,
 from tideline.plans import gold as gold_plan
 from tideline.plans.silver import run_silver
 from tideline.schemas import (
+    BASE_COLUMNS,
     COIN_MARKET,
     SILVER_CRYPTO,
     SILVER_MACRO,
@@ -20,7 +21,7 @@ from tideline.schemas import (
     gold_schema,
     inline_rows,
 )
-from tideline.session import scratch_path
+from tideline.session import materialize, scratch_path
 from tideline.sinks import lake as sink
 from tideline.sinks.warehouse import reconcile, rows_to_append
 from tideline.sources import lake, landing
@@ -541,10 +542,9 @@ def gold_wide_metrics(spark, sf_dir):
 def gold_append(spark, sf_dir):
     """The last months appended to a published table must equal one full refresh."""
     rows = gold_plan.curated_panel(*silver_standins(spark, sf_dir), floor=GOLD_FLOOR)
-    path = scratch_path(spark, "published")
-    first = gold_plan.build_gold(cleanse.clip_dates(rows, end="2001-03-31"))
-    first.write.parquet(path)
-    existing = lake.base_columns_only(spark.read.parquet(path))
+    before = gold_plan.daily_grid(cleanse.clip_dates(rows, end="2001-03-31"))
+    published = materialize(panel.pivot_wide(before, BASE_COLUMNS), "published")
+    existing = lake.base_columns_only(published)
     fresh = cleanse.clip_dates(rows, start="2001-03-01")
     return _gold_view(gold_plan.build_gold(*gold_plan.merge_day(existing, fresh, gold_plan.GoldOptions())))
 
@@ -645,10 +645,15 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def weekly_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy(
-        _symbol(F.col("l_partkey")).alias("symbol"),
+    """Weekly close and volume per symbol: line items fold by part before the symbol is joined."""
+    by_part = table(spark, sf_dir, "lineitem").groupBy(
+        F.col("l_partkey").alias("p_partkey"),
         F.date_trunc("week", F.to_date("l_shipdate")).cast("date").alias("date"),
-    ).agg((F.max("l_extendedprice") * 100).alias("close"), F.sum("l_quantity").alias("volume"))
+    ).agg(F.max("l_extendedprice").alias("price"), F.sum("l_quantity").alias("quantity"))
+    tickers = table(spark, sf_dir, "part").select("p_partkey", _symbol(F.col("p_partkey")).alias("symbol"))
+    return by_part.join(tickers, "p_partkey").groupBy("symbol", "date").agg(
+        (F.max("price") * 100).alias("close"), F.sum("quantity").alias("volume")
+    )
 
 
 def stock_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
