@@ -42,7 +42,8 @@ def bronze_to_silver(
     bronze = find_layer(
         spark, root, "raw", schema, source, ROUTES[source], [load_type],
         [*MACRO_PROVIDERS, None] if source == "dbnomics" else [None], day,
-        tolerate_corrupt=source in ("dbnomics", "cryptocompare"), landed=True, with_keys=True,
+        tolerate_corrupt=source in ("dbnomics", "cryptocompare"),
+        skip_unreadable=source == "dbnomics", landed=True, with_keys=True,
     )
     if bronze is None:
         return None

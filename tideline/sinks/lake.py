@@ -32,9 +32,10 @@ def write_layer(
     """Write rows below ``root/layer`` and return how many were written.
 
     ``by_day`` writes one folder per data date and replaces exactly the folders
-    present in ``df``, so a re-run is idempotent; otherwise files are appended
-    to the load type's folder. Rows are rebalanced on the folder keys, which
-    gives few files per folder and splits a folder that is too big for one task.
+    present in ``df``, so a re-run is idempotent; rows are rebalanced on the
+    folder keys first, which gives few files per folder and splits a folder that
+    is too big for one task. Otherwise files are appended to the load type's
+    folder by the tasks that read them, without a shuffle.
     """
     keys = ["asset_class", "source"] + (["provider"] if provider else []) + ["load_type"]
     if by_day:
@@ -45,7 +46,9 @@ def write_layer(
     if not provider and "provider" in df.columns:
         df = df.drop("provider")
     seen = Observation()
-    out = df.observe(seen, F.count(F.lit(1)).alias("rows")).hint("rebalance", *keys)
+    out = df.observe(seen, F.count(F.lit(1)).alias("rows"))
+    if by_day:
+        out = out.hint("rebalance", *keys)
     writer = out.write.partitionBy(*keys).option("compression", "snappy")
     if rows_per_file:
         writer = writer.option("maxRecordsPerFile", rows_per_file)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,6 +11,7 @@ from pyspark.sql import types as T
 from tideline.operators.cleanse import lower_names
 from tideline.operators.upsert import newer_than
 from tideline.schemas import conform, gold_schema
+from tideline.sources.jdbc import read_mark
 
 FULL_LOAD_PARTITIONS = 8
 
@@ -21,15 +24,31 @@ def reconcile(df: DataFrame, schema: T.StructType | None = None) -> DataFrame:
     return conform(df.withColumn("date", F.to_date("date")), schema or gold_schema())
 
 
+# Column types of the warehouse.
+SQL_TYPES = {"date": "DATE", "double": "DOUBLE PRECISION"}
+
+
+def _column_sql(field: T.StructField) -> str:
+    return f"{field.name} {SQL_TYPES[field.dataType.typeName()]}"
+
+
 def create_table_sql(table: str, schema: T.StructType | None = None) -> str:
     """DDL of the warehouse table."""
-    sql_type = {"date": "DATE", "double": "DOUBLE PRECISION"}
-    columns = ",\n".join(
-        f"    {f.name} {sql_type[f.dataType.typeName()]}" for f in (schema or gold_schema()).fields
-    )
+    columns = ",\n".join(f"    {_column_sql(f)}" for f in (schema or gold_schema()).fields)
     return f"CREATE TABLE {table} (\n{columns}\n)"
 
 
+def alter_table_sql(
+    table: str, existing: Sequence[str], schema: T.StructType | None = None
+) -> list[str]:
+    """Statements that bring a table with ``existing`` columns to the current column set."""
+    fields = (schema or gold_schema()).fields
+    wanted = {f.name for f in fields}
+    return [
+        f"ALTER TABLE {table} ADD COLUMN {_column_sql(f)}" for f in fields if f.name not in existing
+    ] + [f"ALTER TABLE {table} DROP COLUMN {c}" for c in existing if c not in wanted]
+
+
 def full_load_options(conn: dict[str, str], table: str) -> dict[str, str]:
     """Options of the truncating full load, written over a fixed number of connections."""
     return {
@@ -63,8 +82,6 @@ def rows_to_append(df: DataFrame, mark: DataFrame, revise_days: int = 0) -> Data
 
 def append_new(df: DataFrame, conn: dict[str, str], table: str) -> bool:
     """Append what is newer than the table's newest date; False when there is nothing."""
-    from tideline.sources.jdbc import read_mark
-
     mark = read_mark(df.sparkSession, conn, table).withColumnRenamed("max_date", "date")
     fresh = rows_to_append(df, mark)
     if fresh.isEmpty():

@@ -64,6 +64,11 @@ def from_nanoseconds(df: DataFrame, schema: T.StructType) -> DataFrame:
     })
 
 
+def _has_files(spark: SparkSession, path: str) -> bool:
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
+    return not files.select("path").isEmpty()
+
+
 def scan_prefix(
     spark: SparkSession,
     base: str,
@@ -71,13 +76,15 @@ def scan_prefix(
     schema: T.StructType,
     tolerate_corrupt: bool = False,
     landed: bool = False,
+    skip_unreadable: bool = False,
 ) -> DataFrame | None:
-    """Every Parquet file below ``path``, or None when the prefix does not exist.
+    """Every Parquet file below ``path``, or None when there is no such file.
 
     The fixed schema spares the inference job, keeps column pruning and filters
     effective, and yields NULL for columns a file does not have. ``landed``
     files, written by other tools, are read with their own types instead and
-    converted, nanosecond timestamps included.
+    converted, nanosecond timestamps included. Landed files of which none can be
+    read are an error unless ``skip_unreadable``.
     """
     reader = (
         spark.read.option("basePath", base)
@@ -94,6 +101,10 @@ def scan_prefix(
     except AnalysisException as err:
         if err.getCondition() == "PATH_NOT_FOUND":
             return None
+        if err.getCondition() == "UNABLE_TO_INFER_SCHEMA":
+            if skip_unreadable or not _has_files(spark, path):
+                return None
+            raise ValueError(f"{path}: files found but none could be read") from err
         raise
     return conform(from_nanoseconds(rows, schema) if landed else rows, schema)
 
@@ -110,6 +121,7 @@ def find_layer(
     day: dt.date | str | None = None,
     tolerate_corrupt: bool = False,
     landed: bool = False,
+    skip_unreadable: bool = False,
     with_keys: bool = False,
 ) -> DataFrame | None:
     """Union of the named prefixes; ``day`` narrows the daily ones to one folder.
@@ -124,7 +136,9 @@ def find_layer(
         for provider in providers:
             for load_type in types:
                 path = prefix(root, layer, asset_class, source, load_type, provider, day)
-                frame = scan_prefix(spark, base, path, schema, tolerate_corrupt, landed)
+                frame = scan_prefix(
+                    spark, base, path, schema, tolerate_corrupt, landed, skip_unreadable
+                )
                 if frame is None:
                     continue
                 if with_keys:
@@ -157,13 +171,6 @@ def scan_macro(
     return union_all(frames)
 
 
-def require_rows(df: DataFrame, what: str) -> DataFrame:
-    """Fail when files were found but none could be read."""
-    if df.isEmpty():
-        raise ValueError(f"{what}: files found but no rows could be read")
-    return df
-
-
 def checked_key(key: str, suffix: str) -> str:
     """Normalised object key, refused unless it ends in ``suffix``."""
     key = key.strip().lstrip("/").rstrip(".")

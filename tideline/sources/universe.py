@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideline.operators.resolve import union_all
+from tideline.schemas import COIN_MARKET
+
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """One JSON document per file, as text."""
@@ -40,3 +43,19 @@ def grouped_ids(documents: DataFrame, section: str, column: str = "value") -> Da
     return entries.select("group", F.inline(body["series"])).select(
         "group", F.col("id").alias("series_id")
     ).where(F.col("series_id").isNotNull())
+
+
+def read_coin_pages(spark: SparkSession, path: str) -> DataFrame:
+    """Landed market pages, each a JSON array of coins."""
+    return spark.read.schema(COIN_MARKET).option("multiLine", "true").json(path)
+
+
+def read_listings(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """Landed symbol files by exchange, each a JSON array of symbols and names."""
+    return union_all([
+        spark.read.schema("symbol string, name string")
+        .option("multiLine", "true")
+        .json(path)
+        .withColumn("exchange", F.lit(exchange))
+        for exchange, path in paths.items()
+    ])
