@@ -1,4 +1,5 @@
 import datetime as dt
+import json
 
 import numpy as np
 import pandas as pd
@@ -7,6 +8,8 @@ from pyspark.sql import functions as F
 
 from tideline.operators.cleanse import clip_dates
 from tideline.plans import gold
+from tideline.plans.silver import run_silver
+from tideline.plans.warehouse import published_rows
 from tideline.schemas import (
     BASE_COLUMNS,
     MACRO_COLUMNS,
@@ -19,7 +22,7 @@ from tideline.schemas import (
     series_rows,
 )
 from tideline.sinks import lake as sink
-from tideline.sources import lake
+from tideline.sources import lake, landing
 
 D = dt.date
 TS = dt.datetime
@@ -149,17 +152,43 @@ def test_lake_refresh_publish_append(spark, tmp_path):
     root = str(tmp_path)
     days = [D(2024, 1, 2), D(2024, 1, 3), D(2024, 1, 4)]
     write_silver(spark, root, days[:2], 100.0)
-    published = f"{root}/curated/macro_market_merged.parquet"
-    first = gold.append_day(spark, root, published, "2024-01-03")  # nothing published yet: full refresh
-    sink.write_published(first, root)
+    assert gold.run_gold(spark, root, "2024-01-03").count() == 2  # nothing published yet: full refresh
     write_silver(spark, root, days[2:], 110.0)
-    out = gold.append_day(spark, root, published, "2024-01-04")
-    got = {r.date: (r.sp500, r.policy_rate_us, r.sp500_ret) for r in out.collect()}
-    assert got == {
+    want = {
         days[0]: (100.0, 5.0, None), days[1]: (101.0, 5.0, pytest.approx(0.01)),
         days[2]: (110.0, 5.0, pytest.approx(110 / 101 - 1)),
     }
-    refreshed = {tuple(r) for r in gold.full_refresh(spark, root).collect()}
-    assert refreshed == {tuple(r) for r in out.collect()}
-    csv = lake.scan_published_csv(spark, root, "curated/macro_market_merged.csv")
-    assert csv.columns == gold_schema().names and csv.count() == 2
+    for _ in range(2):  # published over the table it was read from, twice
+        out = gold.run_gold(spark, root, "2024-01-04")
+        assert {r.date: (r.sp500, r.policy_rate_us, r.sp500_ret) for r in out.collect()} == want
+    appended = {tuple(r) for r in out.collect()}
+    assert {tuple(r) for r in gold.run_gold(spark, root).collect()} == appended
+    for copy in ("curated/macro_market_merged.csv", "curated/macro_market_merged.parquet"):
+        assert {tuple(r) for r in published_rows(spark, root, copy).collect()} == appended
+    blanked = published_rows(spark, root, "curated/macro_market_merged.csv", ["policy_rate_us"])
+    assert blanked.where("policy_rate_us IS NOT NULL").isEmpty()
+
+
+def test_payloads_to_wide_table(spark, tmp_path):
+    """Landed documents through bronze and silver into the published table."""
+    root = str(tmp_path)
+    macro_doc = {"series": {"docs": [{"period": ["2024-01-02", "2024-01-04"], "value": [4.0, "NA"]}]}}
+    payload = spark.createDataFrame([("BIS/WS_CBPOL/D.XM", json.dumps(macro_doc))], "series_id string, payload string")
+    rows = landing.macro_payload_rows(payload).withColumns(
+        {"asset_class": F.lit("economic"), "source": F.lit("dbnomics"), "provider": F.lit("bis_data"), "load_type": F.lit("daily")}
+    )
+    assert sink.write_layer(rows, root, "raw", by_day=True, provider=True) == 1
+    bars = [{"time": 1704153600 + 86400 * i, "close": 100.0 + i} for i in range(3)]  # from 2024-01-02
+    crypto_doc = {"Response": "Success", "Data": {"Data": bars}}
+    payload = spark.createDataFrame([("BTC-USD", json.dumps(crypto_doc))], "ticker string, payload string")
+    rows = landing.crypto_payload_rows(payload).withColumns(
+        {"asset_class": F.lit("crypto"), "source": F.lit("cryptocompare"), "load_type": F.lit("historical")}
+    )
+    assert sink.write_layer(rows, root, "raw", by_day=False) == 3
+    assert run_silver(spark, root, "cryptocompare", "historical") == 3
+    assert run_silver(spark, root, "dbnomics", "daily", "2024-01-02") == 1
+    out = gold.run_gold(spark, root).orderBy("date").collect()
+    assert [(r.date, r.bitcoin_price_cc, r.ecb_main_rate) for r in out] == [
+        (D(2024, 1, 2), 100.0, 4.0), (D(2024, 1, 3), 101.0, 4.0), (D(2024, 1, 4), 102.0, 4.0),
+    ]
+    assert out[1].btc_cc_ret == pytest.approx(0.01) and out[2].btc_cc_norm == pytest.approx(102.0)

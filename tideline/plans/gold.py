@@ -35,9 +35,13 @@ from tideline.schemas import (
     series_rows,
 )
 from tideline.session import materialize
+from tideline.sinks.lake import write_published
 from tideline.sources.lake import base_columns_only, scan_layer, scan_macro
 
 
+PUBLISHED = "macro_market_merged"
+
+
 @dataclass(frozen=True)
 class GoldOptions:
     """Choices where more than one reading of the source data is defensible.
@@ -142,8 +146,14 @@ def wide_table(grid: DataFrame, return_fill: str = "pad") -> DataFrame:
 def build_gold(
     panel: DataFrame, options: GoldOptions = GoldOptions(), calendar: DataFrame | None = None
 ) -> DataFrame:
-    """Panel to published table. The panel is written once, then read by every branch."""
+    """Panel to published table.
+
+    The panel is written once and read by every branch. The result depends on
+    that copy only, so it may be published over the table it was built from.
+    """
     stored = materialize(panel, "panel")
+    if calendar is not None:
+        calendar = materialize(calendar, "calendar")
     grid = daily_grid(stored, calendar, fill_first=options.fill_first)
     return wide_table(grid, options.return_fill)
 
@@ -192,3 +202,18 @@ def merge_day(existing: DataFrame, fresh: DataFrame, options: GoldOptions) -> tu
     panel = upsert_rows(old, fresh.select("series", "date", "value"), ["date"])
     calendar = existing.select("date").union(fresh.select("date")).distinct()
     return panel, options, calendar
+
+
+def run_gold(
+    spark: SparkSession,
+    root: str,
+    day: dt.date | str | None = None,
+    options: GoldOptions = GoldOptions(),
+) -> DataFrame:
+    """Refresh the published table, or append ``day`` to it, and return it as published."""
+    if day is None:
+        gold = full_refresh(spark, root, options)
+    else:
+        gold = append_day(spark, root, f"{root.rstrip('/')}/curated/{PUBLISHED}.parquet", day, options)
+    parquet, _ = write_published(gold, root, PUBLISHED)
+    return spark.read.schema(gold_schema()).parquet(parquet)

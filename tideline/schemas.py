@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -266,12 +268,13 @@ def inline_rows(spark: SparkSession, rows: list[tuple], schema: T.StructType | s
     ``createDataFrame`` on a Python list hides its size, and a join would then
     treat the literal side as the large one.
     """
-    fields = (T._parse_datatype_string(schema) if isinstance(schema, str) else schema).fields
-    structs = [
-        F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for f, v in zip(fields, row)])
-        for row in rows
-    ]
-    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*structs)))
+    struct = schema if isinstance(schema, str) else ", ".join(
+        f"{f.name} {f.dataType.simpleString()}" for f in schema.fields
+    )
+    names = [f.split()[0] for f in struct.split(",")]
+    literal = json.dumps([dict(zip(names, row)) for row in rows])
+    parsed = F.from_json(F.lit(literal), "array<struct<" + struct + ">>")
+    return spark.range(0, 1, 1, 1).select(F.inline(parsed))
 
 
 def series_dimension(spark: SparkSession) -> DataFrame:
@@ -282,7 +285,7 @@ def series_dimension(spark: SparkSession) -> DataFrame:
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Project ``df`` onto ``schema``: absent columns become typed NULLs."""
     present = set(df.columns)
-    return df.select(*[
-        (F.col(f"`{f.name}`") if f.name in present else F.lit(None)).cast(f.dataType).alias(f.name)
+    return df.selectExpr(*[
+        f"CAST({f'`{f.name}`' if f.name in present else 'NULL'} AS {f.dataType.simpleString()}) AS `{f.name}`"
         for f in schema.fields
     ])
