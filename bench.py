@@ -31,7 +31,12 @@ def main() -> None:
         "bench",
         f"local[{CPUS}]",
         int(CPUS),
-        {"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "16g", "spark.log.level": "ERROR"},
+        {
+            "spark.ui.enabled": "false",
+            "spark.ui.showConsoleProgress": "false",
+            "spark.driver.memory": "16g",
+            "spark.log.level": "ERROR",
+        },
     )
     seconds, exchanges = {}, {}
     for name in CHOSEN:

@@ -131,7 +131,7 @@ def test_coin_universe(spark):
     assert [(c.coingecko_id, c.symbol, c.yahoo_symbol, c.total_volume_24h) for c in coins] == [("btc-id", "BTC", "BTC-USD", 5e6)]
 
 
-def test_configuration_documents(spark):
+def test_configuration_documents(spark, tmp_path):
     doc = {
         "stocks": [{"symbol": "A"}, {"symbol": "A"}],
         "assets": [{"yahoo_finance": "TLT", "fred": None}, {"yahoo_finance": None, "fred": "DGS1"}],
@@ -140,7 +140,8 @@ def test_configuration_documents(spark):
             "_note": "text", "bis_data": {"series": [{"id": "BIS/X/Y"}]}, "empty": {"series": []}, "bare": {},
         },
     }
-    df = spark.createDataFrame([(json.dumps(doc),)], "value string")
+    (tmp_path / "doc.json").write_text(json.dumps(doc, indent=2))
+    df = documents.read_documents(spark, str(tmp_path / "doc.json"))
     ids = lambda d: {r.series_id for r in d.collect()}
     assert ids(documents.listed_ids(df, "stocks", "symbol")) == {"A"}
     assert ids(documents.listed_ids(df, "assets", "yahoo_finance")) == {"TLT"}

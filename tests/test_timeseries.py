@@ -160,7 +160,7 @@ def test_series_do_not_leak(spark):
     assert np.isnan(collect(df.withColumn("x", ffill("value", W())), "x")[1])
 
 
-def test_unused_correlation_below_minimum(spark):
+def test_correlation_below_minimum_is_null(spark):
     rows = [("p", dt.date(2020, 1, 1), 1.0, 2.0)]
     df = spark.createDataFrame(rows, "pair string, date date, x double, y double")
     m = trailing_moments(df, 90, "x", "y", keys=["pair"])

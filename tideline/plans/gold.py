@@ -28,7 +28,6 @@ from tideline.schemas import (
     VOL_7D,
     VOL_30D,
     ZSCORE_COLUMNS,
-    conform,
     gold_schema,
     inline_rows,
     series_dimension,

@@ -84,6 +84,11 @@ def write_published(gold: DataFrame, root: str, name: str = "macro_market_merged
     return parquet, csv
 
 
-def write_rows_json(df: DataFrame, path: str) -> None:
-    """Universe or state rows as JSON lines."""
-    df.write.mode("overwrite").json(path)
+def write_universe(universe: DataFrame, header: DataFrame, path: str) -> None:
+    """Publish a universe as JSON lines with its one-row header beside it.
+
+    One line per instrument, so the file is read and written in parallel
+    whatever its length.
+    """
+    universe.write.mode("overwrite").json(f"{path}/rows")
+    header.write.mode("overwrite").json(f"{path}/header")

@@ -493,6 +493,7 @@ FROM counted GROUP BY 1, 2"""
 
 ORACLE["exchange_symbols"] = f"WITH {UNIVERSE} SELECT * FROM listed"
 ORACLE["universe_dollar_volume"] = f"WITH {UNIVERSE} SELECT * FROM universe"
+ORACLE["universe_published"] = ORACLE["universe_dollar_volume"]
 ORACLE["universe_by_exchange"] = f"WITH {UNIVERSE} SELECT exchange, count(*) AS stocks FROM universe GROUP BY 1"
 ORACLE["universe_tiers"] = f"""
 WITH {UNIVERSE}
@@ -652,6 +653,13 @@ SELECT date, upper(series) AS ticker, {_case('series', EVENT_CLASSES)} AS asset_
   '2024-02-01T00:00:00' AS fetch_timestamp
 FROM bars"""
 
+ORACLE["lake_macro_scan"] = f"""
+WITH {MACRO_ROWS}
+SELECT date, series AS indicator, value, 'economic' AS asset_class,
+  CASE series WHEN 'R' THEN 'fred' ELSE 'dbnomics' END AS data_source,
+  CASE series WHEN 'A' THEN 'imf' END AS provider, 'historical' AS load_type
+FROM macro"""
+
 ORACLE["stream_daily_upsert"] = """
 SELECT user_id, CAST(ts AS DATE) AS date, event_id, event_type, value FROM events
 QUALIFY row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts DESC, event_id DESC) = 1"""

@@ -706,6 +706,15 @@ def universe_header(spark, sf_dir):
     return head.withColumn("exchanges", F.array_join("exchanges", ","))
 
 
+@register
+def universe_published(spark, sf_dir):
+    """The universe written as JSON lines and read back."""
+    stocks = materialize(stock_universe(spark, sf_dir), "universe")
+    path = scratch_path(spark, "universe")
+    sink.write_universe(stocks, universe.universe_header(stocks, 1_000_000, "2024-01-31T00:00:00Z"), path)
+    return spark.read.schema(stocks.schema).json(f"{path}/rows")
+
+
 # Coin symbols, some of them excluded ones.
 COIN_SYMBOLS = ["btc", "usdt", "eth", "weth", "sol", "dai", "ada", "xrp"]
 
@@ -914,6 +923,30 @@ def lake_silver_scan(spark, sf_dir):
     return silver.drop("transform_timestamp")
 
 
+@register
+def lake_macro_scan(spark, sf_dir):
+    """Two macro sources landed by data date, one below a provider and flat, scanned as one."""
+    rows = macro_rows(spark, sf_dir).select(
+        F.col("series").alias("series_id"),
+        F.col("date").cast("timestamp_ntz").alias("date"),
+        "value",
+        F.lit("2024-02-01T00:00:00").alias("fetch_timestamp"),
+        F.lit("economic").alias("asset_class"),
+        F.lit("historical").alias("load_type"),
+    )
+    root = scratch_path(spark, "lake")
+    for flag, source, provider in (("R", "fred", None), ("A", "dbnomics", "imf"), ("N", "dbnomics", None)):
+        part = rows.where(F.col("series_id") == flag).withColumns(
+            {"source": F.lit(source), "provider": F.lit(provider).cast("string")}
+        )
+        sink.write_layer(part, root, "raw", by_day=False, provider=provider is not None)
+    for source in ("fred", "dbnomics"):
+        run_silver(spark, root, source, "historical")
+    return lake.scan_macro(spark, root, "transformed", SILVER_MACRO).select(
+        "date", "indicator", "value", "asset_class", "data_source", "provider", "load_type"
+    )
+
+
 @register
 def stream_daily_upsert(spark, sf_dir):
     """Events arrive as daily files; the stream keeps each user's newest event per day."""
