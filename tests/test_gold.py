@@ -177,14 +177,14 @@ def test_payloads_to_wide_table(spark, tmp_path):
     rows = landing.macro_payload_rows(payload).withColumns(
         {"asset_class": F.lit("economic"), "source": F.lit("dbnomics"), "provider": F.lit("bis_data"), "load_type": F.lit("daily")}
     )
-    assert sink.write_layer(rows, root, "raw", by_day=True, provider=True) == 1
+    assert sink.write_raw(rows, root, "daily", provider=True) == 1
     bars = [{"time": 1704153600 + 86400 * i, "close": 100.0 + i} for i in range(3)]  # from 2024-01-02
     crypto_doc = {"Response": "Success", "Data": {"Data": bars}}
     payload = spark.createDataFrame([("BTC-USD", json.dumps(crypto_doc))], "ticker string, payload string")
     rows = landing.crypto_payload_rows(payload).withColumns(
         {"asset_class": F.lit("crypto"), "source": F.lit("cryptocompare"), "load_type": F.lit("historical")}
     )
-    assert sink.write_layer(rows, root, "raw", by_day=False) == 3
+    assert sink.write_raw(rows, root, "historical") == 3
     assert run_silver(spark, root, "cryptocompare", "historical") == 3
     assert run_silver(spark, root, "dbnomics", "daily", "2024-01-02") == 1
     out = gold.run_gold(spark, root).orderBy("date").collect()

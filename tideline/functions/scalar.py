@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tideline.schemas import DIGIT_SYMBOL_EXCEPTIONS, INVALID_SYMBOL_PARTS, MISSING_TOKENS
+from tideline.schemas import DIGIT_SYMBOL_EXCEPTIONS, INVALID_SYMBOL_PARTS
 
 
 def _c(col: Column | str) -> Column:
@@ -14,8 +14,7 @@ def _c(col: Column | str) -> Column:
 
 def nan_to_null(col: Column | str) -> Column:
     """NaN is a value to Spark (and sorts above everything); make it NULL once, on ingest."""
-    c = _c(col)
-    return F.when(~F.isnan(c), c)
+    return F.nullif(_c(col), F.lit(float("nan")))
 
 
 def safe_divide(num: Column | str, den: Column | str) -> Column:
@@ -31,27 +30,28 @@ def parse_date(col: Column | str) -> Column:
 def parse_period(col: Column | str) -> Column:
     """Lenient period to first day: ``YYYY``, ``YYYY-MM``, ``YYYY-MM-DD``, ``YYYY-Qn``; else NULL."""
     text = F.trim(_c(col))
-    quarter = r"^(\d{4})-?Q([1-4])$"
-    month = (F.regexp_extract(text, quarter, 2).try_cast("int") - 1) * 3 + 1
-    first = F.concat_ws(
-        "-", F.regexp_extract(text, quarter, 1), F.lpad(month.cast("string"), 2, "0")
-    )
-    return F.coalesce(F.try_to_date(text), F.when(text.rlike(quarter), F.try_to_date(first)))
+    months = (F.right(text, F.lit(1)).try_cast("int") - 1) * 3
+    quarter = F.add_months(F.try_to_date(F.left(text, F.lit(4))), months)
+    return F.coalesce(F.try_to_date(text), F.when(text.rlike(r"^\d{4}-?Q[1-4]$"), quarter))
 
 
 def parse_number(col: Column | str) -> Column:
-    """Lenient double: unparsable text and NaN become NULL."""
-    c = _c(col).cast("string")
-    # the JVM parser would take a type suffix ("1.5d"), which is not a number in a data file
-    suffixed = F.lower(F.substring(F.rtrim(c), -1, 1)).isin("d", "f") & ~F.lower(c).contains("inf")
-    return nan_to_null(F.when(~suffixed, c).try_cast("double"))
+    """Lenient double: unparsable text and NaN become NULL.
+
+    The JVM parser would take a type suffix ("1.5d"), which is not a number in a
+    data file, so a suffix is made unparsable first.
+    """
+    text = F.regexp_replace(_c(col).cast("string"), r"(?<=[\d.])[dDfF]\s*$", "?")
+    return nan_to_null(text.try_cast("double"))
 
 
 def cleanse_number(col: Column | str) -> Column:
-    """Text number from a hand-edited CSV: missing tokens to NULL, thousands commas removed."""
-    c = _c(col).cast("string")
-    kept = F.when(~F.trim(c).isin(*MISSING_TOKENS), c)
-    return parse_number(F.regexp_replace(kept, ",", ""))
+    """Text number from a hand-edited CSV: thousands commas removed, missing tokens to NULL.
+
+    Blank, ``NA``, ``N/A``, ``null``, ``None`` and ``.`` do not parse, and
+    ``NaN`` parses to NaN; all come out as NULL.
+    """
+    return parse_number(F.replace(_c(col).cast("string"), F.lit(","), F.lit("")))
 
 
 def unix_date(col: Column | str) -> Column:

@@ -206,8 +206,6 @@ FRAME_CORRELATION = (90, 30)
 FRAME_ZSCORE = (252, 30)
 TRADING_DAYS = 252
 
-MISSING_TOKENS = ["", " ", "NA", "N/A", "NaN", "nan", "null", "None", "."]
-
 EXCLUDED_COINS = [
     "USDT", "USDC", "DAI", "BUSD", "TUSD", "USDP", "USDD", "GUSD", "FRAX",
     "WBTC", "WETH", "STETH", "WSTETH", "RETH", "CBETH", "WBETH", "HBTC",

@@ -27,23 +27,29 @@ def _observed(seen: Observation, name: str) -> int:
 
 
 def write_layer(
-    df: DataFrame, root: str, layer: str, by_day: bool, provider: bool = False, rows_per_file: int | None = None
+    df: DataFrame,
+    root: str,
+    layer: str,
+    by_day: bool,
+    provider: bool = False,
+    rows_per_file: int | None = None,
+    append: bool = False,
 ) -> int:
     """Write rows below ``root/layer`` and return how many were written.
 
-    ``by_day`` writes one folder per data date and replaces exactly the folders
-    present in ``df``, so a re-run is idempotent; rows are rebalanced on the
-    folder keys first, which gives few files per folder and splits a folder that
-    is too big for one task. Otherwise files are appended to the load type's
-    folder by the tasks that read them, without a shuffle.
+    Exactly the folders present in ``df`` are replaced, so a re-run is
+    idempotent; ``append`` adds files to them instead. ``by_day`` writes one
+    folder per data date: rows are rebalanced on the folder keys first, which
+    gives few files per folder and splits a folder that is too big for one task.
+    Otherwise the tasks that read the rows write them, without a shuffle.
     """
     keys = ["asset_class", "source"] + (["provider"] if provider else []) + ["load_type"]
     if by_day:
         df = _day_keys(df)
         keys += ["year", "month", "day"]
-    elif "year" in df.columns:
+    else:
         df = df.drop("year", "month", "day")
-    if not provider and "provider" in df.columns:
+    if not provider:
         df = df.drop("provider")
     seen = Observation()
     out = df.observe(seen, F.count(F.lit(1)).alias("rows"))
@@ -52,16 +58,19 @@ def write_layer(
     writer = out.write.partitionBy(*keys).option("compression", "snappy")
     if rows_per_file:
         writer = writer.option("maxRecordsPerFile", rows_per_file)
-    if by_day:
-        writer = writer.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    else:
-        writer = writer.mode("append")
+    writer = writer.option("partitionOverwriteMode", "dynamic").mode("append" if append else "overwrite")
     writer.parquet(f"{root.rstrip('/')}/{layer}")
     return _observed(seen, "rows")
 
 
+def write_raw(df: DataFrame, root: str, load_type: str, provider: bool = False) -> int:
+    """Landed rows: backfill batches add up, a daily load replaces the days it brings."""
+    daily = load_type == "daily"
+    return write_layer(df, root, "raw", by_day=daily, provider=provider, append=not daily)
+
+
 def write_silver(df: DataFrame, root: str, load_type: str, provider: bool = False) -> int:
-    """Silver rows, about 100,000 to a file."""
+    """Silver rows, about 100,000 to a file; a re-run replaces what it wrote before."""
     return write_layer(
         df, root, "transformed", by_day=load_type == "daily", provider=provider, rows_per_file=ROWS_PER_FILE
     )

@@ -914,8 +914,8 @@ def lake_silver_scan(spark, sf_dir):
     root = scratch_path(spark, "lake")
     early = cleanse.clip_dates(raw, end="2024-01-28")
     late = cleanse.clip_dates(raw, start="2024-01-29")
-    sink.write_layer(early.withColumn("load_type", F.lit("historical")), root, "raw", by_day=False)
-    sink.write_layer(late.withColumn("load_type", F.lit("daily")), root, "raw", by_day=True)
+    sink.write_raw(early.withColumn("load_type", F.lit("historical")), root, "historical")
+    sink.write_raw(late.withColumn("load_type", F.lit("daily")), root, "daily")
     run_silver(spark, root, "yfinance", "historical")
     for day in ("2024-01-29", "2024-01-30"):
         run_silver(spark, root, "yfinance", "daily", day)
@@ -939,7 +939,7 @@ def lake_macro_scan(spark, sf_dir):
         part = rows.where(F.col("series_id") == flag).withColumns(
             {"source": F.lit(source), "provider": F.lit(provider).cast("string")}
         )
-        sink.write_layer(part, root, "raw", by_day=False, provider=provider is not None)
+        sink.write_raw(part, root, "historical", provider=provider is not None)
     for source in ("fred", "dbnomics"):
         run_silver(spark, root, source, "historical")
     return lake.scan_macro(spark, root, "transformed", SILVER_MACRO).select(
