@@ -1,7 +1,8 @@
 """Time every registered query: one warm-up, then the median of the timed runs.
 
 Prints one JSON line. BENCH_SF_DIR and BENCH_CPUS choose data and cores,
-BENCH_RUNS the timed runs, BENCH_QUERIES a comma-separated subset.
+BENCH_RUNS the timed runs, BENCH_QUERIES a comma-separated subset. A query is
+not repeated once its timed runs have taken ten seconds together.
 """
 
 from __future__ import annotations
@@ -46,7 +47,7 @@ def main() -> None:
         plan = df._jdf.queryExecution().executedPlan().toString()
         exchanges[name] = len(re.findall(r"Exchange (?:hash|range|Single|rebalance)", plan.split("Initial Plan")[0]))
         times = []
-        for _ in range(RUNS):
+        while len(times) < RUNS and sum(times) < 10:
             start = time.perf_counter()
             run(query(spark, SF_DIR))
             times.append(time.perf_counter() - start)

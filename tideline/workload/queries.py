@@ -1,4 +1,8 @@
-"""One registered query per operator group, over the driver tables."""
+"""One registered query per operator group, over the whole driver tables.
+
+Where an operator needs dirty or missing input, faults are written into rows by
+their key; no rows are left out of any table.
+"""
 
 from __future__ import annotations
 
