@@ -51,7 +51,12 @@ def test_column_inventory():
 
 def test_panel_picks_newest_version_and_preferred_source(spark):
     t1, t2 = TS(2024, 1, 1), TS(2024, 1, 2)
-    p = prices(spark, [(D(2024, 1, 3), "^GSPC", 1.0, t1), (D(2024, 1, 3), "^GSPC", 2.0, t2), (D(2017, 1, 3), "^GSPC", 9.0, t2), (D(2024, 1, 3), "AAPL", 9.0, t2)])
+    p = prices(spark, [
+        (D(2024, 1, 3), "^GSPC", 1.0, t1),
+        (D(2024, 1, 3), "^GSPC", 2.0, t2),
+        (D(2017, 1, 3), "^GSPC", 9.0, t2),
+        (D(2024, 1, 3), "AAPL", 9.0, t2),
+    ])
     c = crypto(spark, [(D(2024, 1, 3), "BTC-USD", 5.0, t1)])
     m = macro(spark, [
         (D(2024, 1, 3), "CSCICP02JPM460S", 1.0, None), (D(2024, 1, 3), "OECD/MEI_CLI/LOLITOAA.JPN.M", 99.0, None),

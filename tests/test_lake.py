@@ -143,12 +143,16 @@ def test_conform_types_missing_columns(spark):
     assert out.first().provider is None and out.first().indicator is None
 
 
-@pytest.mark.parametrize(("key", "suffix", "want"), [(" /a/b.parquet. ", ".parquet", None), ("/a/b.PARQUET", ".parquet", "a/b.PARQUET"), ("a.csv...", ".csv", "a.csv")])
+@pytest.mark.parametrize(
+    ("key", "suffix", "want"),
+    [
+        (" /a/b.parquet. ", ".parquet", "a/b.parquet"),
+        ("/a/b.PARQUET", ".parquet", "a/b.PARQUET"),
+        ("a.csv...", ".csv", "a.csv"),
+    ],
+)
 def test_checked_key(key, suffix, want):
-    if want is None:
-        assert lake.checked_key(key, suffix) == "a/b.parquet"
-    else:
-        assert lake.checked_key(key, suffix) == want
+    assert lake.checked_key(key, suffix) == want
 
 
 def test_checked_key_refuses_other_files():

@@ -111,7 +111,8 @@ def test_price_gap(spark):
 
 
 def test_map_series_filters_and_pushes_down(spark, tmp_path, plan):
-    rows = frame(spark, [("yfinance", "^GSPC"), ("cryptocompare", "BTC-USD"), ("yfinance", "BTC-USD"), ("yfinance", "NOPE")], "source string, series_id string")
+    ids = [("yfinance", "^GSPC"), ("cryptocompare", "BTC-USD"), ("yfinance", "BTC-USD"), ("yfinance", "NOPE")]
+    rows = frame(spark, ids, "source string, series_id string")
     rows.write.parquet(str(tmp_path / "r"))
     stored = spark.read.parquet(str(tmp_path / "r"))
     out = panel.map_series(stored, series_dimension(spark), "series_id", sorted({r[1] for r in series_rows()}))
@@ -187,7 +188,8 @@ def test_correlation_matrix_matches_pandas(spark):
 
 
 def test_performance_ranks_ties(spark):
-    rows = [(s, D(2024, 1, i), v) for s, first, last in (("a", 1.0, 2.0), ("b", 2.0, 4.0), ("c", 1.0, 3.0), ("d", 0.0, 1.0)) for i, v in ((1, first), (9, last))]
+    ends = {"a": (1.0, 2.0), "b": (2.0, 4.0), "c": (1.0, 3.0), "d": (0.0, 1.0)}
+    rows = [(s, D(2024, 1, day), v) for s, pair in ends.items() for day, v in zip((1, 9), pair)]
     out = {r.series: (r.total_return, r["rank"]) for r in quality.performance(frame(spark, rows), "2024-01-01", "2024-12-31").collect()}
     assert out == {"c": (2.0, 1), "a": (1.0, 2), "b": (1.0, 2), "d": (None, 4)}
 

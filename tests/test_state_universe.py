@@ -174,13 +174,17 @@ def test_crypto_payload(spark):
         ("ETH-USD", json.dumps({"Response": "Error", "Message": "no", "Data": {"Data": bars}})),
     ]
     out = landing.crypto_payload_rows(spark.createDataFrame(rows, "ticker string, payload string"), start="1970-01-02", end="1970-01-02")
-    assert [(r.date, r.symbol, r.tsym, r.close, r.volume_from, r.ticker) for r in out.collect()] == [(D(1970, 1, 2), "BTC", "USD", 1.5, 3.0, "BTC-USD")]
+    r = out.first()
+    assert out.count() == 1
+    assert (r.date, r.symbol, r.tsym, r.close, r.volume_from) == (D(1970, 1, 2), "BTC", "USD", 1.5, 3.0)
 
 
 def test_landed_universe_files(spark, tmp_path):
     pages = tmp_path / "pages"
     pages.mkdir()
-    for i, coins in enumerate(([{"id": "a", "symbol": "aa", "total_volume": 2e6}, {"id": "b", "symbol": "bb"}], [{"id": "c", "symbol": "cc", "total_volume": 3000000}])):
+    first = [{"id": "a", "symbol": "aa", "total_volume": 2e6}, {"id": "b", "symbol": "bb"}]
+    second = [{"id": "c", "symbol": "cc", "total_volume": 3000000}]
+    for i, coins in enumerate((first, second)):
         (pages / f"{i}.json").write_text(json.dumps(coins, indent=1))
     coins = universe.coin_universe(documents.read_coin_pages(spark, str(pages)))
     assert sorted(r.symbol for r in coins.collect()) == ["AA", "CC"]
