@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import quality_votes
+from tideline.llm import quality_votes, url_models
 from tideline.llm.common import table
 from tideline.session import materialize
 
@@ -19,6 +19,12 @@ def register(fn):
     return fn
 
 
+@register
+def op1_url_models(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_models.filter_urls(pages).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 @register
 def op3_quality_votes(spark, sf_dir):
     """Counts and verdict per document; the measures are written once, as fitting and scoring both read them."""
