@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import quality_votes, url_models
+from tideline.llm import quality_votes, set_join, url_models
 from tideline.llm.common import table
 from tideline.session import materialize
 
@@ -34,3 +34,9 @@ def op3_quality_votes(spark, sf_dir):
     return scored.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+@register
+def op4_set_join(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return set_join.near_duplicates(docs, shingle=3, threshold=0.85)
