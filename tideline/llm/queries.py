@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import quality_votes, set_join, url_models
+from tideline.llm import byte_bpe, curve_packing, quality_votes, set_join, url_models
 from tideline.llm.common import table
 from tideline.session import materialize
 
@@ -40,3 +41,22 @@ def op3_quality_votes(spark, sf_dir):
 def op4_set_join(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return set_join.near_duplicates(docs, shingle=3, threshold=0.85)
+
+
+@register
+def op6_curve_packing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return curve_packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+@register
+def op10_byte_bpe(spark, sf_dir):
+    """Ids are encoded from the texts and decoded again; the digests are Spark's."""
+    vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = byte_bpe.encode(docs, *vocabulary).drop("text")
+    return byte_bpe.decode(encoded, *vocabulary).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
