@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import byte_bpe, curve_packing, quality_votes, set_join, url_models
+from tideline.llm import byte_bpe, curve_packing, quality_votes, set_join, url_models, vector_join
 from tideline.llm.common import table
 from tideline.session import materialize
 
@@ -49,6 +49,11 @@ def op6_curve_packing(spark, sf_dir):
     return curve_packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+@register
+def op8_vector_join(spark, sf_dir):
+    return vector_join.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @register
 def op10_byte_bpe(spark, sf_dir):
     """Ids are encoded from the texts and decoded again; the digests are Spark's."""

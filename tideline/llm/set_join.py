@@ -19,9 +19,8 @@ rest, few in a group of near copies, is compared with every block of the group.
 Defined results: empty and null texts have an empty set, link with nothing and
 stay; so do rows without an id, whose component is null. Texts with fewer words
 than a shingle are one shingle. Equal sets are one class, whatever the number of
-copies. Rows repeating an id with one text get equal results. Input columns named
-like an output column are replaced; all others are kept. An empty table gives an
-empty result. Shingles are compared by 64-bit and sets by 128-bit hashes.
+copies. Rows repeating an id with one text get equal results. One row is returned
+per input row, with the result's columns alone. An empty table gives an empty result. Shingles are compared by 64-bit and sets by 128-bit hashes.
 """
 
 from __future__ import annotations
