@@ -8,10 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import byte_bpe, curve_packing, quality_votes, set_join, url_models, vector_join
+from tideline.llm import byte_bpe, curve_packing, pseudonyms, quality_votes, set_join, url_models, vector_join
 from tideline.llm.common import table
 from tideline.session import materialize
 
+#: A cluster passes its own secret to hide_private; the queries need a reproducible one.
+QUERY_KEY = "tideline-query-key"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -49,6 +51,12 @@ def op6_curve_packing(spark, sf_dir):
     return curve_packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+@register
+def op7_pseudonyms(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonyms.hide_private(docs, QUERY_KEY)
+
+
 @register
 def op8_vector_join(spark, sf_dir):
     return vector_join.near_vectors(table(spark, sf_dir, "embeddings"))
