@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import byte_bpe, curve_packing, pseudonyms, quality_votes, set_join, url_models, vector_join
+from tideline.llm import byte_bpe, curve_packing, pseudonyms, quality_votes, repeats, set_join, url_models, vector_join
 from tideline.llm.common import table
 from tideline.session import materialize
 
@@ -62,6 +62,14 @@ def op8_vector_join(spark, sf_dir):
     return vector_join.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+@register
+def op9_repeats(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return repeats.remove_repeats(docs, rewrite=False).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256")
+    )
+
+
 @register
 def op10_byte_bpe(spark, sf_dir):
     """Ids are encoded from the texts and decoded again; the digests are Spark's."""
