@@ -22,6 +22,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tideline.session import materialize
+
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -175,6 +177,8 @@ def fit(measured: DataFrame, rounds: int = ROUNDS) -> list[list[float]]:
     by the kinds whose rules voted bad.
     """
     n_rules = len(RULES)
+    # written, so that no measure is worked out again inside the vote expressions
+    measured = materialize(measured.select("n_words", "measures"), "measures")
     patterns = measured.groupBy(votes().alias("v")).agg(F.count("*").cast("double").alias("n"))
     one = patterns.agg(F.array_sort(F.collect_list(F.struct("v", "n"))).alias("p"))
 
