@@ -6,12 +6,21 @@ return the columns of ``documents``. A stage works on all that its predecessor k
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tideline.llm import quality_votes
+from tideline.llm import curve_packing, pseudonyms, quality_votes, repeats, set_join
 from tideline.session import materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: A cluster sets its own secret; equal secrets give equal pseudonyms.
+KEY_CONF, DEFAULT_KEY = "spark.tideline.pseudonym.key", "tideline-pipeline-key"
+
+
+def _columns(docs: DataFrame) -> DataFrame:
+    """The columns of documents, n_chars counted again."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,8 +28,33 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality_votes.judge_quality(docs).where("kept").select(*COLUMNS)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each class of near-duplicates; rows without an id stay."""
+    kept = set_join.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL")).select(*COLUMNS)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents without the byte strings that an earlier one has."""
+    return _columns(repeats.remove_repeats(docs))
+
+
+def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with pseudonyms for private data."""
+    return _columns(pseudonyms.hide_private(docs, spark.conf.get(KEY_CONF, DEFAULT_KEY)))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the training sequences, with their ids."""
+    return curve_packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True)
+
+
 STAGES = [
     ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("private_data", private_data),
+    ("packing", packing),
 ]
 
 #: The last stages (byte-level matches, keyed permutations, a learned tokenizer) are beyond SQL.
