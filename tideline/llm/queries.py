@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import byte_bpe, curve_packing, pseudonyms, quality_votes, repeats, set_join, url_models, vector_join
+from tideline.llm import (
+    byte_bpe,
+    curve_packing,
+    graded_quality,
+    language_model,
+    pseudonyms,
+    quality_votes,
+    repeats,
+    set_join,
+    url_models,
+    vector_join,
+)
 from tideline.llm.common import table
 from tideline.session import materialize
 
@@ -28,6 +39,17 @@ def op1_url_models(spark, sf_dir):
     return url_models.filter_urls(pages).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+@register
+def op2_graded_quality(spark, sf_dir):
+    """Grades from the labels: 0 poor, 1 good but toxic, 2 good and clean."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").dropDuplicates(["doc_id"])
+    rated = docs.join(labels, "doc_id").withColumn(
+        "grade", F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2)
+    )
+    return graded_quality.classify(docs, rated).select("doc_id", "expected_grade", "tail", "kept")
+
+
 @register
 def op3_quality_votes(spark, sf_dir):
     """Counts and verdict per document; the measures are written once, as fitting and scoring both read them."""
@@ -45,6 +67,11 @@ def op4_set_join(spark, sf_dir):
     return set_join.near_duplicates(docs, shingle=3, threshold=0.85)
 
 
+@register
+def op5_language_model(spark, sf_dir):
+    return language_model.score_documents(table(spark, sf_dir, "documents"))
+
+
 @register
 def op6_curve_packing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
