@@ -31,9 +31,9 @@ from pyspark.sql import types as T
 
 from tideline.llm.common import batch, tokens, utf8
 
-BUCKETS, SAMPLE, EPOCHS, BATCH = 1 << 18, 10_000, 10, 64
+BUCKETS, SAMPLE = 1 << 18, 10_000
 MARKS = b".,;:!?()[]\"'"
-RATE, DECAY = 0.1, 1e-5
+SIGNIFICANT, ROUNDS, STEPS, RATE, SHRINK = 6.0, 3, 100, 0.1, 1e-4
 
 
 @dataclass
@@ -89,27 +89,46 @@ def fit(rated: DataFrame, grades: int, key: str = "doc_id", text: str = "text",
         cut = int(-(2**63) + 2**64 * min(1.0, 1.2 * sample / rows))
         chosen = chosen.where(F.col("h") < F.lit(min(cut, 2**63 - 1)))
     got = chosen.mapInArrow(_sparse, "grade int, at binary").limit(sample).toArrow().to_pydict()
-    x = [np.frombuffer(a, np.int32) for a in got["at"]]
-    y = np.array(got["grade"], np.int64)
-    weights = np.zeros(BUCKETS)
-    seen = np.full(BUCKETS, 1e-3)
-    share = [min(max((y >= k).mean(), 0.01), 0.99) if len(y) else 1 - k / grades for k in range(1, grades)]
-    thresholds = -np.log(np.array(share) / (1 - np.array(share)))
-    rng = np.random.default_rng(5)
+    return fit_rows([np.frombuffer(a, np.int32) for a in got["at"]], np.array(got["grade"], np.int64), grades)
+
+
+def fit_rows(x: list[np.ndarray], y: np.ndarray, grades: int) -> Grades:
+    """Fit on feature buckets and grades.
+
+    Most words say nothing of the grade, and together would fit the sample by
+    heart. So a feature takes part only once its score test is significant: the
+    residuals of the documents that have it add up to SIGNIFICANT standard
+    deviations. Testing and fitting alternate, as what is fitted uncovers more.
+    """
+    share = np.array([min(max((y >= k).mean(), 0.01), 0.99) if len(y) else 1 - k / grades for k in range(1, grades)])
+    model = Grades(np.zeros(BUCKETS), -np.log(share / (1 - share)))
+    if not len(y):
+        return model
+    every = np.concatenate(x)
+    of = np.repeat(np.arange(len(x)), [len(a) for a in x])
+    frequent = np.maximum(np.bincount(every, minlength=BUCKETS), 1)
     rising = (y[:, None] >= np.arange(1, grades)).astype(float)
-    for _ in range(EPOCHS if len(y) else 0):
-        for part in np.array_split(rng.permutation(len(y)), max(1, len(y) // BATCH)):
-            at = np.concatenate([x[i] for i in part])
-            row = np.repeat(np.arange(len(part)), [len(x[i]) for i in part])
-            score = np.bincount(row, weights[at], minlength=len(part))
-            slope = Grades(weights, thresholds).tails(score) - rising[part]
-            step = slope.sum(axis=1)
-            gradient = np.bincount(at, step[row], minlength=BUCKETS) / len(part)
-            touched = np.flatnonzero(gradient)
-            seen[touched] += gradient[touched] ** 2
-            weights[touched] -= RATE * gradient[touched] / np.sqrt(seen[touched]) + DECAY * weights[touched]
-            thresholds = np.sort(thresholds + 0.05 * slope.mean(axis=0))
-    return Grades(weights.astype(np.float32), thresholds)
+    chosen = np.zeros(BUCKETS, bool)
+    for _ in range(ROUNDS):
+        residual = (model.tails(np.bincount(of, model.weights[every], minlength=len(y))) - rising).sum(axis=1)
+        test = np.bincount(every, residual[of], minlength=BUCKETS) / np.sqrt(frequent * max(residual.var(), 1e-9))
+        chosen |= np.abs(test) >= SIGNIFICANT
+        kept = chosen[every]
+        row, n = of[kept], int(chosen.sum())
+        at = (np.cumsum(chosen) - 1)[every[kept]]
+        w = np.append(model.weights[chosen], model.thresholds)
+        mean, square = np.zeros(len(w)), np.zeros(len(w))
+        for step in range(1, STEPS + 1):  # Adam on all rows
+            slope = Grades(w, w[n:]).tails(np.bincount(row, w[at], minlength=len(y))) - rising
+            gradient = np.append(
+                np.bincount(at, slope.sum(axis=1)[row], minlength=n) / len(y) + SHRINK * w[:n], -slope.mean(axis=0)
+            )
+            mean = 0.9 * mean + 0.1 * gradient
+            square = 0.99 * square + 0.01 * gradient ** 2
+            w -= RATE * (mean / (1 - 0.9 ** step)) / (np.sqrt(square / (1 - 0.99 ** step)) + 1e-8)
+            w[n:] = np.sort(w[n:])
+        model.weights[chosen], model.thresholds = w[:n], w[n:]
+    return model
 
 
 def score(docs: DataFrame, model: Grades, text: str = "text") -> DataFrame:
