@@ -4,13 +4,20 @@ import duckdb
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from tideline.workload.oracle import ORACLE
+from tideline.workload.queries import QUERIES
 from tools.check_oracle import TABLES, compare
 
-NAMES = list(queries())
+NAMES = list(QUERIES)
 
 
 def test_every_query_has_sql():
-    assert set(oracle_sql()) == set(queries())
+    assert set(ORACLE) == set(QUERIES)
+
+
+def test_all_are_registered():
+    assert set(QUERIES) <= set(queries()) and set(ORACLE) <= set(oracle_sql())
+    assert set(oracle_sql()) <= set(queries())
 
 
 def test_entry_schema(spark, sf_dir):
@@ -31,8 +38,8 @@ def duck():
 
 @pytest.mark.parametrize("name", NAMES)
 def test_matches_sql(spark, sf_dir, duck, plan, name):
-    df = queries()[name](spark, sf_dir)
-    assert compare(df, duck.sql(oracle_sql()[name])) == []
+    df = QUERIES[name](spark, sf_dir)
+    assert compare(df, duck.sql(ORACLE[name])) == []
     text = plan(df)
     assert not re.search(r"CartesianProduct|BroadcastNestedLoopJoin|ArrowEvalPython|BatchEvalPython|MapInPandas", text)
     if name != "performance_rank":  # orders one row per value bucket, see quality._ranked
