@@ -54,19 +54,23 @@ def needed_collisions(projections: int = PROJECTIONS, window: float = WINDOW, re
     return 1
 
 
-def candidates(x: np.ndarray, threshold: float) -> np.ndarray:
-    """Pairs (i < j) of unit vectors that collide often enough."""
-    n, dim = x.shape
+def candidates(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """Pairs (i, j) of unit vectors x[i], y[j] that collide often enough.
+
+    All are sorted along a line; a window is an interval of places in that order.
+    """
     reach = WINDOW * math.sqrt(2 - 2 * threshold)
-    lines = x @ np.random.default_rng(SEED).standard_normal((dim, PROJECTIONS))
-    counts = np.zeros((n, n), np.int8)
+    lines = np.concatenate([x, y]) @ np.random.default_rng(SEED).standard_normal((x.shape[1], PROJECTIONS))
+    counts = np.zeros((len(x), len(y)), np.uint8)
     for k in range(PROJECTIONS):
         order = np.argsort(lines[:, k], kind="stable")
-        along = lines[order, k]
-        first, last = np.searchsorted(along, along - reach), np.searchsorted(along, along + reach, side="right")
-        for at, i in enumerate(order):
-            counts[i, order[first[at]:last[at]]] += 1
-    return np.argwhere(np.triu(counts >= needed_collisions(), 1))
+        along, centre = lines[order, k], lines[:len(x), k]
+        place = np.empty(len(order), np.uint32)
+        place[order] = np.arange(len(order))
+        first = np.searchsorted(along, centre - reach).astype(np.uint32)
+        width = np.searchsorted(along, centre + reach, side="right").astype(np.uint32) - first
+        counts += place[None, len(x):] - first[:, None] < width[:, None]  # places before the window wrap around
+    return np.argwhere(counts >= needed_collisions())
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,14 +100,15 @@ def _tile(threshold: float):
         x = x / np.abs(x).max(axis=1, keepdims=True)
         x = x / np.linalg.norm(x, axis=1, keepdims=True)
         sides = group.column("block").to_numpy()
+        left = np.flatnonzero(sides == sides.min())
+        right = np.flatnonzero(sides == sides.max())
         forest, linked = Forest(len(keys)), np.zeros(len(keys), np.int64)
-        for i, j in candidates(x, threshold):
-            if sides[i] == sides[j] and (sides != sides[0]).any():
-                continue  # the block's own tile has this pair
-            if float(x[i] @ x[j]) >= threshold:
+        for i, j in candidates(x[left], x[right], threshold):
+            i, j = int(left[i]), int(right[j])
+            if (i < j or left[0] != right[0]) and float(x[i] @ x[j]) >= threshold:
                 linked[i] += copies[j]
                 linked[j] += copies[i]
-                forest.link(int(i), int(j))
+                forest.link(i, j)
         has = np.flatnonzero(linked)
         return pa.table({
             "a": pa.array([keys[i] for i, _ in forest.links] + [keys[i] for i in has], pa.binary()),
