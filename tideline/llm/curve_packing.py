@@ -17,12 +17,16 @@ id and repeated rows are packed like others. An empty table gives no pieces.
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +36,10 @@ from tideline.session import materialize
 LENGTH, CLOSING = 4096, 2
 DIMENSIONS, BITS = 3, 16
 REMEMBERED = 400_000
+#: Fixed values of the vocabulary's file: its pattern of pieces, and the signs that stand for bytes.
+PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_PLAIN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+BYTE_SIGNS = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 RANGE_TOKENS = 2_000_000  # tokens sorted and packed by one task
 
 
@@ -68,10 +76,48 @@ def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key.astype(np.int64)
 
 
+class WordNumbers(dict):
+    """A number for each word met, and the ids of the numbered words one after another.
+
+    Words of Latin letters go by the vocabulary's own pieces, which recur more than
+    words do; others go through all of the tokenizer.
+    """
+
+    def __init__(self, tool):
+        super().__init__({b"\n": 0})  # the closing id, as a word that no text has
+        self.tool, self.pieces = tool, {}
+        self.flat, self.sizes = array("H", [CLOSING]), array("i", [1])
+        self._tokenize = tool.model.tokenize
+        self._sign = {c: self._piece(c) for c in ",."}
+
+    def __missing__(self, word: bytes) -> int:
+        text = word.decode()
+        if text.isascii() or max(text) < "\u0100":
+            text = text.lower()
+            if text.isalpha():
+                ids = self.pieces.get(text) or self._piece(text)
+            elif text[:-1].isalpha() and text[-1] in ",.":
+                ids = (self.pieces.get(text[:-1]) or self._piece(text[:-1])) + self._sign[text[-1]]
+            else:
+                ids = [i for p in PIECES.findall(text) for i in self.pieces.get(p) or self._piece(p)]
+        else:
+            ids = self.tool.encode(text, add_special_tokens=False).ids
+        number = self[word] = len(self.sizes)
+        self.sizes.append(len(ids))
+        self.flat.extend(ids)
+        return number
+
+    def _piece(self, text: str) -> list[int]:
+        shown = text if text.isascii() and text.isprintable() else text.encode().decode("latin-1").translate(BYTE_SIGNS)
+        ids = self.pieces[text] = [t.id for t in self._tokenize(shown)]
+        return ids
+
+
 class WordTokenizer:
     """Ids of texts, word by word: this vocabulary never joins across ASCII blanks."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker per core
         from tokenizers import Tokenizer
 
         self.tool = Tokenizer.from_file(path)
@@ -79,30 +125,27 @@ class WordTokenizer:
         size = self.tool.get_vocab_size()
         # each id is hashed to one of 1,024 buckets, each bucket to a direction
         bucket = (mix(np.arange(size, dtype=np.uint64)) % np.uint64(1024)).astype(np.int64)
-        self.direction = np.random.default_rng(7).standard_normal((1024, DIMENSIONS))[bucket]
-        self.known: dict[bytes, np.ndarray] = {}
-
-    def words(self, texts: list[bytes]) -> list[list[np.ndarray]]:
-        split = [t.split() if t else [] for t in texts]
-        known = self.known
-        new = list({w for words in split for w in words if w not in known})
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = list({w for words in split for w in words})
-        for at in range(0, len(new), 10_000):
-            part = new[at:at + 10_000]
-            for w, e in zip(part, self.tool.encode_batch([w.decode() for w in part], add_special_tokens=False)):
-                known[w] = np.array(e.ids, np.uint16)
-        return [list(map(known.__getitem__, words)) for words in split]
-
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        """Ids of each text with the closing id."""
-        closing = np.array([CLOSING], np.uint16)
-        return [np.concatenate([*words, closing]) for words in self.words(texts)]
-
-    def points(self, ids: list[np.ndarray]) -> np.ndarray:
+        self.direction = np.random.default_rng(7).standard_normal((1024, DIMENSIONS)).astype(np.float32)[bucket]
+        self.known = WordNumbers(self.tool)
+
+    def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each with the closing id, and where the texts end."""
+        if len(self.known) > REMEMBERED:
+            self.known = WordNumbers(self.tool)
+        split = [[*t.split(), b"\n"] if t else [b"\n"] for t in texts]
+        numbers = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64)
+        known, flat = np.array(self.known.sizes, np.int64), np.array(self.known.flat, np.uint16)
+        starts, sizes = np.cumsum(known) - known, known[numbers]
+        ends = np.cumsum(sizes)
+        ids = flat[np.repeat(starts[numbers] - (ends - sizes), sizes) + np.arange(ends[-1])] if len(ends) else flat[:0]
+        return ids, ends[np.cumsum([len(w) for w in split]) - 1] if len(ends) else np.zeros(0, np.int64)
+
+    def points(self, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Mean direction of each document, on the grid of the curve."""
-        mean = np.array([self.direction[i].mean(axis=0) for i in ids]).reshape(-1, DIMENSIONS)
+        if not len(ends):
+            return np.zeros((0, DIMENSIONS), np.uint32)
+        starts = np.append(0, ends[:-1])
+        mean = np.add.reduceat(self.direction[ids], starts, axis=0, dtype=np.float64) / (ends - starts)[:, None]
         return np.clip((np.tanh(4 * mean) + 1) / 2 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.uint32)
 
 
@@ -117,11 +160,13 @@ def _tokenized(path: str):
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
-                ids = tool.encode(b.column("text").to_pylist())
+                ids, ends = tool.encode(b.column("text").to_pylist())
+                starts = np.append(0, ends[:-1])[:len(ends)]
+                raw = ids.astype("<u2").tobytes()
                 yield batch(
-                    doc_id=b.column("doc_id"), key=pa.array(hilbert_key(tool.points(ids))),
-                    tokens=pa.array([len(i) for i in ids], pa.int64()),
-                    ids=pa.array([i.astype("<u2").tobytes() for i in ids], pa.binary()),
+                    doc_id=b.column("doc_id"), key=pa.array(hilbert_key(tool.points(ids, ends))),
+                    tokens=pa.array(ends - starts, pa.int64()),
+                    ids=pa.array([raw[2 * x:2 * y] for x, y in zip(starts.tolist(), ends.tolist())], pa.binary()),
                 )
     return run
 
