@@ -24,8 +24,13 @@ def _columns(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the weakly supervised rules keep."""
-    return quality_votes.judge_quality(docs).where("kept").select(*COLUMNS)
+    """Documents that the weakly supervised rules keep.
+
+    The verdicts are written first, as a filter on them would be pushed into the
+    measures and work each of them out many times over.
+    """
+    judged = materialize(quality_votes.judge_quality(docs).select(*COLUMNS, "kept"), "judged")
+    return judged.where("kept").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
