@@ -182,7 +182,6 @@ def test_warehouse_append_and_options(spark):
     mark = spark.createDataFrame([(D(2024, 1, 8),)], "date date")
     days = lambda d: sorted(r.date.day for r in d.collect())
     assert days(warehouse.rows_to_append(df, mark)) == [9, 10]
-    assert days(warehouse.rows_to_append(df, mark, revise_days=2)) == [7, 8, 9, 10]
     assert len(days(warehouse.rows_to_append(df, spark.createDataFrame([(None,)], "date date")))) == 10
     conn = jdbc.connection("jdbc:postgresql://h/db", "u", "p")
     assert warehouse.full_load_options(conn, "t") == {**conn, "dbtable": "t", "truncate": "true", "numPartitions": "8"}
@@ -195,3 +194,28 @@ def test_shared_dir_comes_from_the_session(spark):
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
     df = materialize(spark.range(3), "ids")
     assert df.count() == 3 and "InMemoryFileIndex" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_landed_files_of_other_writers(spark, tmp_path):
+    """Nanosecond footers, a column more and a volume with gaps beside a plain file; a broken file is left out."""
+    import pandas as pd
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from tideline.schemas import BRONZE_PRICES
+    from tideline.sources.lake import scan_prefix
+
+    when = pd.to_datetime(["2024-01-02", "2024-01-03"])
+    plain = pa.table({"date": pa.array(when.astype("datetime64[us]")), "ticker": ["a", "b"], "volume": pa.array([1, 2], pa.int64())})
+    nanos = pa.table({"date": pa.array(when.astype("datetime64[ns]")), "ticker": ["c", "d"], "volume": [3.0, float("nan")], "adj_close": [7.0, 8.0]})
+    more = pa.table({"date": pa.array(when.astype("datetime64[us]")), "ticker": ["e", "f"], "volume": pa.array([5, 6], pa.int64()), "close": [1.0, 2.0]})
+    pq.write_table(plain, tmp_path / "a.parquet")
+    pq.write_table(nanos, tmp_path / "b.parquet", version="2.6")
+    pq.write_table(more, tmp_path / "c.parquet")
+    (tmp_path / "d.parquet").write_bytes(b"broken")
+    got = scan_prefix(spark, str(tmp_path), str(tmp_path), BRONZE_PRICES, tolerate_corrupt=True, landed=True)
+    rows = {r.ticker: (str(r.date.date()), r.volume, r.adj_close, r.close) for r in got.collect()}
+    assert rows == {
+        "a": ("2024-01-02", 1, None, None), "b": ("2024-01-03", 2, None, None), "c": ("2024-01-02", 3, 7.0, None),
+        "d": ("2024-01-03", None, 8.0, None), "e": ("2024-01-02", 5, None, 1.0), "f": ("2024-01-03", 6, None, 2.0),
+    }

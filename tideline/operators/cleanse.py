@@ -121,11 +121,11 @@ def silver_crypto(
     transform_timestamp: Column | None = None,
 ) -> DataFrame:
     """Exchange bars: volume in USD and in coins; no quality filter, no rounding."""
-    df = rename_present(
-        bronze, {"volume_to": "volume", "volume_from": "volume_coin", "symbol": "ticker"}
-    )
-    date = F.col("date") if "date" in df.columns else F.lit(process_date)
-    df = null_nans(df.withColumn("date", F.to_date(date)))
+    names = [c for c in ("ticker", "symbol") if c in bronze.columns]
+    dates = [F.to_date("date")] if "date" in bronze.columns else []
+    df = bronze.withColumn("ticker", F.coalesce(*names)) if names else bronze
+    df = rename_present(df, {"volume_to": "volume", "volume_from": "volume_coin"})
+    df = null_nans(df.withColumn("date", F.coalesce(*dates, F.lit(process_date).cast("date"))))
     df = with_lineage(df, asset_class, "cryptocompare", load_type, transform_timestamp)
     return conform(df, SILVER_CRYPTO)
 

@@ -32,10 +32,15 @@ def keep_preferred(
     return first_per_key(df, keys, order)
 
 
-def merge_pages(pages: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
-    """Union of overlapping backfill pages with one row per key."""
+def merge_pages(pages: Sequence[DataFrame], keys: Sequence[str], version: Sequence[str] = ()) -> DataFrame:
+    """Union of overlapping backfill pages with one row per key.
+
+    The newest ``version`` wins; ties go to the largest values of the other
+    columns, so that the order of pages does not matter.
+    """
     merged = union_all(pages)
-    return merged.dropDuplicates(list(keys))
+    rest = [c for c in merged.columns if c not in (*keys, *version)]
+    return keep_last(merged, keys, [*version, *rest] or list(keys))
 
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:

@@ -100,7 +100,7 @@ def load_windows(
     return (
         plan.join(known, STATE_KEYS, "left")
         .withColumn("last_update_date", last)
-        .where(F.date_add("last_update_date", 1) <= latest)
+        .where(F.date_add("last_update_date", 1) <= end)
         .select(
             *plan.columns,
             "last_update_date",

@@ -280,6 +280,17 @@ def series_dimension(spark: SparkSession) -> DataFrame:
     return inline_rows(spark, series_rows(), SERIES_DIM)
 
 
+def conform_landed(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """As :func:`conform` for files of other tools: NaN is unknown, and what does not fit its type is NULL."""
+    floats = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))]
+    known = df.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in floats})
+    present = set(known.columns)
+    return known.selectExpr(*[
+        f"TRY_CAST({f'`{f.name}`' if f.name in present else 'NULL'} AS {f.dataType.simpleString()}) AS `{f.name}`"
+        for f in schema.fields
+    ])
+
+
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Project ``df`` onto ``schema``: absent columns become typed NULLs."""
     present = set(df.columns)

@@ -69,14 +69,12 @@ def append_options(conn: dict[str, str], table: str) -> dict[str, str]:
     return {**conn, "dbtable": table, "numPartitions": "1"}
 
 
-def rows_to_append(df: DataFrame, mark: DataFrame, revise_days: int = 0) -> DataFrame:
+def rows_to_append(df: DataFrame, mark: DataFrame) -> DataFrame:
     """Rows newer than the warehouse's newest date.
 
     ``mark`` is any frame with a ``date`` column, the target itself or the
-    one-row mark read from it. ``revise_days`` moves the mark back.
+    one-row mark read from it.
     """
-    if revise_days:
-        mark = mark.select(F.date_sub("date", revise_days).alias("date"))
     return newer_than(reconcile(df), mark)
 
 

@@ -13,15 +13,17 @@ discovering every partition and pruning afterwards.
 from __future__ import annotations
 
 import datetime as dt
+import json
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideline.operators.resolve import union_all
-from tideline.schemas import ASSET_CLASSES, BASE_COLUMNS, MACRO_PROVIDERS, conform
+from tideline.schemas import ASSET_CLASSES, BASE_COLUMNS, MACRO_PROVIDERS, conform, conform_landed
 
 LOAD_TYPES = ["historical", "daily"]
 
@@ -69,6 +71,31 @@ def _has_files(spark: SparkSession, path: str) -> bool:
     return not files.select("path").isEmpty()
 
 
+def _landed_frames(reader: DataFrameReader, path: str) -> list[DataFrame]:
+    """One frame per physical schema below ``path``.
+
+    Columns that come and go are merged by Spark, which reads the footers in
+    parallel. Where files disagree on a type (another time unit, a volume with
+    gaps), each is read with its own types and files of one schema share a scan.
+    """
+    try:
+        return [reader.option("mergeSchema", "true").parquet(path)]
+    except Py4JJavaError as err:  # thrown by the merging job, which PySpark does not convert
+        if "Failed merging schema" not in str(err.java_exception):
+            raise
+    plain = reader.option("mergeSchema", "false")
+    groups: dict[str, list[str]] = {}
+    for file in sorted(plain.parquet(path).inputFiles()):
+        try:
+            found = plain.parquet(file).schema
+        except AnalysisException as err:
+            if err.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+                raise
+            continue  # unreadable, which the caller has asked to tolerate
+        groups.setdefault(found.json(), []).append(file)
+    return [plain.schema(T.StructType.fromJson(json.loads(s))).parquet(*files) for s, files in groups.items()]
+
+
 def scan_prefix(
     spark: SparkSession,
     base: str,
@@ -94,10 +121,8 @@ def scan_prefix(
     )
     if landed:
         spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
-    else:
-        reader = reader.schema(schema)
     try:
-        rows = reader.parquet(path)
+        frames = _landed_frames(reader, path) if landed else [reader.schema(schema).parquet(path)]
     except AnalysisException as err:
         if err.getCondition() == "PATH_NOT_FOUND":
             return None
@@ -106,7 +131,9 @@ def scan_prefix(
                 return None
             raise ValueError(f"{path}: files found but none could be read") from err
         raise
-    return conform(from_nanoseconds(rows, schema) if landed else rows, schema)
+    if not landed:
+        return conform(frames[0], schema)
+    return union_all([conform_landed(from_nanoseconds(frame, schema), schema) for frame in frames])
 
 
 def find_layer(

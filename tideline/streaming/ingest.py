@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,7 +64,12 @@ def current_rows(
 ) -> DataFrame:
     """Newest row per key over all batches; a later batch wins between equal versions."""
     with_batch = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
-    rows = spark.read.schema(with_batch).parquet(target)
+    try:
+        rows = spark.read.schema(with_batch).parquet(target)
+    except AnalysisException as err:
+        if err.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = spark.createDataFrame([], with_batch)  # no batch has been written yet
     return keep_last(rows, keys, [*version, "batch_id"]).drop("batch_id")
 
 

@@ -19,6 +19,7 @@ from tideline.schemas import (
     gold_schema,
 )
 from tideline.workload.queries import (
+    ALL_PRIORITIES,
     COIN_SYMBOLS,
     EVENT_CLASSES,
     GOLD_FLOOR,
@@ -195,7 +196,20 @@ SELECT event_type, CAST(sum(CAST(json_extract(props, '$.k') AS INTEGER)) AS BIGI
 FROM events GROUP BY 1"""
 
 ORACLE["paged_backfill_merge"] = """
-SELECT o_orderkey, CAST(o_orderdate AS DATE) AS date, o_totalprice FROM orders"""
+SELECT o_orderkey, CAST(o_orderdate AS DATE) AS date, o_totalprice + CASE
+  WHEN o_orderdate >= DATE '2000-01-01' THEN 2 WHEN o_orderdate >= DATE '1997-01-01' THEN 1 ELSE 0 END AS o_totalprice
+FROM orders"""
+
+ORACLE["landed_mixed_files"] = """
+SELECT CAST(o_orderdate AS DATE) AS date, o_orderpriority AS ticker, o_totalprice AS close,
+  CASE WHEN o_orderkey % 2 = 1 THEN o_totalprice END AS adj_close,
+  CASE WHEN o_orderkey % 2 = 0 OR o_orderkey % 7 <> 0 THEN o_orderkey END AS volume
+FROM orders"""
+
+ORACLE["crypto_landed_values"] = """
+SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE o_orderstatus END AS ticker,
+  CASE WHEN o_orderkey % 3 = 0 THEN DATE '2024-01-05' ELSE CAST(o_orderdate AS DATE) END AS date
+FROM orders"""
 
 ORACLE["asset_list_ids"] = """
 SELECT 'C-' || o_custkey AS series_id FROM orders
@@ -206,7 +220,7 @@ WITH {ORDER_PANEL} SELECT date, replace(lower(series), ' ', '_') AS series, valu
 
 ORACLE["grid_bars"] = f"""
 WITH {EVENT_BARS}
-SELECT date, series AS ticker, open, high, low, close, volume FROM bars WHERE series IN ('click', 'view')"""
+SELECT date, series AS ticker, open, high, low, close, volume FROM bars"""
 
 # -- picking, mapping, aligning -------------------------------------------------------
 
@@ -234,7 +248,7 @@ SELECT o.o_orderpriority, o.o_orderkey, o.o_totalprice, m.column_name
 FROM orders o JOIN (VALUES {_MAP_VALUES}) AS m(series_id, column_name) ON o.o_orderpriority = m.series_id"""
 
 _PIVOT = ", ".join(
-    f"max(value) FILTER (series = '{a}') AS {b}" for a, b in PRIORITY_MAP.items()
+    f"max(value) FILTER (series = '{a}') AS {b}" for a, b in ALL_PRIORITIES.items()
 )
 ORACLE["pivot_wide"] = f"WITH {ORDER_PANEL} SELECT date, {_PIVOT} FROM panel GROUP BY date"
 
@@ -320,7 +334,8 @@ FROM dense"""
 ORACLE["source_price_gap"] = f"""
 WITH {TWO_SOURCES}, j AS (
   SELECT date, s.value AS orders, l.value AS lines
-  FROM (SELECT * FROM stat WHERE series = 'F') s FULL JOIN (SELECT * FROM lines WHERE series = 'F') l USING (date))
+  FROM (SELECT date, max(value) AS value FROM stat GROUP BY date) s
+  FULL JOIN (SELECT date, max(value) AS value FROM lines GROUP BY date) l USING (date))
 SELECT date, orders, lines, orders - lines AS diff, (orders - lines) / nullif(orders, 0) * 100 AS diff_pct FROM j"""
 
 # -- the wide table -----------------------------------------------------------------------
@@ -436,7 +451,7 @@ _GOLD_NULLS = ", ".join(
 ORACLE["warehouse_append"] = f"""
 WITH {DAILY_ORDERS}
 SELECT date, {_GOLD_NULLS} FROM daily
-WHERE date > (SELECT max(date) - 5 FROM daily WHERE date <= DATE '2000-12-31')"""
+WHERE date > (SELECT max(date) FROM daily WHERE date <= DATE '2000-12-31')"""
 
 _COLUMN_VALUES = ", ".join(f"('{f.name}')" for f in gold_schema().fields)
 ORACLE["warehouse_columns"] = f"""

@@ -17,6 +17,7 @@ from tideline.plans import gold as gold_plan
 from tideline.plans.silver import run_silver
 from tideline.schemas import (
     BASE_COLUMNS,
+    BRONZE_PRICES,
     COIN_MARKET,
     SILVER_CRYPTO,
     SILVER_MACRO,
@@ -286,12 +287,13 @@ def paged_backfill_merge(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select(
         "o_orderkey", F.to_date("o_orderdate").alias("date"), "o_totalprice"
     )
-    pages = [
-        cleanse.clip_dates(orders, end="1997-12-31"),
-        cleanse.clip_dates(orders, start="1997-01-01", end="2000-06-30"),
-        cleanse.clip_dates(orders, start="2000-01-01"),
+    pages = [  # a later page revises what the one before it says of the overlap
+        cleanse.clip_dates(orders, start=start, end=end).withColumns({
+            "o_totalprice": F.col("o_totalprice") + page, "fetched": F.lit(page)
+        })
+        for page, (start, end) in enumerate([(None, "1997-12-31"), ("1997-01-01", "2000-06-30"), ("2000-01-01", None)])
     ]
-    return resolve.merge_pages(pages, ["o_orderkey", "date"])
+    return resolve.merge_pages(pages[::-1], ["o_orderkey", "date"], ["fetched"]).drop("fetched")
 
 
 @register
@@ -316,7 +318,7 @@ def unpivot_grid(spark, sf_dir):
 @register
 def grid_bars(spark, sf_dir):
     """Landed grid with one column per (ticker, field) back to one bar per row."""
-    tickers, fields = ["click", "view"], ["open", "high", "low", "close", "volume"]
+    tickers, fields = sorted(EVENT_CLASSES), ["open", "high", "low", "close", "volume"]
     bars = event_bars(spark, sf_dir)
     grid = bars.groupBy("date").agg(*[
         F.max(F.when((F.col("series") == t), F.col(f))).alias(f"{t}|{f}") for t in tickers for f in fields
@@ -324,6 +326,39 @@ def grid_bars(spark, sf_dir):
     return panel.grid_to_bars(grid, tickers, fields)
 
 
+@register
+def landed_mixed_files(spark, sf_dir):
+    """One folder, two writers: integer nanoseconds, NaN volumes and a column more in half of the files."""
+    orders = table(spark, sf_dir, "orders")
+    rows = orders.select(
+        F.col("o_orderkey").alias("key"), F.to_date("o_orderdate").cast("timestamp_ntz").alias("date"),
+        F.col("o_orderpriority").alias("ticker"), F.col("o_totalprice").alias("close"),
+        F.col("o_orderkey").cast("bigint").alias("volume"),
+    )
+    root = scratch_path(spark, "landed")
+    rows.where("key % 2 = 0").drop("key").write.mode("append").parquet(f"{root}/files")
+    rows.where("key % 2 = 1").withColumns({
+        "date": F.unix_micros(F.col("date").cast("timestamp")) * 1000,
+        "volume": F.when(F.col("key") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("volume").cast("double")),
+        "adj_close": F.col("close"),
+    }).drop("key").write.mode("append").parquet(f"{root}/files")
+    landed = lake.scan_prefix(spark, root, f"{root}/files", BRONZE_PRICES, landed=True)
+    return landed.select(F.to_date("date").alias("date"), "ticker", "close", "adj_close", "volume")
+
+
+@register
+def crypto_landed_values(spark, sf_dir):
+    """Exchange bars whose ticker is known only as symbol, or whose date only from the load's day."""
+    bronze = table(spark, sf_dir, "orders").select(
+        F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")).alias("ticker"),
+        F.col("o_orderstatus").alias("symbol"),
+        F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderdate")).alias("date"),
+        F.col("o_orderkey").cast("double").alias("close"),
+    )
+    silver = cleanse.silver_crypto(bronze, "crypto", "daily", "2024-01-05")
+    return silver.select(F.col("close").cast("bigint").alias("o_orderkey"), "ticker", "date")
+
+
 # -- picking, mapping, aligning ------------------------------------------------
 
 
@@ -345,6 +380,7 @@ def source_priority_pick(spark, sf_dir):
 
 
 PRIORITY_MAP = {"1-URGENT": "sp500", "2-HIGH": "nasdaq", "3-MEDIUM": "gold", "5-LOW": "oil"}
+ALL_PRIORITIES = {**PRIORITY_MAP, "4-NOT SPECIFIED": "silver"}
 
 
 @register
@@ -356,8 +392,8 @@ def map_series(spark, sf_dir):
 
 @register
 def pivot_wide(spark, sf_dir):
-    rows = order_panel(spark, sf_dir).replace(PRIORITY_MAP, subset=["series"])
-    return panel.pivot_wide(rows, list(PRIORITY_MAP.values()))
+    rows = order_panel(spark, sf_dir).replace(ALL_PRIORITIES, subset=["series"])
+    return panel.pivot_wide(rows, list(ALL_PRIORITIES.values()))
 
 
 @register
@@ -473,8 +509,8 @@ def normalized_price(spark, sf_dir):
 @register
 def source_price_gap(spark, sf_dir):
     both = resolve.union_all([
-        status_panel(spark, sf_dir).where("series = 'F'").withColumn("series", F.lit("orders")),
-        ship_panel(spark, sf_dir).where("series = 'F'").withColumn("series", F.lit("lines")),
+        rows.groupBy(F.lit(name).alias("series"), "date").agg(F.max("value").alias("value"))
+        for name, rows in (("orders", status_panel(spark, sf_dir)), ("lines", ship_panel(spark, sf_dir)))
     ])
     return panel.price_gap(both, "orders", "lines")
 
@@ -609,7 +645,7 @@ def warehouse_append(spark, sf_dir):
         F.col("date").alias("DATE"), F.col("high").alias("SP500"), F.col("orders").alias("extra")
     )
     loaded = rows.select(F.col("DATE").alias("date")).where("date <= DATE'2000-12-31'")
-    return rows_to_append(rows, loaded, revise_days=5)
+    return rows_to_append(rows, loaded)
 
 
 @register
