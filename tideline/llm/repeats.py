@@ -120,30 +120,47 @@ def bucket_of(anchors: np.ndarray, buckets: int) -> np.ndarray:
     return (anchors >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
 
 
-def _strings(block: Block, codes: np.ndarray, sets: int) -> tuple[list[tuple[int, int, bytes]], dict[bytes, list[tuple[int, int]]]]:
-    """Distinct segments as (set, anchor, bytes) in order, and where each begins: (document, byte in it)."""
-    runs, code = block.shared(codes)
-    places: dict[bytes, list[tuple[int, int]]] = {}
-    anchors: dict[bytes, int] = {}
-    data, length = block.data, block.length
-    for r in runs:
-        a, b, d = int(block.begin[r]), int(block.stop[r]), int(block.doc[r])
-        inside = a - int(block.starts[d])
-        if code[r] == 1:
-            cuts = [(a, b + length - 1)]
-        else:
-            cuts = [(w, w + length) for w in range(a, b)]
-        for x, y in cuts:
-            text = data[x:y]
-            at = places.get(text)
-            if at is None:
-                at = places[text] = []
-                anchors[text] = int(block.anchor[r]) if code[r] == 1 else xxhash.xxh3_64_intdigest(text)
-            at.append((d, inside + x - a))
-    keys = np.fromiter(anchors.values(), np.uint64, len(anchors))
-    where = bucket_of(mix(keys), sets).tolist()
-    ordered = sorted(zip(where, anchors.values(), anchors))
-    return ordered, places
+class Numbered(dict):
+    """Distinct byte strings, numbered in order of appearance."""
+
+    def __missing__(self, text: bytes) -> int:
+        value = self[text] = len(self)
+        return value
+
+
+class Segments:
+    """Segments of a block: the distinct ones by (set, anchor, bytes), and each place of one."""
+
+    def __init__(self, block: Block, codes: np.ndarray, sets: int):
+        runs, code = block.shared(codes)
+        begin, stop, doc, anchor = block.begin[runs], block.stop[runs] + block.length - 1, block.doc[runs], block.anchor[runs]
+        hot = code[runs] == 2
+        if hot.any():  # each string for itself
+            sizes = (stop - begin)[hot] - block.length + 1
+            nth = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            at = np.repeat(begin[hot], sizes) + nth
+            begin = np.append(begin[~hot], at)
+            stop = np.append(stop[~hot], at + block.length)
+            doc = np.append(doc[~hot], np.repeat(doc[hot], sizes))
+            anchor = np.append(anchor[~hot], np.zeros(len(at), np.uint64))
+        data, known = block.data, Numbered()
+        number = np.fromiter(
+            map(known.__getitem__, [data[x:y] for x, y in zip(begin.tolist(), stop.tolist())]), np.int64, len(begin)
+        )
+        texts = list(known)
+        first = np.zeros(len(texts), np.int64)
+        first[number[::-1]] = np.arange(len(number))[::-1]
+        anchor = anchor[first].copy()
+        whole = np.flatnonzero(anchor == 0)
+        anchor[whole] = np.fromiter((xxhash.xxh3_64_intdigest(texts[k]) for k in whole), np.uint64, len(whole))
+        part = bucket_of(mix(anchor), sets)
+        order = sorted(range(len(texts)), key=list(zip(part.tolist(), anchor.tolist(), texts)).__getitem__)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.texts = [texts[k] for k in order]
+        self.part, self.anchor = part[order].astype(np.int64), anchor[order]
+        self.number = place[number] if len(number) else number
+        self.begin, self.doc = begin, doc
 
 
 def suffix_order(symbols: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -217,8 +234,11 @@ def common_prefix_borders(order: np.ndarray, symbols: np.ndarray, is_start: np.n
     return border
 
 
-def first_owners(segments: list[bytes], owners: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each string of ``length`` bytes in each segment the smallest owner of an equal one."""
+def first_owners(segments: list[bytes], owners: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each string of ``length`` bytes, segment by segment, the smallest owner of an equal one.
+
+    Also how many strings each segment has.
+    """
     sizes = np.array([len(s) for s in segments], np.int64)
     stops = np.cumsum(sizes + 1) - 1  # terminators
     starts = stops - sizes
@@ -236,7 +256,16 @@ def first_owners(segments: list[bytes], owners: np.ndarray, length: int) -> list
     least = np.minimum.reduceat(owner[order], groups)
     found = np.empty(len(symbols), np.int64)
     found[order] = least[np.cumsum(border[:-1]) - 1]
-    return [found[a:b - length + 1] for a, b in zip(starts, stops)]
+    return found[whole], sizes - length + 1
+
+
+def runs_of(found: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of equal owners inside segments: how many a segment has, their lengths and owners."""
+    starts = np.cumsum(counts) - counts
+    new = np.append(True, found[1:] != found[:-1])
+    new[starts] = True
+    at = np.flatnonzero(new)
+    return np.add.reduceat(new, starts), np.diff(np.append(at, len(found))), found[at]
 
 
 # -- the passes ---------------------------------------------------------------------------
@@ -297,17 +326,20 @@ def _segments(length: int, sets: int):
             return pa.table({n.split()[0]: pa.array([], t) for n, t in zip(SEGMENT.split(", "), [pa.int32()] * 2 + [pa.binary()] * 4)})
         block = Block(group.column("_bytes").to_pylist(), length)
         ids = _owner_ids(group)
-        ordered, places = _strings(block, _codes(replies), sets)
-        parts: dict[int, list] = {}
-        for part, anchor, text in ordered:
-            parts.setdefault(part, []).append((anchor, text, min(int(ids[d]) for d, _ in places[text])))
+        found = Segments(block, _codes(replies), sets)
+        owner = np.full(len(found.texts), LAST)
+        np.minimum.at(owner, found.number, ids[found.doc])
+        sizes = np.array([len(t) for t in found.texts], np.uint16)
+        cuts = np.flatnonzero(np.append(True, np.diff(found.part) > 0)) if len(found.part) else []
+        parts = [slice(x, y) for x, y in zip(cuts, [*cuts[1:], len(found.part)])]
         number = group.column("_block")[0].as_py()
         return pa.table({
-            "part": pa.array(list(parts), pa.int32()), "block": pa.array([number] * len(parts), pa.int32()),
-            "anchors": pa.array([np.array([x[0] for x in p], np.uint64).tobytes() for p in parts.values()], pa.binary()),
-            "sizes": pa.array([np.array([len(x[1]) for x in p], np.uint16).tobytes() for p in parts.values()], pa.binary()),
-            "owners": pa.array([np.array([x[2] for x in p], np.int64).tobytes() for p in parts.values()], pa.binary()),
-            "texts": pa.array([b"".join(x[1] for x in p) for p in parts.values()], pa.binary()),
+            "part": pa.array([int(found.part[p.start]) for p in parts], pa.int32()),
+            "block": pa.array([number] * len(parts), pa.int32()),
+            "anchors": pa.array([found.anchor[p].tobytes() for p in parts], pa.binary()),
+            "sizes": pa.array([sizes[p].tobytes() for p in parts], pa.binary()),
+            "owners": pa.array([owner[p].tobytes() for p in parts], pa.binary()),
+            "texts": pa.array([b"".join(found.texts[p]) for p in parts], pa.binary()),
         })
     return run
 
@@ -315,45 +347,40 @@ def _segments(length: int, sets: int):
 def _transforms(length: int):
     """Smallest owners for the segments of a set, sent back as runs to the blocks they came from."""
     def run(group: pa.Table) -> pa.Table:
-        known: dict[bytes, int] = {}
-        anchors, owners, sent = [], [], []
-        for row in group.to_pylist():
-            sizes = np.frombuffer(row["sizes"], np.uint16).astype(np.int64)
-            stops = np.cumsum(sizes)
-            numbers = []
-            for a, b, anchor, owner in zip(
-                (stops - sizes).tolist(), stops.tolist(), np.frombuffer(row["anchors"], np.uint64).tolist(),
-                np.frombuffer(row["owners"], np.int64).tolist(),
-            ):
-                text = row["texts"][a:b]
-                k = known.setdefault(text, len(known))
-                if k == len(owners):
-                    anchors.append(anchor)
-                    owners.append(owner)
-                elif owner < owners[k]:
-                    owners[k] = owner
-                numbers.append(k)
-            sent.append((row["block"], numbers))
-        texts, owners = list(known), np.array(owners, np.int64)
-        order = sorted(range(len(texts)), key=anchors.__getitem__)
-        runs: list = [None] * len(texts)
-        todo: list[int] = []
-        size = 0
-        for at, k in enumerate(order):
-            todo.append(k)
-            size += len(texts[k]) + 1
-            ends = at + 1 == len(order) or anchors[order[at + 1]] != anchors[k]
-            if ends and (size >= SET_BYTES - (SET_BYTES >> 2) or at + 1 == len(order)):
-                for j, first in zip(todo, first_owners([texts[j] for j in todo], owners[todo], length)):
-                    new = np.flatnonzero(np.append(True, first[1:] != first[:-1]))
-                    runs[j] = (np.diff(np.append(new, len(first))), first[new])
-                todo, size = [], 0
+        known, sent, rows = Numbered(), [], group.to_pylist()
+        for row in rows:
+            stops = np.cumsum(np.frombuffer(row["sizes"], np.uint16).astype(np.int64)).tolist()
+            texts = row["texts"]
+            sent.append(np.fromiter(
+                map(known.__getitem__, [texts[x:y] for x, y in zip([0, *stops], stops)]), np.int64, len(stops)
+            ))
+        texts, number = list(known), np.concatenate(sent)
+        owner, anchor = np.full(len(texts), LAST), np.zeros(len(texts), np.uint64)
+        np.minimum.at(owner, number, np.concatenate([np.frombuffer(r["owners"], np.int64) for r in rows]))
+        anchor[number] = np.concatenate([np.frombuffer(r["anchors"], np.uint64) for r in rows])
+        order = np.argsort(anchor, kind="stable")
+        size = np.cumsum([len(texts[k]) + 1 for k in order])
+        last = np.append(anchor[order][1:] != anchor[order][:-1], True)  # one anchor's segments stay together
+        found, begun, done = [], 0, 0
+        for at in np.flatnonzero(last).tolist():
+            if size[at] - done >= SET_BYTES - (SET_BYTES >> 2) or at + 1 == len(order):
+                now = order[begun:at + 1]
+                found.append(first_owners([texts[k] for k in now], owner[now], length))
+                begun, done = at + 1, size[at]
+        count, span, first = runs_of(np.concatenate([f for f, _ in found]), np.concatenate([c for _, c in found]))
+        start = np.cumsum(count) - count
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        answers = []
+        for numbers in sent:
+            at = place[numbers]
+            n = count[at]
+            index = np.repeat(start[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            answers.append((n.astype(np.uint16).tobytes(), span[index].astype(np.uint16).tobytes(), first[index].tobytes()))
         return pa.table({
-            "block": pa.array([b for b, _ in sent], pa.int32()), "kind": pa.array([1] * len(sent), pa.int32()),
-            "part": group.column("part"),
-            "a": pa.array([np.array([len(runs[k][0]) for k in ks], np.uint16).tobytes() for _, ks in sent], pa.binary()),
-            "b": pa.array([np.concatenate([runs[k][0] for k in ks]).astype(np.uint16).tobytes() for _, ks in sent], pa.binary()),
-            "c": pa.array([np.concatenate([runs[k][1] for k in ks]).tobytes() for _, ks in sent], pa.binary()),
+            "block": group.column("block"), "kind": pa.array([1] * len(sent), pa.int32()), "part": group.column("part"),
+            "a": pa.array([x for x, _, _ in answers], pa.binary()), "b": pa.array([x for _, x, _ in answers], pa.binary()),
+            "c": pa.array([x for _, _, x in answers], pa.binary()),
         })
     return run
 
@@ -362,30 +389,30 @@ def _removal(length: int, sets: int, columns: list[str], text: str | None):
     def run(group: pa.Table, replies: pa.Table) -> pa.Table:
         texts, ids = group.column("_bytes").to_pylist(), _owner_ids(group)
         block = Block(texts, length)
-        covered = [np.zeros(len(t) + 1, np.int32) for t in block.texts]
+        marks = np.zeros(len(block.data) + 1, np.int64)
         answers = _replies(replies, 1)
         if answers:
-            ordered, places = _strings(block, _codes(replies), sets)
-            counts = np.frombuffer(b"".join(r["a"] for r in answers), np.uint16).astype(np.int64)
-            spans = np.frombuffer(b"".join(r["b"] for r in answers), np.uint16).astype(np.int64)
-            firsts = np.frombuffer(b"".join(r["c"] for r in answers), np.int64)
-            ends = np.cumsum(counts)
-            spans, firsts = spans.tolist(), firsts.tolist()
-            for (_, _, segment), stop, count in zip(ordered, ends.tolist(), counts.tolist()):
-                for d, inside in places[segment]:
-                    at, own = inside, ids[d]
-                    for k in range(stop - count, stop):
-                        if firsts[k] < own:
-                            covered[d][at] += 1
-                            covered[d][at + spans[k] + length - 1] -= 1
-                        at += spans[k]
+            found = Segments(block, _codes(replies), sets)
+            count = np.frombuffer(b"".join(r["a"] for r in answers), np.uint16).astype(np.int64)
+            span = np.frombuffer(b"".join(r["b"] for r in answers), np.uint16).astype(np.int64)
+            first = np.frombuffer(b"".join(r["c"] for r in answers), np.int64)
+            start = np.cumsum(count) - count
+            before = np.cumsum(span) - span  # strings before a run, from the segment's first on
+            before -= np.repeat(before[start], count)
+            n = count[found.number]
+            index = np.repeat(start[found.number] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            later = first[index] < np.repeat(ids[found.doc], n)
+            begin = (np.repeat(found.begin, n) + before[index])[later]
+            stop = begin + span[index][later] + length - 1
+            marks += np.bincount(begin, minlength=len(marks)) - np.bincount(stop, minlength=len(marks))
+        gone = np.cumsum(marks[:-1]) > 0
         kept, removed, n_spans = [], [], []
-        for raw, marks in zip(block.texts, covered):
-            gone = np.cumsum(marks[:-1]) > 0
-            n_gone = int(gone.sum())
+        for raw, begin in zip(block.texts, block.starts.tolist()):
+            lost = gone[begin:begin + len(raw)]
+            n_gone = int(lost.sum())
             removed.append(n_gone)
-            n_spans.append(int((gone & ~np.append(False, gone[:-1])).sum()) if n_gone else 0)
-            kept.append(np.frombuffer(raw, np.uint8)[~gone].tobytes() if n_gone else raw)
+            n_spans.append(int(lost[0]) + int((lost[1:] & ~lost[:-1]).sum()) if n_gone else 0)
+            kept.append(np.frombuffer(raw, np.uint8)[~lost].tobytes() if n_gone else raw)
         out = {c: group.column(c) for c in columns}
         if text is not None:  # a character of which a byte is gone goes too
             out[text] = pa.array(
