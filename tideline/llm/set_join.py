@@ -38,7 +38,7 @@ from tideline.llm.graphs import components
 from tideline.session import materialize
 
 TREES, SKETCH, SLACK = 8, 128, 0.17
-BLOCK, BRANCHINGS, BRANCHES = 128, 3, 2
+BLOCK, BRANCHINGS, BRANCHES, DENSE = 128, 3, 2, 0.7
 VOCABULARY = 400_000  # words whose hashes a worker remembers
 
 _rng = np.random.default_rng(20240417)
@@ -260,23 +260,27 @@ def candidate_links(classes: DataFrame, threshold: float, size: int) -> DataFram
         "digest", "n", "sketch", F.posexplode("roots").alias("tree", "root")
     ).select(F.md5(F.concat_ws(" ", "tree", "root")).cast("binary").alias("key"), "digest", "n", "sketch")), "nodes")
     leaves = []
+    settled = F.col("size") <= BLOCK
     for _ in range(BRANCHINGS):
-        leaves.append(level.where(F.col("size") <= BLOCK))
-        large = level.where(F.col("size") > BLOCK)
+        leaves.append(level.where(settled))
+        large = level.where(~settled)
         if large.isEmpty():
             level = large
             break
         children = large.select(
-            "key", "digest", "n", "sketch", F.explode(F.array(*[F.lit(j) for j in range(BRANCHES)])).alias("j")
+            "key", "digest", "n", "sketch", "size", F.explode(F.array(*[F.lit(j) for j in range(BRANCHES)])).alias("j")
         ).withColumn("at", F.pmod(F.xxhash64("key", "j"), F.lit(SKETCH)).cast("int")).select(
             F.md5(F.concat("key", F.hex("at").cast("binary"), token(F.col("at")))).cast("binary").alias("key"),
-            "digest", "n", "sketch",
+            "digest", "n", "sketch", F.col("size").alias("parent"),
         )
         level = materialize(_sized(children), "nodes")
+        # a child that keeps most of its parent holds near copies, which no branching parts
+        settled = (F.col("size") <= BLOCK) | (F.col("size") > DENSE * F.col("parent"))
     leaves.append(level)
-    nodes = leaves[0]
+    columns = ("key", "digest", "n", "sketch", "size")
+    nodes = leaves[0].select(*columns)
     for more in leaves[1:]:
-        nodes = nodes.union(more)
+        nodes = nodes.union(more.select(*columns))
     return _linked(nodes, threshold, size, False, "candidates").distinct()
 
 
