@@ -257,6 +257,28 @@ def test_pseudonyms(spark):
     assert pseudonyms.hide_private(rows.limit(0), "secret").count() == 0
 
 
+def test_pseudonyms_of_values_beside_others(spark):
+    """A valid value is replaced also where a longer run that does not validate starts at it or before it."""
+    clear = [
+        ("4111 1111 1111 1111", " 12/27"), ("4111111111111111", " 123"), ("BE68 5390 0754 7034", " EUR"),
+        ("ES91 2100 0418 4502 0005 1332", " BIC"), ("+33 1 23 45 67 89", ""), ("+41 44 668 18 00", ""), ("555.123.4567", ""),
+        ("555 123 4567", ""), ("0123456789abcdef" * 20, ""), ("Ab3-" * 60, ""), ("4111 1111 1111 1111", " 4111 1111 1111 111"),
+    ]
+    before = ["", "", "", "", "", "", "", "", "", "pwd=", ""]
+    rows = [(i, b + v + rest) for i, (b, (v, rest)) in enumerate(zip(before, clear))]
+    rows += [(20, "4222222222222 2024-02-29"), (21, "12 4111 1111 1111 1111"), (22, "4111 1111 1111 1112 12/27"), (23, "BE68 5390 0754 7035 EUR")]
+    got = {r.doc_id: r for r in pseudonyms.hide_private(spark.createDataFrame(rows, "doc_id long, text string"), "secret").collect()}
+    for i, (b, (value, rest)) in enumerate(zip(before, clear)):
+        new = got[i].text
+        assert got[i].n_private == 1 and new.startswith(b) and new.endswith(rest) and len(new) == len(b + value + rest), value
+        own = new[len(b):len(new) - len(rest)]
+        assert own != value and all(own[k:k + 16] not in value for k in range(0, len(own) - 15, 16)), value
+    assert got[20].n_private == 2 and "4222222222222" not in got[20].text and "2024-02-29" not in got[20].text
+    assert got[21].n_private == 1 and "4111 1111 1111 1111" not in got[21].text
+    assert got[0].text[:19] == got[21].text[3:] == got[10].text[:19]
+    assert [got[i].n_private for i in (22, 23)] == [0, 0] and got[22].text == rows[-2][1] and got[23].text == rows[-1][1]
+
+
 def test_feistel_is_a_permutation(spark):
     digits = spark.range(1000).select(F.transform(F.split(F.lpad(F.col("id").cast("string"), 3, "0"), ""), lambda c: c.cast("int")).alias("d"))
     moved = digits.select(pseudonyms.permute(F.col("d"), pseudonyms._ten(F.col("d")), "k", "x").alias("p")).distinct()

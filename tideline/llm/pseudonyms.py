@@ -5,7 +5,9 @@ permuted by a keyed Feistel network inside their own format: a valid card number
 becomes another valid card number, a date another date, a letter stays a letter
 and a digit a digit. The permutation depends on the key and the kind of value
 alone, so equal values get equal pseudonyms in every document, also where they
-are punctuated in another way, and whoever has the key can undo it.
+are punctuated in another way, and whoever has the key can undo it. Cards and IBANs
+are looked for at every group of a longer run, and of two at one place the longer
+valid one is taken, so an expiry or a currency behind a number does not hide it.
 
 A Feistel round adds a keyed hash of one half of the value to the other half,
 symbol by symbol, modulo the size of each symbol's alphabet. Days are walked
@@ -29,21 +31,26 @@ ROUNDS = 8
 FIRST_DAY, DAYS = "1900-01-01", 73_049  # up to 2099-12-31
 LOWER, UPPER, HEX = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
 
-#: Kind: pattern. The first that fits at a place decides; all are bounded in length.
+#: Kind: pattern. The first that fits at a place decides.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
-    "password": r"(?i:password|passwd|pwd)[ ]?[=:][ ]?[^\s\"']{4,64}",
+    "password": r"(?i:password|passwd|pwd)[ ]?[=:][ ]?[^\s\"']{4,}+",
     "access_key": r"(?<![0-9A-Za-z])A[KS]IA[0-9A-Z]{16}(?![0-9A-Za-z])",
-    "hex_secret": r"(?<![0-9A-Za-z])[0-9a-f]{32,128}(?![0-9A-Za-z])",
+    "hex_secret": r"(?<![0-9A-Za-z])[0-9a-f]{32,}+(?![0-9A-Za-z])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
     "date": r"(?<![0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[/.][0-9]{2}[/.][0-9]{4})(?![0-9])",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?:\+[0-9]{1,3}[ .-]?)(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])"
-             r"|(?<![0-9+])(?:\([0-9]{3}\) ?|[0-9]{3}-)[0-9]{3}-[0-9]{4}(?![0-9-])",
+             r"|\+[0-9]{1,3}[ .-]?(?:[0-9](?:[ .-][0-9]{2}){4}|[0-9]{1,4}(?:[ .-][0-9]{2,4}){3})(?![0-9])"
+             r"|(?<![0-9+])(?:\([0-9]{3}\) ?|[0-9]{3}-)[0-9]{3}-[0-9]{4}(?![0-9-])"
+             r"|(?<![0-9+])(?:\([0-9]{3}\)[ .]?[0-9]{3}[ .]|[0-9]{3} [0-9]{3} )[0-9]{4}(?![0-9])"
+             r"|(?<![0-9+.])[0-9]{3}\.[0-9]{3}\.[0-9]{4}(?!\.?[0-9])",
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Kinds with check digits, and what may not stand beside them. Any part of a run of groups may be the value,
+#: so a text is searched for those of its own values that validate, not for the pattern.
+CHECKED = {"iban": "[0-9A-Za-z]", "card": "[0-9]"}
 #: No pattern fits a text without one of these.
 HINT = "[0-9@]|(?i:passw|pwd)|A[KS]IA"
 
@@ -122,9 +129,11 @@ def _letters(text: Column, key: str, kind: str) -> Column:
         moved = permute(
             F.transform(held, lambda c: F.instr(alphabet(c), c) - 1), F.transform(held, lambda c: F.length(alphabet(c))), key, kind
         )
-        return let(moved, lambda m: let(places, lambda p: F.array_join(F.transform(cs, lambda c, k: F.coalesce(
-            let(F.get(m, F.array_position(p, k).cast("int") - 1), lambda at: F.substring(alphabet(c), at + 1, F.lit(1))), c
-        )), "")))
+        # sorted back into place, as a secret may be long
+        changed = F.zip_with(places, moved, lambda k, x: F.struct(
+            k.alias("k"), F.substring(alphabet(F.get(cs, k)), x + 1, F.lit(1)).alias("c")))
+        kept = F.filter(F.transform(cs, lambda c, k: F.struct(k.alias("k"), c.alias("c"))), lambda x: ~x["c"].rlike("[0-9A-Za-z]"))
+        return F.array_join(F.transform(F.array_sort(F.concat(changed, kept)), lambda x: x["c"]), "")
     return let(_chars(text), rebuilt)
 
 
@@ -185,6 +194,11 @@ def _date(text: Column, key: str) -> Column:
     ).otherwise(rewritten("dd.MM.yyyy", "dd.MM.yyyy"))
 
 
+def _remainder_is_one(text: Column) -> Column:
+    bare = F.regexp_replace(text, " ", "")
+    return _mod97(F.concat(F.substring(bare, 5, 60), F.substring(bare, 1, 4))) == 1
+
+
 def _iban(text: Column, key: str) -> Column:
     """Country and shape stay; the check digits are made anew."""
     def moved(bare: Column) -> Column:
@@ -199,8 +213,42 @@ def _iban(text: Column, key: str) -> Column:
             F.substring(new, k + 1 - (k - F.length(F.regexp_replace(F.substring(text, F.lit(1), k), " ", ""))), F.lit(1))
         )), ""))
     bare = F.regexp_replace(text, " ", "")
-    valid = _mod97(F.concat(F.substring(bare, 5, 60), F.substring(bare, 1, 4))) == 1
-    return F.when(valid, let(let(bare, moved), spaced))
+    return F.when(_remainder_is_one(text), let(let(bare, moved), spaced))
+
+
+def _valid_cards(text: Column) -> Column:
+    """Runs of whole groups of digits that pass the Luhn test; they may overlap."""
+    runs = F.concat(*[F.regexp_extract_all(text, F.lit(
+        rf"(?<![0-9])(?=([0-9](?:[ -]?[0-9]){{{n - 1}}})(?![0-9]))"
+    ), F.lit(1)) for n in range(13, 20)])
+    passed = F.filter(F.array_distinct(runs), lambda m: F.pmod(_luhn(_digits(m)), F.lit(10)) == 0)
+    return F.when(text.rlike("[0-9](?:[ -]?[0-9]){12}"), passed).otherwise(F.array().cast("array<string>"))
+
+
+def _valid_ibans(text: Column) -> Column:
+    """Runs of whole groups that pass the remainder test, all with the same start as a run of the longest."""
+    runs = F.regexp_extract_all(text, F.lit(
+        r"(?<![0-9A-Za-z])(?=([A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){8,31})(?![0-9A-Za-z]))"
+    ), F.lit(1))
+    parts = F.flatten(F.transform(F.array_distinct(runs), lambda run: let(F.split(run, " "), lambda groups: F.transform(
+        F.sequence(F.lit(1), F.size(groups)), lambda n: F.array_join(F.slice(groups, F.lit(1), n), " ")
+    ))))
+    passed = F.filter(F.array_distinct(parts), lambda m: m.rlike(f"^(?:{PATTERNS['iban']})$") & _remainder_is_one(m))
+    return F.when(text.rlike("[A-Z]{2}[0-9]{2}[ ]?[A-Z0-9]"), passed).otherwise(F.array().cast("array<string>"))
+
+
+def _searched(ibans: Column, cards: Column) -> Column:
+    """The pattern of a text: that of each kind, or for checked kinds the text's valid values, the longest first."""
+    def values(found: Column, beside: str) -> Column:
+        longest = F.transform(F.reverse(F.array_sort(F.transform(found, lambda m: F.struct(F.length(m).alias("n"), m.alias("m"))))), lambda x: x["m"])
+        return F.when(F.size(found) > 0, F.concat(
+            F.lit(f"(?:(?<!{beside})(?:"), F.array_join(longest, "|"), F.lit(f")(?!{beside}))")
+        ))
+
+    own = {"iban": ibans, "card": cards}
+    return F.concat_ws("|", *[
+        values(own[kind], CHECKED[kind]) if kind in CHECKED else F.lit(f"(?:{p})") for kind, p in PATTERNS.items()
+    ])
 
 
 def pseudonym(match: Column, key: str) -> Column:
@@ -227,14 +275,16 @@ def pseudonym(match: Column, key: str) -> Column:
 def hide_private(docs: DataFrame, key: str, text: str = "text", count: str = "n_private") -> DataFrame:
     """All rows and columns with the text rewritten, and the number of values replaced in it (long)."""
     raw = F.col(text)
-    found = F.when(raw.rlike(HINT), F.regexp_extract_all(raw, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    matched = docs.withColumn("_found", found)
+    searched = docs.withColumns({"_ibans": _valid_ibans(raw), "_cards": _valid_cards(raw)}).withColumn(
+        "_any", _searched(F.col("_ibans"), F.col("_cards")))
+    found = F.when(raw.rlike(HINT), F.regexp_extract_all(raw, "_any", F.lit(0))).otherwise(F.array().cast("array<string>"))
+    matched = searched.withColumn("_found", found)
     new = F.transform("_found", lambda m: F.struct(m.alias("was"), pseudonym(m, key).alias("now")))
     moved = matched.withColumn("_new", F.when(F.size("_found") > 0, new).otherwise(F.array()))
     joined = F.array_join(F.zip_with(
-        F.split(raw, ANY, -1), "_new", lambda part, m: F.concat(part, F.coalesce(m["now"], m["was"], F.lit("")))
+        F.split(raw, F.col("_any"), -1), "_new", lambda part, m: F.concat(part, F.coalesce(m["now"], m["was"], F.lit("")))
     ), "")
     return moved.withColumns({
         text: F.when(F.size("_new") > 0, joined).otherwise(raw),
         count: F.size(F.filter("_new", lambda m: m["now"].isNotNull())).cast("long"),
-    }).drop("_found", "_new")
+    }).drop("_ibans", "_cards", "_any", "_found", "_new")
