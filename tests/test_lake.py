@@ -96,6 +96,28 @@ def test_macro_scan_reads_provider_and_flat_folders(spark, tmp_path):
     }
 
 
+def test_unlisted_providers_and_classes_are_read(spark, tmp_path):
+    root = str(tmp_path)
+    macro = lambda sid: spark.createDataFrame([(D(2024, 1, 1), 1.0, sid)], "date date, value double, series_id string")
+    for load_type in ("historical", "daily"):
+        land(macro("p"), root, "economic", load_type, "dbnomics", "newone")
+        land(macro("q"), root, "economic", load_type, "dbnomics", "a:b c")
+        land(macro("b"), root, "bonds", load_type, "fred")
+        land(macro("r"), root, "rates", load_type, "dbnomics", "newone")
+        land(bars(spark, [D(2024, 1, 1)]), root, "funds", load_type)
+    assert run_silver(spark, root, "fred", "historical") == 1
+    assert run_silver(spark, root, "dbnomics", "historical") == 3
+    assert run_silver(spark, root, "yfinance", "historical") == 1
+    assert run_silver(spark, root, "dbnomics", "daily", "2024-01-01") == 3
+    economic = lake.scan_macro(spark, root, "transformed", SILVER_MACRO)
+    assert sorted((r.indicator, r.provider) for r in economic.collect()) == [("p", "newone")] * 2 + [("q", "a:b c")] * 2
+    every = lake.scan_macro(spark, root, "transformed", SILVER_MACRO, ["historical"], asset_classes=None)
+    assert {(r.indicator, r.asset_class, r.data_source, r.provider) for r in every.collect()} == {
+        ("p", "economic", "dbnomics", "newone"), ("q", "economic", "dbnomics", "a:b c"), ("b", "bonds", "fred", None),
+        ("r", "rates", "dbnomics", "newone"),
+    }
+
+
 def test_nanosecond_and_corrupt_files(spark, tmp_path):
     folder = tmp_path / "raw/asset_class=stocks/source=yfinance/load_type=historical"
     os.makedirs(folder)

@@ -12,7 +12,7 @@ from tideline.schemas import ASSET_CLASSES, DEFAULT_STATE_DATE, LOAD_STATE, STAT
 
 STATE_KEYS = ["asset_class", "source"]
 
-# Which asset classes each source's silver step covers.
+# Which asset classes of each source a run plans to load. Silver takes all that have landed.
 ROUTES = {
     "yfinance": ASSET_CLASSES,
     "fred": ["economic"],

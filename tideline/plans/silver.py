@@ -8,13 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.operators.cleanse import silver_crypto, silver_macro, silver_prices
-from tideline.operators.state import ROUTES
 from tideline.schemas import (
     BRONZE_CRYPTO,
     BRONZE_MACRO,
     BRONZE_PRICES,
     HISTORY_FLOOR,
-    MACRO_PROVIDERS,
 )
 from tideline.sinks.lake import write_silver
 from tideline.sources.lake import find_layer
@@ -28,7 +26,7 @@ def bronze_to_silver(
     day: dt.date | str | None = None,
     transform_timestamp: Column | None = None,
 ) -> DataFrame | None:
-    """Silver rows of every asset class routed to ``source``, as one plan.
+    """Silver rows of every asset class landed for ``source``, as one plan.
 
     ``day`` restricts a daily load to one folder per class. None when nothing
     has been landed.
@@ -40,8 +38,8 @@ def bronze_to_silver(
         "dbnomics": BRONZE_MACRO,
     }[source]
     bronze = find_layer(
-        spark, root, "raw", schema, source, ROUTES[source], [load_type],
-        [*MACRO_PROVIDERS, None] if source == "dbnomics" else [None], day,
+        spark, root, "raw", schema, source, None, [load_type],
+        None if source == "dbnomics" else [None], day,
         tolerate_corrupt=source in ("dbnomics", "cryptocompare"),
         skip_unreadable=source == "dbnomics", landed=True, with_keys=True,
     )

@@ -103,7 +103,6 @@ FETCH_FLOOR = "1980-01-01"
 DEFAULT_STATE_DATE = "2025-11-30"
 
 ASSET_CLASSES = ["stocks", "indices", "bonds", "crypto", "commodities", "currencies"]
-MACRO_PROVIDERS = ["bis_data", "ecb_direct", "eurostat", "imf", "oecd", "worldbank"]
 
 YFINANCE_SERIES = {
     "^GSPC": "sp500",

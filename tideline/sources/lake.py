@@ -7,7 +7,8 @@ Layout below a root folder, as Hive-style keys::
 
 The folder depth differs between sources and load types, so a scan names the
 prefixes it needs. Only those are listed, which on a large lake is cheaper than
-discovering every partition and pruning afterwards.
+discovering every partition and pruning afterwards. Where any asset class or
+provider may have been landed, their folders alone are listed first.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideline.operators.resolve import union_all
-from tideline.schemas import ASSET_CLASSES, BASE_COLUMNS, MACRO_PROVIDERS, conform, conform_landed
+from tideline.schemas import ASSET_CLASSES, BASE_COLUMNS, conform, conform_landed
 
 LOAD_TYPES = ["historical", "daily"]
 
@@ -47,6 +48,25 @@ def prefix(
     return "/".join([root.rstrip("/"), layer, *keys])
 
 
+def landed_keys(
+    spark: SparkSession, root: str, layer: str, source: str, asset_class: str | None = None, providers: bool = False
+) -> list[str]:
+    """Asset classes that have a folder of ``source``, or the providers below one of them."""
+    above = f"{root.rstrip('/')}/{layer}/asset_class="
+    found = f"{asset_class}/source={source}/provider=*" if providers else f"*/source={source}"
+    jvm = spark._jvm
+    pattern = jvm.org.apache.hadoop.fs.Path(above + found)
+    files = pattern.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    folders = [f.getPath() for f in files.globStatus(pattern) or [] if f.isDirectory()]
+    names = [(p if providers else p.getParent()).getName() for p in folders]
+    return sorted(name.split("=", 1)[1] for name in names)
+
+
+def unescaped(spark: SparkSession, key: str) -> str:
+    """Value of a folder key, as Spark's writer escapes some characters in it."""
+    return spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(key)
+
+
 def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
 
@@ -142,9 +162,9 @@ def find_layer(
     layer: str,
     schema: T.StructType,
     source: str,
-    asset_classes: Sequence[str] = ASSET_CLASSES,
+    asset_classes: Sequence[str] | None = ASSET_CLASSES,
     load_types: Sequence[str] = LOAD_TYPES,
-    providers: Sequence[str | None] = (None,),
+    providers: Sequence[str | None] | None = (None,),
     day: dt.date | str | None = None,
     tolerate_corrupt: bool = False,
     landed: bool = False,
@@ -153,14 +173,17 @@ def find_layer(
 ) -> DataFrame | None:
     """Union of the named prefixes; ``day`` narrows the daily ones to one folder.
 
+    Without ``asset_classes`` all that the source has are read; without
+    ``providers`` all below each class and the flat folder.
     Prefixes that do not exist are skipped; None when there are none at all.
     ``with_keys`` sets asset_class and provider from the prefix of each row.
     """
     base = f"{root.rstrip('/')}/{layer}"
     types = ["daily"] if day is not None else load_types
     frames = []
-    for asset_class in asset_classes:
-        for provider in providers:
+    for asset_class in landed_keys(spark, root, layer, source) if asset_classes is None else asset_classes:
+        named = [*landed_keys(spark, root, layer, source, asset_class, providers=True), None] if providers is None else providers
+        for provider in named:
             for load_type in types:
                 path = prefix(root, layer, asset_class, source, load_type, provider, day)
                 frame = scan_prefix(
@@ -169,8 +192,10 @@ def find_layer(
                 if frame is None:
                     continue
                 if with_keys:
-                    keys = {"asset_class": F.lit(asset_class), "provider": F.lit(provider).cast("string")}
-                    frame = frame.withColumns(keys)
+                    keys = {"asset_class": asset_class, "provider": provider}
+                    frame = frame.withColumns({
+                        k: F.lit(None if v is None else unescaped(spark, v)).cast("string") for k, v in keys.items()
+                    })
                 frames.append(frame)
     return union_all(frames) if frames else None
 
@@ -188,12 +213,16 @@ def scan_macro(
     schema: T.StructType,
     load_types: Sequence[str] = LOAD_TYPES,
     day: dt.date | str | None = None,
+    asset_classes: Sequence[str] | None = ("economic",),
 ) -> DataFrame:
-    """Both macro sources, one of them with per-provider and flat folders, tagged by origin."""
+    """Both macro sources, one of them with per-provider and flat folders, tagged by origin.
+
+    The wide table is made of the economic class; without ``asset_classes`` all are read.
+    """
     frames = [
-        scan_layer(spark, root, layer, schema, source, ["economic"], load_types, providers, day)
+        scan_layer(spark, root, layer, schema, source, asset_classes, load_types, providers, day)
         .withColumn("data_source", F.lit(source))
-        for source, providers in (("fred", [None]), ("dbnomics", [*MACRO_PROVIDERS, None]))
+        for source, providers in (("fred", [None]), ("dbnomics", None))
     ]
     return union_all(frames)
 
