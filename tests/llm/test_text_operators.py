@@ -125,6 +125,29 @@ def test_url_models_tell_kinds_apart(spark):
     assert score["http://abcabc.com/de/1"] > 0 > score["http://zyxwvu.com/de/1"]
 
 
+def test_url_models_use_every_ruled_url(spark):
+    """A kind whose hosts all fall into one fold is in the models, and all folds are in the calibration."""
+    names = spark.range(400).select(F.format_string("v%dxw.net", "id").alias("host"))
+    one_fold = [r.host for r in names.where(F.pmod(F.xxhash64("host"), F.lit(url_models.FOLDS)) == 0).collect()][:6]
+    known = [(f"http://{h}/es/{k}", False) for h in one_fold for k in range(20)]
+    known += [(f"http://{'abcde'[k % 5] * 2}{k}.com/de/{k}", True) for k in range(60)]
+    new = ["http://v7xw.org/es/3", "http://aa9.org/de/4"]
+    rows = spark.createDataFrame([(u,) for u, _ in known] + [(u,) for u in new], "url string")
+    got = {r.url: r for r in url_models.filter_urls(rows, rules=(("allow", "com/"), ("block", "net/es/"))).collect()}
+    models = url_models.fit_models(spark.createDataFrame(known, "url string, accepted boolean"))
+    want = {r.url: r.score for r in url_models.ratios(rows, models).collect()}
+    assert {u: got[u].score for u in want} == pytest.approx(want)
+    assert got[new[0]].verdict == "block" and got[new[0]].score < 0 < got[new[1]].score
+    fold = F.pmod(F.xxhash64(url_models.host_of(F.col("url"))), F.lit(url_models.FOLDS)).cast("int")
+    ruled = spark.createDataFrame(known, "url string, accepted boolean").withColumns({"fold": fold, "n": F.lit(1)})
+    unseen = {r.url: (r.fold, r.score) for r in url_models.unseen_scores(ruled, url_models.count_grams(ruled)).collect()}
+    assert len(unseen) == len(known)
+    for k in (0, 3):
+        part = ruled.where(F.col("fold") == k)
+        rest = {r.url: r.score for r in url_models.ratios(part, url_models.fit_models(ruled.where(F.col("fold") != k))).collect()}
+        assert {u: s for u, (f, s) in unseen.items() if f == k} == pytest.approx(rest)
+
+
 def brute_classes(sets, threshold):
     """Smallest id that each set reaches by links."""
     up = {i: i for i in sets}

@@ -2,8 +2,10 @@
 
 Rules decide the urls they fit. From these, one variable-order Markov model of
 accepted and one of rejected urls is estimated. A url that no rule fits is
-allowed if the mean log-likelihood ratio of its characters reaches a threshold,
-calibrated on urls of hosts that the models have not seen.
+allowed if the mean log-likelihood ratio of its characters reaches a threshold.
+The models are estimated on every url that a rule decides. The threshold is
+calibrated on all of these too, each scored by models without its host's fold
+(without its url's fold where the hosts of a kind are all in one).
 
 Characters fall into 32 classes (a-z, any digit, ``.``, ``-``, ``/``, any other,
 and the border of a url), so that a model over contexts of up to three characters
@@ -84,27 +86,33 @@ def _grams(url: Column) -> Column:
     ))
 
 
-def fit_models(urls: DataFrame) -> DataFrame:
-    """For each gram of four classes the log-likelihood ratio of its last: gram, ratio.
-
-    ``urls`` has url and accepted (boolean). Witten-Bell smoothing: a context
-    trusts its own counts as far as it has been seen, by how many different
-    characters followed it, and the next shorter context for the rest.
-    """
-    grams = urls.select("accepted", F.explode(_grams(F.col("url"))).alias("gram"))
-    counts = grams.groupBy("gram").agg(
+def count_grams(urls: DataFrame) -> DataFrame:
+    """fold, gram and how often it occurs in accepted (yes) and rejected (no) ``urls``: url, accepted, fold."""
+    grams = urls.select("accepted", "fold", F.explode(_grams(F.col("url"))).alias("gram"))
+    return grams.groupBy("fold", "gram").agg(
         F.count_if(F.col("accepted")).cast("double").alias("yes"),
         F.count_if(~F.col("accepted")).cast("double").alias("no"),
     )
+
+
+def smooth_counts(counts: DataFrame, models: int) -> DataFrame:
+    """From model, gram, yes and no: model, context and the log-likelihood ratios of the class behind it.
+
+    Witten-Bell smoothing: a context trusts its own counts as far as it has been
+    seen, by how many different characters followed it, and the next shorter
+    context for the rest.
+    """
     last = F.col("gram") % CLASSES
-    rows = counts.groupBy(F.floor(F.col("gram") / CLASSES).cast("int").alias("context")).agg(*[
+    rows = counts.groupBy("model", F.floor(F.col("gram") / CLASSES).cast("int").alias("context")).agg(*[
         F.array(*[F.sum(F.when(last == c, F.col(kind)).otherwise(0.0)) for c in range(CLASSES)]).alias(kind)
         for kind in ("yes", "no")
     ])
-    full = urls.sparkSession.range(CLASSES ** ORDER, numPartitions=1).select(F.col("id").cast("int").alias("context"))
+    full = counts.sparkSession.range(models * CLASSES ** ORDER, numPartitions=1).select(
+        F.floor(F.col("id") / CLASSES ** ORDER).cast("int").alias("model"), (F.col("id") % CLASSES ** ORDER).cast("int").alias("context")
+    )
     nothing = F.array_repeat(F.lit(0.0), CLASSES)
-    level = full.join(rows, "context", "left").select(
-        "context", *[F.coalesce(k, nothing).alias(k) for k in ("yes", "no")]
+    level = full.join(rows, ["model", "context"], "left").select(
+        "model", "context", *[F.coalesce(k, nothing).alias(k) for k in ("yes", "no")]
     )
 
     def smooth(counted: Column, shorter: Column) -> Column:
@@ -118,20 +126,49 @@ def fit_models(urls: DataFrame) -> DataFrame:
     below = None
     for order in range(ORDER + 1):
         size = CLASSES ** order
-        here = level.groupBy((F.col("context") % size).alias("context")).agg(*[
+        here = level.groupBy("model", (F.col("context") % size).alias("context")).agg(*[
             F.array(*[F.sum(F.get(k, F.lit(c))) for c in range(CLASSES)]).alias(k) for k in ("yes", "no")
         ])
         if below is None:
-            smoothed = here.select("context", *[smooth(F.col(k), uniform).alias(k) for k in ("yes", "no")])
+            smoothed = here.select("model", "context", *[smooth(F.col(k), uniform).alias(k) for k in ("yes", "no")])
         else:
-            shorter = below.select(F.col("context").alias("_c"), F.col("yes").alias("_yes"), F.col("no").alias("_no"))
-            smoothed = here.join(shorter, F.col("context") % (size // CLASSES) == F.col("_c")).select(
-                "context", *[smooth(F.col(k), F.col(f"_{k}")).alias(k) for k in ("yes", "no")]
+            shorter = below.select(F.col("model").alias("_m"), F.col("context").alias("_c"), F.col("yes").alias("_yes"), F.col("no").alias("_no"))
+            smoothed = here.join(shorter, (F.col("model") == F.col("_m")) & (F.col("context") % (size // CLASSES) == F.col("_c"))).select(
+                "model", "context", *[smooth(F.col(k), F.col(f"_{k}")).alias(k) for k in ("yes", "no")]
             )
         below = smoothed
-    return below.select(F.posexplode(F.zip_with("yes", "no", lambda a, b: F.log(a / b))).alias("last", "ratio"), "context").select(
-        (F.col("context") * CLASSES + F.col("last")).alias("gram"), "ratio"
-    )
+    return below.select("model", "context", F.zip_with("yes", "no", lambda a, b: F.log(a / b)).alias("ratios"))
+
+
+def whole_model(counts: DataFrame) -> DataFrame:
+    """Gram and ratio of the model of all folds."""
+    summed = counts.groupBy("gram").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
+    return smooth_counts(summed.withColumn("model", F.lit(0)), 1).select(
+        F.posexplode("ratios").alias("last", "ratio"), "context"
+    ).select((F.col("context") * CLASSES + F.col("last")).alias("gram"), "ratio")
+
+
+def fit_models(urls: DataFrame) -> DataFrame:
+    """For each gram of four classes the log-likelihood ratio of its last: gram, ratio. ``urls`` has url and accepted."""
+    return whole_model(count_grams(urls.select("url", "accepted", F.lit(0).alias("fold"))))
+
+
+def unseen_scores(urls: DataFrame, counts: DataFrame) -> DataFrame:
+    """``urls`` (url, accepted, fold, n) with the score by the model of the other folds' counts.
+
+    A row of the models holds a context's ratios in every model; 32**3 rows are broadcast.
+    """
+    others = F.array(*[F.lit(k) for k in range(FOLDS)])
+    spread = counts.select(F.explode(F.filter(others, lambda k: k != F.col("fold"))).alias("model"), "gram", "yes", "no")
+    summed = spread.groupBy("model", "gram").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
+    wide = smooth_counts(summed, FOLDS).groupBy("context").agg(*[
+        F.first(F.when(F.col("model") == k, F.col("ratios")), ignorenulls=True).alias(f"m{k}") for k in range(FOLDS)
+    ])
+    last = F.col("gram") % CLASSES
+    ratio = F.coalesce(*[F.when(F.col("fold") == k, F.get(f"m{k}", last)) for k in range(FOLDS)])
+    grams = urls.select("*", F.explode(_grams(F.col("url"))).alias("gram")).withColumn(
+        "context", F.floor(F.col("gram") / CLASSES).cast("int"))
+    return grams.join(F.broadcast(wide), "context").groupBy("url", "accepted", "fold", "n").agg(F.avg(ratio).alias("score"))
 
 
 def ratios(urls: DataFrame, models: DataFrame) -> DataFrame:
@@ -148,7 +185,7 @@ def ratios(urls: DataFrame, models: DataFrame) -> DataFrame:
 
 
 def calibrate(scored: DataFrame) -> float:
-    """Threshold on ``score`` with the largest sum of the rates of right verdicts.
+    """Threshold on ``score`` with the largest sum of the rates of right verdicts; a row counts ``n`` times.
 
     Scores are counted in bins of 1/64 nat within 16 nats of zero, so the table
     of cuts is bounded. The cut nearest to zero wins a tie.
@@ -156,7 +193,8 @@ def calibrate(scored: DataFrame) -> float:
     edge = F.floor(F.col("score") * BINS_PER_NAT)
     limit = WIDEST * BINS_PER_NAT
     bins = scored.groupBy(F.greatest(F.least(edge, F.lit(limit)), F.lit(-limit)).alias("bin")).agg(
-        F.count_if("accepted").alias("yes"), F.count_if(~F.col("accepted")).alias("no"),
+        F.sum(F.when(F.col("accepted"), F.col("n")).otherwise(0)).alias("yes"),
+        F.sum(F.when(F.col("accepted"), 0).otherwise(F.col("n"))).alias("no"),
     )
     upward = W.orderBy("bin").rowsBetween(0, W.unboundedFollowing)
     downward = W.orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
@@ -180,13 +218,15 @@ def filter_urls(
     }).withColumn("_ruled", apply_rules(F.col("host"), F.col("path"), rules))
     known = ruled.where(F.col("_ruled").isNotNull()).select(
         raw.alias("url"), (F.col("_ruled.verdict") == "allow").alias("accepted"),
-        (F.pmod(F.xxhash64("host"), F.lit(FOLDS)) == 0).alias("held"),
+        F.pmod(F.xxhash64("host"), F.lit(FOLDS)).cast("int").alias("fold"),
     )
-    models = fit_models(known.where(~F.col("held")).select("url", "accepted"))
-    scores = materialize(ratios(pages.select(raw.alias("url")), models), "url-scores")
-    keyed = F.coalesce("url", F.lit(""))
-    held = known.where("held").select("accepted", keyed.alias("url")).join(scores, "url")
-    threshold = calibrate(held)
+    spread = known.agg(*[F.count_distinct(F.when(F.col("accepted") == kind, F.col("fold"))) for kind in (True, False)]).first()
+    if min(spread) == 1:  # the models without that fold would know nothing of a kind
+        known = known.withColumn("fold", F.pmod(F.xxhash64("url"), F.lit(FOLDS)).cast("int"))
+    counts = materialize(count_grams(known), "url-grams")
+    scores = materialize(ratios(pages.select(raw.alias("url")), whole_model(counts)), "url-scores")
+    repeated = known.groupBy("url", "accepted", "fold").agg(F.count("*").alias("n"))
+    threshold = calibrate(unseen_scores(repeated, counts))
     found = scores.select(F.col("url").alias("_url"), "score")
     return ruled.drop("score").withColumn("_key", F.coalesce(raw, F.lit(""))).join(
         found, F.col("_key") == F.col("_url"), "left"
