@@ -16,6 +16,11 @@ reach(id, r) AS (
 ),
 least AS (SELECT id, min(r) AS r FROM reach GROUP BY id)"""
 
+#: crc32 of a decimal id, bit by bit.
+_CRC = """xor(4294967295::BIGINT, list_reduce(list_concat([4294967295::BIGINT],
+        flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: list_concat([-ascii(c)::BIGINT], repeat([-1000::BIGINT], 8))))),
+        lambda h, x: CASE WHEN x > -1000 THEN xor(h, -x) WHEN h % 2 = 1 THEN xor(h // 2, 3988292384::BIGINT) ELSE h // 2 END))"""
+
 ORACLE: dict[str, str] = {
     "op4_set_join": f"""
 WITH RECURSIVE words AS (
@@ -53,4 +58,38 @@ counts AS (SELECT a, count(*) AS n FROM links GROUP BY a),
 {_REACH}
 SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(r, vec_id) AS component_id, coalesce(r, vec_id) = vec_id AS kept
 FROM embeddings LEFT JOIN least ON id = vec_id LEFT JOIN counts ON a = vec_id""",
+    "op11_periodic_runs": f"""
+WITH split AS (
+    SELECT doc_id, {_CRC} AS h, list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '') AS w
+    FROM documents
+),
+cut AS (SELECT *, CASE WHEN len(w) > 0 THEN h // 10 % len(w) END AS a FROM split),
+texts AS (
+    SELECT doc_id, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN list_transform(range(len(w)),
+        lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (len(w) - a) // (3 + h // 10 % 8)) END]) ELSE w END AS w
+    FROM cut
+),
+words AS (SELECT doc_id, len(w) AS n, unnest(w) AS word, unnest(range(len(w))) AS i FROM texts),
+pairs AS (
+    SELECT x.doc_id, x.i, y.i - x.i AS q FROM words x JOIN words y
+    ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n
+),
+marked AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM pairs),
+stretches AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS n FROM marked GROUP BY doc_id, q, island),
+runs AS (
+    SELECT doc_id, s AS start, n AS length, min(q) AS period FROM stretches WHERE n >= greatest(6, 4 * q) GROUP BY doc_id, s, n
+),
+found AS (
+    SELECT doc_id, count(*) AS n_runs, string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS lines,
+        first(struct_pack(start, length, period) ORDER BY length DESC, start, period) AS best
+    FROM runs GROUP BY doc_id
+),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+left_over AS (
+    SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, best.length AS length, best.period AS period,
+    1000 * best.length // best.period AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256,
+    sha256(coalesce(t.text, '')) AS collapsed_sha256
+FROM documents d LEFT JOIN found f ON d.doc_id = f.doc_id LEFT JOIN left_over t ON d.doc_id = t.doc_id""",
 }

@@ -13,6 +13,7 @@ from tideline.llm import (
     curve_packing,
     graded_quality,
     language_model,
+    periodic,
     pseudonyms,
     quality_votes,
     repeats,
@@ -108,3 +109,41 @@ def op10_byte_bpe(spark, sf_dir):
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+def _with_cycles(docs: DataFrame) -> DataFrame:
+    """A tenth of the documents, chosen by their id, repeat one stretch of words to their end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.filter(F.split("text", "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != "")
+
+    def cycled(all_words):
+        n = F.size(all_words).cast("long")
+        at = g % n
+        period = 1 + F.floor((n - at) / (3 + g % 8))
+        return F.transform(
+            all_words, lambda w, i: F.when(i < at, w).otherwise(F.get(all_words, (at + (i - at) % period).cast("int")))
+        )
+
+    # bound by a lambda, the words are split once and not for each of them
+    joined = F.get(F.transform(F.array(words), lambda ws: F.when(F.size(ws) > 0, F.array_join(cycled(ws), " "))), F.lit(0))
+    return docs.withColumn("text", F.when(h % 10 == 0, joined).otherwise(F.col("text")))
+
+
+@register
+def op11_periodic_runs(spark, sf_dir):
+    """Runs of each text and the text without repeats; the digests are Spark's."""
+    docs = _with_cycles(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = periodic.periodic_runs(docs, keep_text=False)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period")
+    )))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    length, start, period = best["length"], -best["start"], -best["period"]
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"),
+        start.alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
