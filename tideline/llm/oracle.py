@@ -92,4 +92,16 @@ SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, best.length
     1000 * best.length // best.period AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256,
     sha256(coalesce(t.text, '')) AS collapsed_sha256
 FROM documents d LEFT JOIN found f ON d.doc_id = f.doc_id LEFT JOIN left_over t ON d.doc_id = t.doc_id""",
+    "op13_warc": """
+WITH payloads AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+digests AS (SELECT page_id, payload, sha1(payload) AS hex, max(page_id) OVER (PARTITION BY payload) AS original FROM payloads),
+bits AS (
+    SELECT *, list_transform(range(4), lambda k: ('0x' || substr(hex, 1 + 10 * k, 10))::BIGINT) AS parts FROM digests
+)
+SELECT page_id, octet_length(payload) AS payload_bytes,
+    list_aggregate(flatten(list_transform(parts, lambda x: list_transform(range(8), lambda k:
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((x >> (35 - 5 * k)) % 32)::INTEGER, 1)))), 'string_agg', '') AS payload_digest,
+    CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id <> original THEN original END AS refers_to
+FROM bits""",
 }

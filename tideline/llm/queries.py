@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm import (
+    archives,
     byte_bpe,
     curve_packing,
     graded_quality,
@@ -22,7 +23,7 @@ from tideline.llm import (
     vector_join,
 )
 from tideline.llm.common import table
-from tideline.session import materialize
+from tideline.session import materialize, scratch_path
 
 #: A cluster passes its own secret to hide_private; the queries need a reproducible one.
 QUERY_KEY = "tideline-query-key"
@@ -147,3 +148,16 @@ def op11_periodic_runs(spark, sf_dir):
         F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
         F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
     )
+
+
+@register
+def op13_warc(spark, sf_dir):
+    """Pages as WARC records of archives in the shared folder, read back."""
+    path = scratch_path(spark, "archives")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    archives.write_archives(pages, path, "page_id", "url", "html", prefix="page")
+    found = archives.read_archives(spark, path, with_payload=False)
+    return found.select(
+        archives.key_of("record_id", "page").cast("long").alias("page_id"), "payload_bytes", "payload_digest",
+        "record_type", archives.key_of("refers_to", "page").cast("long").alias("refers_to"),
+    )
