@@ -92,6 +92,28 @@ SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, best.length
     1000 * best.length // best.period AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256,
     sha256(coalesce(t.text, '')) AS collapsed_sha256
 FROM documents d LEFT JOIN found f ON d.doc_id = f.doc_id LEFT JOIN left_over t ON d.doc_id = t.doc_id""",
+    "op12_hard_negatives": """
+WITH vectors AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+    SELECT a.vec_id AS anchor_id, x.vec_id AS id, x.label = a.label AS equal, list_inner_product(a.e, x.e)::BIGINT AS score
+    FROM vectors a JOIN vectors x ON a.vec_id <> x.vec_id AND len(a.e) = len(x.e) WHERE a.vec_id % 100 = 0
+),
+positives AS (
+    SELECT * FROM scored WHERE equal
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT p.anchor_id, p.id AS positive_id,
+    row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id)::INTEGER AS rank,
+    n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON p.anchor_id = n.anchor_id AND NOT n.equal
+    AND 80 * p.score <= 100 * n.score AND n.score <= p.score
+QUALIFY rank <= 5""",
     "op13_warc": """
 WITH payloads AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
 digests AS (SELECT page_id, payload, sha1(payload) AS hex, max(page_id) OVER (PARTITION BY payload) AS original FROM payloads),

@@ -13,6 +13,7 @@ from tideline.llm import (
     byte_bpe,
     curve_packing,
     graded_quality,
+    hard_negatives,
     language_model,
     periodic,
     pseudonyms,
@@ -150,6 +151,15 @@ def op11_periodic_runs(spark, sf_dir):
     )
 
 
+@register
+def op12_hard_negatives(spark, sf_dir):
+    """Anchors are the rows with an id divisible by 100; where 7 divides it, the row has the next label."""
+    rows = table(spark, sf_dir, "embeddings").withColumn(
+        "label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    )
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
 @register
 def op13_warc(spark, sf_dir):
     """Pages as WARC records of archives in the shared folder, read back."""
