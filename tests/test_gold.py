@@ -5,9 +5,10 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tideline.operators.cleanse import clip_dates
-from tideline.plans import gold
+from tideline.functions.timeseries import base_100, by_series
+from tideline.plans import carry, gold
 from tideline.plans.silver import run_silver
 from tideline.plans.warehouse import published_rows
 from tideline.schemas import (
@@ -129,18 +130,101 @@ def test_wide_table_against_pandas(spark):
     assert got["gold_ret"].isna().all()
 
 
-def test_append_equals_full_refresh_and_is_idempotent(spark, tmp_path):
-    panel = small_panel(spark, long_panel(days=120)).cache()
-    full = gold.build_gold(panel)
-    cut = D(2022, 6, 1)
-    gold.build_gold(clip_dates(panel, end="2022-06-08")).write.parquet(str(tmp_path / "g0"))
-    fresh = clip_dates(panel, start=str(cut))
-    for step in (0, 1):
-        existing = lake.base_columns_only(spark.read.parquet(str(tmp_path / f"g{step}")))
-        out = gold.build_gold(*gold.merge_day(existing, fresh, gold.GoldOptions()))
-        out.write.parquet(str(tmp_path / f"g{step + 1}"))
-    for name in ("g1", "g2"):
-        pd.testing.assert_frame_equal(as_frame(spark.read.parquet(str(tmp_path / name))), as_frame(full), rtol=1e-9)
+def observations(spark, rows):
+    """Rows (series, date, value[, priority[, version]])."""
+    full = [(*r, *(1, TS(2024, 1, 1))[len(r) - 3:]) for r in rows]
+    return spark.createDataFrame(full, "series string, date date, value double, priority int, version timestamp")
+
+
+def filled_and_based(panel):
+    """A small derived table: filled values and base-100 prices by date."""
+    grid = gold.daily_grid(panel)
+    normed = grid.withColumn("norm", base_100("value", by_series()))
+    return normed.groupBy("date").agg(*[
+        F.max(F.when(F.col("series") == c, F.col(f))).alias(f"{c}_{f}") for c in ("cc_us", "cc_jp", "sp500", "gold") for f in ("value", "norm")
+    ])
+
+
+SMALL = "date date, " + ", ".join(f"{c}_{f} double" for c in ("cc_us", "cc_jp", "sp500", "gold") for f in ("value", "norm"))
+
+
+def check_appends(spark, tmp_path, batches, compute, schema):
+    """One refresh of everything, against a rebuild from the first batch and appends of the others."""
+    whole, store = (carry.Store(str(tmp_path / d), schema) for d in ("full", "steps"))
+    full = carry.rebuild(spark, whole, observations(spark, sum(batches, [])), compute)
+    carry.rebuild(spark, store, observations(spark, batches[0]), compute)
+    for batch in batches[1:]:
+        out = carry.append(spark, store, observations(spark, batch), compute)
+    pd.testing.assert_frame_equal(as_frame(out), as_frame(full), rtol=1e-9)
+    for name in ("observed", "carry"):
+        a, b = ({tuple(r) for r in x.read(spark, name).collect()} for x in (store, whole))
+        assert a == b
+    return store
+
+
+@pytest.fixture(scope="module")
+def history():
+    """Over two years of weekdays, gaps, and slow series that report on weekends too."""
+    rows = long_panel(days=520)
+    return rows + [("cc_us", D(2022, 1, 1) + dt.timedelta(days=37 * i), 90.0 + i % 7) for i in range(20)]
+
+
+@pytest.mark.parametrize("fill_first", [False, True])
+def test_late_and_weekend_values_appended_equal_a_refresh(spark, tmp_path, history, fill_first):
+    late = [r for r in history if (r[1].weekday() > 4 and r[1].year == 2023) or (r[0] == "sp500" and r[1].month == 5)]
+    late += [r for r in history if r[0] == "cc_us" and r[1] < D(2022, 6, 1)]
+    rest = [r for r in history if r not in late]
+    cut = D(2023, 11, 20)
+    batches = [[r for r in rest if r[1] < cut], [r for r in rest if r[1] >= cut], late]
+    options = gold.GoldOptions(fill_first=fill_first)
+    check_appends(spark, tmp_path, batches, lambda panel: gold.build_gold(panel, options), gold_schema())
+
+
+def test_appends_out_of_order_over_gaps_and_before_the_start(spark, tmp_path):
+    d = [D(2024, 3, 4), D(2024, 3, 5), D(2024, 9, 2), D(2024, 9, 3), D(2023, 1, 2), D(2024, 6, 8), D(2025, 2, 3)]
+    batches = [
+        [("sp500", d[0], 100.0), ("cc_us", d[0], 1.0)], [("sp500", d[2], 110.0)], [("cc_us", d[5], 2.0)], [("cc_jp", d[4], 7.0)],
+        [("gold", d[1], 5.0), ("cc_us", d[1], 3.0)], [], [("gold", d[6], None), ("sp500", d[3], 99.0)], [("gold", d[6], 6.0)],
+    ]
+    batches.append(batches[1])  # landed twice
+    schema = T.StructType.fromDDL(SMALL)
+    check_appends(spark, tmp_path, batches, filled_and_based, schema)
+
+
+def test_preferred_source_newer_version_and_known_value_win_in_any_order(spark, tmp_path):
+    day, t = D(2024, 3, 4), [TS(2024, 1, k) for k in range(1, 5)]
+    rows = [
+        ("cc_jp", day, 1.0, 2, t[3]), ("cc_jp", day, 2.0, 1, t[0]), ("cc_jp", day, 3.0, 1, t[1]), ("cc_jp", day, None, 1, t[2]),
+        ("sp500", day, None, 1, t[3]), ("sp500", day, 5.0, 1, t[0]),
+    ]
+    for order in (rows, rows[::-1]):
+        assert {(r.series, r.value) for r in carry.strongest(observations(spark, order)).collect()} == {("cc_jp", 3.0), ("sp500", 5.0)}
+    store = check_appends(spark, tmp_path, [rows[2:3], rows[:2] + rows[4:5], rows[3:4] + rows[5:]], filled_and_based, T.StructType.fromDDL(SMALL))
+    assert [(r.cc_jp_value, r.sp500_value) for r in store.table(spark).collect()] == [(3.0, 5.0)]
+
+
+def test_append_reads_only_the_look_back_and_the_carry(spark, tmp_path, history, plan):
+    store = carry.Store(str(tmp_path), T.StructType.fromDDL(SMALL))
+    carry.rebuild(spark, store, observations(spark, history), filled_and_based)
+    start = carry.look_back(spark, store, 202312)
+    weekdays = {r[1] for r in history if r[1].weekday() < 5 and r[1] < D(2023, 12, 1)}
+    begin = D(start // 100, start % 100, 1)
+    later = min(D(m // 100, m % 100, 1) for m in store.months(spark) if m > start)
+    assert sum(x >= begin for x in weekdays) >= 252 > sum(x >= later for x in weekdays)
+    tail = carry.tail_panel(spark, store, start)
+    assert "PartitionFilters: [isnotnull(month#" in plan(tail) and f">= {start})]" in plan(tail) and f"= {start})]" in plan(tail)
+    series = {r[0] for r in history}
+    assert tail.count() <= sum(r[1] >= begin for r in history) + 4 * len(series)
+    assert carry.look_back(spark, store, 202201) == 202201
+    assert carry.look_back(spark, store, 202312, rows=10**6) == 202201
+
+
+def test_empty_store(spark, tmp_path):
+    store = carry.Store(str(tmp_path / "s"), T.StructType.fromDDL(SMALL))
+    assert carry.append(spark, store, observations(spark, []), filled_and_based).count() == 0
+    assert store.months(spark) == []
+    out = carry.append(spark, store, observations(spark, [("sp500", D(2024, 3, 4), 1.0), ("sp500", None, 2.0)]), filled_and_based)
+    assert [(r.date, r.sp500_value) for r in out.collect()] == [(D(2024, 3, 4), 1.0)]
 
 
 def write_silver(spark, root, days, close):

@@ -5,15 +5,14 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.operators.cleanse import history_floor
-from tideline.operators.metrics import add_metrics, pair_correlation
+from tideline.operators.metrics import add_norm, add_returns, add_volatility, add_zscore, pair_correlation
 from tideline.operators.panel import densify, fill_forward, keep_weekdays, map_series, with_gap
 from tideline.operators.resolve import keep_preferred, union_all
-from tideline.operators.upsert import upsert_rows
+from tideline.plans.carry import Store, append, rebuild, strongest
 from tideline.schemas import (
     ASSET_CLASSES,
     BASE_COLUMNS,
@@ -35,7 +34,7 @@ from tideline.schemas import (
 )
 from tideline.session import materialize
 from tideline.sinks.lake import write_published
-from tideline.sources.lake import base_columns_only, scan_layer, scan_macro
+from tideline.sources.lake import scan_layer, scan_macro
 
 
 PUBLISHED = "macro_market_merged"
@@ -66,8 +65,19 @@ def curated_panel(
     """Silver rows to one (series, date, value) row per curated column and day.
 
     Every version of a source's row folds to the newest; where two sources feed
-    one column the preferred one wins per date.
+    one column the preferred one that has a value wins per date.
     """
+    return strongest(curated_rows(prices, crypto, macro, floor, strict_sources)).select("series", "date", "value")
+
+
+def curated_rows(
+    prices: DataFrame,
+    crypto: DataFrame,
+    macro: DataFrame,
+    floor: str | None = HISTORY_FLOOR,
+    strict_sources: bool = False,
+) -> DataFrame:
+    """Silver rows of curated columns, with the source's priority and the row's version."""
     spark = prices.sparkSession
     rows = union_all([
         prices.select(
@@ -89,10 +99,9 @@ def curated_panel(
     dimension = series_dimension(spark)
     if strict_sources:
         dimension = keep_preferred(dimension, ["series"], "priority", ["series_id"])
-    mapped = map_series(rows, dimension, "series_id", known)
-    return keep_preferred(
-        mapped, ["series", "date"], "priority", ["transform_timestamp", "value"]
-    ).select("series", "date", "value")
+    return map_series(rows, dimension, "series_id", known).select(
+        "series", "date", "value", "priority", F.col("transform_timestamp").alias("version")
+    )
 
 
 def daily_grid(
@@ -114,9 +123,16 @@ def _cell(series: str, field: str, name: str) -> Column:
 
 
 def wide_table(grid: DataFrame, return_fill: str = "pad") -> DataFrame:
-    """Metrics per series, then one grouping by date into the fixed 96 columns."""
+    """Metrics per series, then one grouping by date into the fixed 96 columns.
+
+    The dense grid is written once; each set of metrics reads its own series from it.
+    """
     spark = grid.sparkSession
-    metrics = add_metrics(grid, return_fill)
+    grid = materialize(grid, "grid")
+    priced = grid.where(F.col("series").isin(list(METRIC_PREFIX)))
+    metrics = materialize(priced.transform(add_returns, return_fill).transform(add_volatility).transform(add_norm), "metrics")
+    scored = add_zscore(grid.where(F.col("series").isin(ZSCORE_COLUMNS)))
+    plain = grid.where(~F.col("series").isin([*METRIC_PREFIX, *ZSCORE_COLUMNS]))
     pairs = inline_rows(
         spark,
         [(name, a, b) for name, (a, b) in CORRELATION_PAIRS.items()],
@@ -127,7 +143,7 @@ def wide_table(grid: DataFrame, return_fill: str = "pad") -> DataFrame:
     corr = pair_correlation(returns, pairs).select(
         F.col("pair").alias("series"), "date", F.col("corr").alias("value")
     )
-    rows = metrics.unionByName(corr, allowMissingColumns=True)
+    rows = union_all([metrics, scored, plain, corr])
     cells = [_cell(c, "value", c) for c in BASE_COLUMNS]
     for column, prefix in METRIC_PREFIX.items():
         fields = ["ret", "norm"]
@@ -165,42 +181,32 @@ def _silver(spark: SparkSession, root: str, day: dt.date | str | None) -> tuple[
     )
 
 
+def gold_store(root: str) -> Store:
+    """Where the wide table keeps its observations, carried state and rows by month."""
+    return Store(f"{root.rstrip('/')}/curated/{PUBLISHED}_state", gold_schema())
+
+
 def full_refresh(spark: SparkSession, root: str, options: GoldOptions = GoldOptions()) -> DataFrame:
-    """The wide table from all historical and daily silver rows."""
-    panel = curated_panel(*_silver(spark, root, None), strict_sources=options.strict_sources)
-    return build_gold(panel, options)
+    """The wide table from all historical and daily silver rows, which also become the state of later appends."""
+    rows = curated_rows(*_silver(spark, root, None), strict_sources=options.strict_sources)
+    return rebuild(spark, gold_store(root), rows, lambda panel: build_gold(panel, options))
 
 
 def append_day(
-    spark: SparkSession,
-    root: str,
-    published: str,
-    day: dt.date | str,
-    options: GoldOptions = GoldOptions(),
+    spark: SparkSession, root: str, day: dt.date | str, options: GoldOptions = GoldOptions()
 ) -> DataFrame:
-    """The wide table after one more day: its rows replace those of the same date.
+    """The wide table after the silver rows that landed for one more day.
 
-    Derived columns are dropped from the published table and recomputed, so
-    appending a day twice, or appending instead of refreshing, gives equal rows.
-    Without a published table this is a full refresh.
+    Reads that day, the carried state and the look-back, not the history, and
+    gives the rows of a full refresh, also for a day in the past or a weekend.
+    Options must be those the table was made with. Without a state, as
+    beside a table published by other means, this is a full refresh.
     """
-    try:
-        existing = base_columns_only(spark.read.parquet(published))
-    except AnalysisException as err:
-        if err.getCondition() != "PATH_NOT_FOUND":
-            raise
+    store = gold_store(root)
+    if not store.months(spark):
         return full_refresh(spark, root, options)
-    fresh = curated_panel(*_silver(spark, root, day), floor=None, strict_sources=options.strict_sources)
-    return build_gold(*merge_day(existing, fresh, options))
-
-
-def merge_day(existing: DataFrame, fresh: DataFrame, options: GoldOptions) -> tuple:
-    """(panel, options, calendar) of published base columns with the new long rows."""
-    columns = [c for c in existing.columns if c != "date"]
-    old = existing.unpivot(["date"], columns, "series", "value").where("value IS NOT NULL")
-    panel = upsert_rows(old, fresh.select("series", "date", "value"), ["date"])
-    calendar = existing.select("date").union(fresh.select("date")).distinct()
-    return panel, options, calendar
+    rows = curated_rows(*_silver(spark, root, day), strict_sources=options.strict_sources)
+    return append(spark, store, rows, lambda panel: build_gold(panel, options))
 
 
 def run_gold(
@@ -210,9 +216,6 @@ def run_gold(
     options: GoldOptions = GoldOptions(),
 ) -> DataFrame:
     """Refresh the published table, or append ``day`` to it, and return it as published."""
-    if day is None:
-        gold = full_refresh(spark, root, options)
-    else:
-        gold = append_day(spark, root, f"{root.rstrip('/')}/curated/{PUBLISHED}.parquet", day, options)
+    gold = full_refresh(spark, root, options) if day is None else append_day(spark, root, day, options)
     parquet, _ = write_published(gold, root, PUBLISHED)
     return spark.read.schema(gold_schema()).parquet(parquet)

@@ -345,7 +345,7 @@ def _case(column: str, mapping: dict[str, str]) -> str:
     return f"CASE {column} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in mapping.items()) + " END"
 
 
-def gold_sql() -> str:
+def gold_sql(fill_first: bool = False) -> str:
     prices = {k: YFINANCE_SERIES[v] for k, v in GOLD_TICKERS.items()}
     coins = {"F": CRYPTOCOMPARE_SERIES["BTC-USD"], "O": CRYPTOCOMPARE_SERIES["ETH-USD"]}
     fred = {"R": FRED_SERIES["DFF"], "A": FRED_SERIES["DGS10"], "N": FRED_SERIES["CSCICP02JPM460S"]}
@@ -383,20 +383,21 @@ WITH {MACRO_ROWS}, sources AS (
   UNION ALL
   SELECT CAST(l_shipdate AS DATE), {_case('l_linestatus', coins)}, 1, l_orderkey, l_extendedprice FROM lineitem
   UNION ALL
-  SELECT date, {_case('series', fred)}, 1, 0, value FROM macro WHERE series <> 'N' OR month(date) % 2 = 0
+  SELECT date, {_case('series', fred)}, 1, 0, CASE WHEN series <> 'N' OR month(date) % 2 = 0 THEN value END FROM macro
   UNION ALL
   SELECT date, {_case('series', dbn)}, 2, 0, value FROM macro),
 panel AS (
   SELECT series, date, value FROM sources
-  WHERE series IS NOT NULL AND date >= DATE '{GOLD_FLOOR}' AND {WEEKDAY}
-  QUALIFY row_number() OVER (PARTITION BY series, date ORDER BY priority, version DESC, value DESC) = 1),
+  WHERE series IS NOT NULL AND date >= DATE '{GOLD_FLOOR}'{'' if fill_first else f' AND {WEEKDAY}'}
+  QUALIFY row_number() OVER (PARTITION BY series, date ORDER BY value IS NULL, priority, version DESC, value DESC) = 1),
 grid AS (
   SELECT s.series, d.date, p.value
   FROM (SELECT DISTINCT series FROM panel) s CROSS JOIN (SELECT DISTINCT date FROM panel) d
   LEFT JOIN panel p ON p.series = s.series AND p.date = d.date),
-dense AS (
+all_days AS (
   SELECT series, date, CASE WHEN series IN ({macro_list})
     THEN last_value(value IGNORE NULLS) OVER {SO_FAR} ELSE value END AS value FROM grid),
+dense AS (SELECT * FROM all_days WHERE {WEEKDAY}),
 {RETURNS}, {VOLS},
 full_metrics AS (
   SELECT *, value / nullif(first_value(value IGNORE NULLS) OVER
@@ -415,6 +416,7 @@ SELECT {order} FROM everything"""
 
 ORACLE["gold_wide_metrics"] = gold_sql()
 ORACLE["gold_append"] = gold_sql()
+ORACLE["gold_append_filled_first"] = gold_sql(fill_first=True)
 ORACLE["published_base_columns"] = (
     f"SELECT date, {', '.join(BASE_COLUMNS)} FROM ({gold_sql()})"
 )

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions.scalar import is_valid_ticker, parse_number, parse_period
 from tideline.operators import cleanse, metrics, panel, quality, resolve, state, universe, upsert
+from tideline.plans import carry
 from tideline.plans import gold as gold_plan
 from tideline.plans.silver import run_silver
 from tideline.schemas import (
@@ -559,9 +560,10 @@ def silver_standins(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
         for (source, flag), code in feeds.items()
     ])
     macro = monthly.select("date", "value", F.inline(variants)).where("indicator IS NOT NULL")
-    # the preferred source of cc_jp reports in even months only
-    late = (F.col("indicator") == "CSCICP02JPM460S") & (F.month("date") % 2 == 1)
-    macro = conform(macro.where(~late), SILVER_MACRO).withColumn("data_source", F.when(
+    # the preferred source of cc_jp has values in even months only
+    unknown = (F.col("indicator") == "CSCICP02JPM460S") & (F.month("date") % 2 == 1)
+    macro = macro.withColumn("value", F.when(~unknown, F.col("value")))
+    macro = conform(macro, SILVER_MACRO).withColumn("data_source", F.when(
         F.col("indicator").contains("/"), F.lit("dbnomics")).otherwise(F.lit("fred")))
     return prices, crypto, macro
 
@@ -578,15 +580,41 @@ def gold_wide_metrics(spark, sf_dir):
     return _gold_view(gold_plan.build_gold(rows))
 
 
+def _arrivals(rows: DataFrame) -> DataFrame:
+    """The batch that each observation lands in: history, a later part of it, a batch of late values.
+
+    Late are a preferred source, the weekends of one year, and one priced series in one month.
+    """
+    late = (
+        ((F.col("series") == "cc_jp") & (F.col("priority") == 1) & (F.year("date") == 2000))
+        | ((F.dayofweek("date").isin(1, 7)) & (F.year("date") == 1999))
+        | ((F.col("series") == "bitcoin_price") & (F.month("date") == 6) & (F.year("date") == 2000))
+    )
+    return rows.withColumn("batch", F.when(late, 2).when(F.col("date") >= "2001-03-01", 1).otherwise(0))
+
+
+def _appended(spark: SparkSession, sf_dir: str, options: gold_plan.GoldOptions) -> DataFrame:
+    rows = gold_plan.curated_rows(*silver_standins(spark, sf_dir), floor=GOLD_FLOOR)
+    landed = materialize(_arrivals(rows), "landed")
+    store = carry.Store(scratch_path(spark, "gold"), gold_schema())
+    steps = [landed.where(F.col("batch") == k).drop("batch") for k in (0, 1, 2)]
+    build = lambda rows: gold_plan.build_gold(rows, options)
+    carry.rebuild(spark, store, steps[0], build)
+    for step in steps[1:]:
+        out = carry.append(spark, store, step, build)
+    return _gold_view(out)
+
+
 @register
 def gold_append(spark, sf_dir):
-    """The last months appended to a published table must equal one full refresh."""
-    rows = gold_plan.curated_panel(*silver_standins(spark, sf_dir), floor=GOLD_FLOOR)
-    before = gold_plan.daily_grid(cleanse.clip_dates(rows, end="2001-03-31"))
-    published = materialize(panel.pivot_wide(before, BASE_COLUMNS), "published")
-    existing = lake.base_columns_only(published)
-    fresh = cleanse.clip_dates(rows, start="2001-03-01")
-    return _gold_view(gold_plan.build_gold(*gold_plan.merge_day(existing, fresh, gold_plan.GoldOptions())))
+    """Later months, then late values of earlier ones, appended: equal to one full refresh."""
+    return _appended(spark, sf_dir, gold_plan.GoldOptions())
+
+
+@register
+def gold_append_filled_first(spark, sf_dir):
+    """As gold_append, with weekend values of slow series carried into the week, also over the start of a tail."""
+    return _appended(spark, sf_dir, gold_plan.GoldOptions(fill_first=True))
 
 
 @register
