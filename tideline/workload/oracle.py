@@ -421,6 +421,17 @@ ORACLE["published_base_columns"] = (
     f"SELECT date, {', '.join(BASE_COLUMNS)} FROM ({gold_sql()})"
 )
 
+# -- endless series --------------------------------------------------------------------------
+
+ORACLE["endless_series"] = """
+WITH ticks AS (
+  SELECT CASE WHEN event_id % 10 < 7 THEN 'busy' ELSE event_type END AS series, ts, event_id,
+    CASE WHEN event_id % 3 > 0 THEN value END AS value FROM events)
+SELECT series, event_id, value, last_value(value IGNORE NULLS) OVER w AS filled,
+  value / nullif(first_value(value IGNORE NULLS) OVER w, 0) * 100.0 AS norm,
+  value / nullif(max(value) OVER w, 0) - 1.0 AS drawdown
+FROM ticks WINDOW w AS (PARTITION BY series ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+
 # -- upserts and marks ------------------------------------------------------------------------
 
 DAILY_ORDERS = """daily AS (

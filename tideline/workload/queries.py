@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.functions.scalar import is_valid_ticker, parse_number, parse_period
-from tideline.operators import cleanse, metrics, panel, quality, resolve, state, universe, upsert
+from tideline.operators import cleanse, metrics, panel, quality, resolve, scan, state, universe, upsert
 from tideline.plans import carry
 from tideline.plans import gold as gold_plan
 from tideline.plans.silver import run_silver
@@ -627,6 +627,20 @@ def published_base_columns(spark, sf_dir):
     return lake.base_columns_only(reconcile(cleanse.cleanse_csv(text)))
 
 
+# -- endless series --------------------------------------------------------------------
+
+
+@register
+def endless_series(spark, sf_dir):
+    """Fill, base 100 and drawdown per tick, without folding to days; one series has most of the rows."""
+    events = table(spark, sf_dir, "events")
+    ticks = events.select(
+        F.when(F.col("event_id") % 10 < 7, F.lit("busy")).otherwise(F.col("event_type")).alias("series"), "ts", "event_id",
+        F.when(F.col("event_id") % 3 > 0, F.col("value")).alias("value"),
+    )
+    return scan.running_metrics(ticks, order=["ts", "event_id"]).drop("ts")
+
+
 # -- upserts and marks -----------------------------------------------------------------
 
 
