@@ -1,6 +1,8 @@
 import datetime as dt
 import os
+import time
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -8,12 +10,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from tideline.operators.cleanse import silver_macro, silver_prices
+from tideline.operators import quality
 from tideline.plans.silver import bronze_to_silver, run_silver
 from tideline.schemas import BRONZE_PRICES, SILVER_MACRO, SILVER_PRICES, gold_schema
 from tideline.session import CHECKPOINT_CONF, materialize, scratch_path, shared_dir
 from tideline.sinks import lake as sink
 from tideline.sinks import warehouse
-from tideline.sources import jdbc, lake
+from tideline.sources import census, jdbc, lake
+from tideline.sources.lake import scan_prefix
 
 D = dt.date
 
@@ -241,3 +245,82 @@ def test_landed_files_of_other_writers(spark, tmp_path):
         "a": ("2024-01-02", 1, None, None), "b": ("2024-01-03", 2, None, None), "c": ("2024-01-02", 3, 7.0, None),
         "d": ("2024-01-03", None, 8.0, None), "e": ("2024-01-02", 5, None, 1.0), "f": ("2024-01-03", 6, None, 2.0),
     }
+
+
+def land_files(folder, count, kinds):
+    """Small files of several physical schemas, in turn."""
+    os.makedirs(folder)
+    for i in range(count):
+        columns = {"ticker": [f"t{i}"], "close": [float(i)], **kinds[i % len(kinds)]}
+        pq.write_table(pa.table(columns), folder / f"f{i:04d}.parquet")
+
+
+KINDS = [
+    {"date": pa.array([dt.datetime(2024, 1, 2)], pa.timestamp("us"))},
+    {"date": pa.array([1704153600 * 10**9], pa.int64())},
+    {"date": pa.array([1704153600 * 10**9], pa.int64()), "volume": [1.0]},
+    {"date": pa.array([dt.date(2024, 1, 2)], pa.date32()), "volume": pa.array([7], pa.int64()), "open": [1.0]},
+]
+
+
+def jobs_of(spark, run):
+    group = f"jobs-{time.time_ns()}"
+    spark.sparkContext.setJobGroup(group, group)
+    out = run()
+    found = spark.sparkContext.statusTracker().getJobIdsForGroup(group)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return out, len(found)
+
+
+def test_number_of_jobs_does_not_grow_with_the_files(spark, tmp_path):
+    jobs = []
+    for count in (160, 320):  # from 33 files in a scan on, Spark lists them in a job too
+        folder = tmp_path / str(count)
+        land_files(folder, count, KINDS)
+        scan = lambda: scan_prefix(spark, str(folder), str(folder), BRONZE_PRICES, landed=True)  # noqa: B023, E731
+        df, n = jobs_of(spark, scan)
+        jobs.append(n)
+        rows = {(r.ticker, r.close, str(r.date.date()), r.volume, r.open) for r in df.collect()}
+        assert rows == {
+            (f"t{i}", float(i), "2024-01-02", {2: 1, 3: 7}.get(i % 4), 1.0 if i % 4 == 3 else None) for i in range(count)
+        }
+    assert abs(jobs[0] - jobs[1]) <= 3  # adaptive stages come and go
+    groups = census.groups_by_schema(census.file_census(spark, str(folder)), spark.read)
+    assert sorted(len(files) for _, files in groups) == [80, 80, 160]  # a column more is no conflict
+
+
+def test_accounts_of_whole_partial_and_skipped_files(spark, tmp_path):
+    folder = tmp_path / "a b+c%20d"
+    land_files(folder, 6, KINDS[:1])
+    many = pa.table({"ticker": ["x"] * 50_000, "close": np.random.default_rng(0).random(50_000), "date": pa.array([dt.datetime(2024, 1, 2)] * 50_000, pa.timestamp("us"))})
+    pq.write_table(many, folder / "big.parquet", row_group_size=10_000, compression="none", use_dictionary=False)
+    raw = bytearray((folder / "big.parquet").read_bytes())
+    at = pq.ParquetFile(folder / "big.parquet").metadata.row_group(2).column(1).data_page_offset
+    raw[at:at + 200] = b"\xff" * 200  # the footer stays whole
+    (folder / "big.parquet").write_bytes(raw)
+    (folder / "none.parquet").write_bytes(b"")
+    (folder / "text.parquet").write_bytes(b"no columns")
+    pq.write_table(many.slice(0, 0), folder / "rowless.parquet")
+    found = census.file_census(spark, str(folder))
+    rows = scan_prefix(spark, str(folder), str(folder), BRONZE_PRICES, True, True, census=found, file_column="source_file")
+    assert rows.columns == [*BRONZE_PRICES.names, "source_file"]
+    rows = materialize(rows, "copy")
+    accounts = {os.path.basename(r.path): r for r in census.file_accounts(found, rows).collect()}
+    assert len(accounts) == 10
+    assert {k for k, r in accounts.items() if r.status == "read"} == {*(f"f{i:04d}.parquet" for i in range(6)), "rowless.parquet"}
+    assert {k for k, r in accounts.items() if r.status == "skipped"} == {"none.parquet", "text.parquet"}
+    assert accounts["big.parquet"].status == "partial" and accounts["big.parquet"].rows_read < accounts["big.parquet"].rows_expected == 50_000
+    totals = census.account_totals(census.file_accounts(found, rows)).first()
+    assert (totals.files_found, totals.files_read, totals.files_partial, totals.files_skipped) == (10, 7, 1, 2)
+    assert totals.rows_lost == 50_000 - accounts["big.parquet"].rows_read
+    with pytest.raises(ValueError, match="cannot be read.*none.parquet"):
+        scan_prefix(spark, str(folder), str(folder), BRONZE_PRICES, landed=True, census=found)
+
+
+def test_stage_counts_of_one_pass(spark):
+    df = spark.range(100)
+    out, seen = quality.staged(df, [("even", lambda d: d.where("id % 2 = 0")), ("small", lambda d: d.where("id < 10")), ("none", lambda d: d.where("id < 0"))])
+    assert out.count() == 0
+    assert [tuple(r)[1:] for r in quality.stage_report(spark, seen).orderBy("position").collect()] == [
+        ("even", 100, 50, 50), ("small", 50, 5, 45), ("none", 5, 0, 5)
+    ]

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideline.functions.scalar import is_weekday, safe_divide
 from tideline.functions.timeseries import by_series, ffill
 from tideline.operators.metrics import add_drawdown
+from tideline.schemas import inline_rows
+from tideline.sinks.lake import observed
 
 
 def span_report(df: DataFrame, column: str = "date") -> DataFrame:
@@ -31,6 +33,26 @@ def stage_counts(df: DataFrame, kept: Column, *keys: str) -> DataFrame:
     )
 
 
+def staged(df: DataFrame, stages: Sequence[tuple[str, Callable[[DataFrame], DataFrame]]]) -> tuple[DataFrame, dict[str, Observation]]:
+    """Apply named stages; each one's rows are counted on their way, in the pass that uses the result.
+
+    The counts are there once an action has run over all of the result.
+    """
+    seen = {"read": Observation("read")}
+    df = df.observe(seen["read"], F.count(F.lit(1)).alias("rows"))
+    for name, stage in stages:
+        seen[name] = Observation(name)
+        df = stage(df).observe(seen[name], F.count(F.lit(1)).alias("rows"))
+    return df, seen
+
+
+def stage_report(spark: SparkSession, seen: dict[str, Observation]) -> DataFrame:
+    """Rows that came to each stage, went on, and were removed."""
+    counts = [(name, observed(each, "rows")) for name, each in seen.items()]
+    rows = [(k, name, before, now, before - now) for k, ((_, before), (name, now)) in enumerate(zip(counts, counts[1:]), 1)]
+    return inline_rows(spark, rows, "position int, stage string, rows_read bigint, rows_kept bigint, rows_removed bigint")
+
+
 def weekend_report(df: DataFrame, *keys: str) -> DataFrame:
     return stage_counts(df, is_weekday("date"), *keys)
 

@@ -18,7 +18,7 @@ def _day_keys(df: DataFrame) -> DataFrame:
     })
 
 
-def _observed(seen: Observation, name: str) -> int:
+def observed(seen: Observation, name: str) -> int:
     """Observed count; a plan reduced to an empty relation reports no metrics at all."""
     try:
         return seen.get[name]
@@ -60,7 +60,7 @@ def write_layer(
         writer = writer.option("maxRecordsPerFile", rows_per_file)
     writer = writer.option("partitionOverwriteMode", "dynamic").mode("append" if append else "overwrite")
     writer.parquet(f"{root.rstrip('/')}/{layer}")
-    return _observed(seen, "rows")
+    return observed(seen, "rows")
 
 
 def write_raw(df: DataFrame, root: str, load_type: str, provider: bool = False) -> int:

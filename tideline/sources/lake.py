@@ -14,7 +14,6 @@ provider may have been landed, their folders alone are listed first.
 from __future__ import annotations
 
 import datetime as dt
-import json
 from collections.abc import Sequence
 
 from py4j.protocol import Py4JJavaError
@@ -25,6 +24,7 @@ from pyspark.sql import types as T
 
 from tideline.operators.resolve import union_all
 from tideline.schemas import ASSET_CLASSES, BASE_COLUMNS, conform, conform_landed
+from tideline.sources.census import file_census, groups_by_schema, source_file
 
 LOAD_TYPES = ["historical", "daily"]
 
@@ -91,29 +91,28 @@ def _has_files(spark: SparkSession, path: str) -> bool:
     return not files.select("path").isEmpty()
 
 
-def _landed_frames(reader: DataFrameReader, path: str) -> list[DataFrame]:
-    """One frame per physical schema below ``path``.
+def _landed_frames(
+    spark: SparkSession, reader: DataFrameReader, path: str, tolerate_corrupt: bool, census: DataFrame | None
+) -> list[DataFrame]:
+    """One frame per group of files whose types agree below ``path``.
 
     Columns that come and go are merged by Spark, which reads the footers in
     parallel. Where files disagree on a type (another time unit, a volume with
-    gaps), each is read with its own types and files of one schema share a scan.
+    gaps), a census of their footers puts files of one schema in one scan.
     """
-    try:
-        return [reader.option("mergeSchema", "true").parquet(path)]
-    except Py4JJavaError as err:  # thrown by the merging job, which PySpark does not convert
-        if "Failed merging schema" not in str(err.java_exception):
-            raise
-    plain = reader.option("mergeSchema", "false")
-    groups: dict[str, list[str]] = {}
-    for file in sorted(plain.parquet(path).inputFiles()):
+    if census is None:
         try:
-            found = plain.parquet(file).schema
-        except AnalysisException as err:
-            if err.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+            return [reader.option("mergeSchema", "true").parquet(path)]
+        except Py4JJavaError as err:  # thrown by the merging job, which PySpark does not convert
+            if "Failed merging schema" not in str(err.java_exception):
                 raise
-            continue  # unreadable, which the caller has asked to tolerate
-        groups.setdefault(found.json(), []).append(file)
-    return [plain.schema(T.StructType.fromJson(json.loads(s))).parquet(*files) for s, files in groups.items()]
+        census = file_census(spark, path)
+    if not tolerate_corrupt:
+        bad = [r.path for r in census.where("problem IS NOT NULL").select("path").limit(5).collect()]
+        if bad:
+            raise ValueError(f"files that cannot be read: {bad}")
+    plain = reader.option("mergeSchema", "false")
+    return [plain.schema(schema).parquet(*files) for schema, files in groups_by_schema(census, plain)]
 
 
 def scan_prefix(
@@ -124,6 +123,8 @@ def scan_prefix(
     tolerate_corrupt: bool = False,
     landed: bool = False,
     skip_unreadable: bool = False,
+    census: DataFrame | None = None,
+    file_column: str | None = None,
 ) -> DataFrame | None:
     """Every Parquet file below ``path``, or None when there is no such file.
 
@@ -131,7 +132,8 @@ def scan_prefix(
     effective, and yields NULL for columns a file does not have. ``landed``
     files, written by other tools, are read with their own types instead and
     converted, nanosecond timestamps included. Landed files of which none can be
-    read are an error unless ``skip_unreadable``.
+    read are an error unless ``skip_unreadable``. With a ``census`` of the files
+    their schemas are taken from it; ``file_column`` names a column for the file of each row.
     """
     reader = (
         spark.read.option("basePath", base)
@@ -142,7 +144,9 @@ def scan_prefix(
     if landed:
         spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
     try:
-        frames = _landed_frames(reader, path) if landed else [reader.schema(schema).parquet(path)]
+        frames = (
+            _landed_frames(spark, reader, path, tolerate_corrupt, census) if landed else [reader.schema(schema).parquet(path)]
+        )
     except AnalysisException as err:
         if err.getCondition() == "PATH_NOT_FOUND":
             return None
@@ -151,9 +155,15 @@ def scan_prefix(
                 return None
             raise ValueError(f"{path}: files found but none could be read") from err
         raise
+    if not frames:
+        return None
+    fixed = schema
+    if file_column is not None:
+        frames = [frame.withColumn(file_column, source_file()) for frame in frames]
+        fixed = T.StructType([*schema.fields, T.StructField(file_column, T.StringType())])
     if not landed:
-        return conform(frames[0], schema)
-    return union_all([conform_landed(from_nanoseconds(frame, schema), schema) for frame in frames])
+        return conform(frames[0], fixed)
+    return union_all([conform_landed(from_nanoseconds(frame, fixed), fixed) for frame in frames])
 
 
 def find_layer(

@@ -206,6 +206,21 @@ SELECT CAST(o_orderdate AS DATE) AS date, o_orderpriority AS ticker, o_totalpric
   CASE WHEN o_orderkey % 2 = 0 OR o_orderkey % 7 <> 0 THEN o_orderkey END AS volume
 FROM orders"""
 
+ORACLE["landed_many_files"] = """
+SELECT CAST(o_orderdate AS DATE) AS date, o_orderpriority AS ticker, CASE WHEN o_orderkey % 10 <> 3 THEN o_totalprice END AS close,
+  o_orderkey AS volume, o_orderkey % 4 >= 2 AND o_orderkey % 10 <> 3 AS adjusted
+FROM orders"""
+
+ORACLE["landed_skips"] = """
+WITH bars AS (SELECT CAST(o_orderdate AS DATE) >= DATE '1995-01-01' AS late, o_orderkey % 10 <> 3 AS priced, o_orderkey % 10 <> 4 AS valid FROM orders),
+n AS (
+  SELECT count(*) AS total, count(*) FILTER (late) AS late, count(*) FILTER (late AND priced) AS priced,
+    count(*) FILTER (late AND priced AND valid) AS valid FROM bars)
+SELECT 0 AS position, 'files' AS stage, 163::BIGINT AS rows_read, 160::BIGINT AS rows_kept, 3::BIGINT AS rows_removed
+UNION ALL SELECT 1, 'history_floor', total, late, total - late FROM n
+UNION ALL SELECT 2, 'priced', late, priced, late - priced FROM n
+UNION ALL SELECT 3, 'valid_bars', priced, valid, priced - valid FROM n"""
+
 ORACLE["crypto_landed_values"] = """
 SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE o_orderstatus END AS ticker,
   CASE WHEN o_orderkey % 3 = 0 THEN DATE '2024-01-05' ELSE CAST(o_orderdate AS DATE) END AS date

@@ -30,7 +30,7 @@ from tideline.schemas import (
 from tideline.session import materialize, scratch_path
 from tideline.sinks import lake as sink
 from tideline.sinks.warehouse import reconcile, rows_to_append
-from tideline.sources import lake, landing
+from tideline.sources import census, lake, landing
 from tideline.sources import universe as documents
 from tideline.streaming import ingest
 from tideline.workload.standins import (
@@ -347,6 +347,72 @@ def landed_mixed_files(spark, sf_dir):
     return landed.select(F.to_date("date").alias("date"), "ticker", "close", "adj_close", "volume")
 
 
+def _order_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as landed bars; a tenth has no close, another one crossed extremes."""
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(
+        k.alias("key"), F.to_date("o_orderdate").cast("timestamp_ntz").alias("date"), F.col("o_orderpriority").alias("ticker"),
+        F.when(k % 10 != 3, F.col("o_totalprice")).alias("close"), (F.col("o_totalprice") + 1).alias("high"),
+        F.when(k % 10 == 4, F.col("o_totalprice") + 2).otherwise(F.col("o_totalprice")).alias("low"), k.alias("volume"),
+    )
+
+
+def _land_many_files(spark: SparkSession, sf_dir: str, root: str) -> None:
+    """Four writers that disagree on types and columns, some dozens of small files each."""
+    bars = _order_bars(spark, sf_dir)
+    nanos = F.unix_micros(F.col("date").cast("timestamp")) * 1000
+    writers = [
+        {}, {"date": nanos}, {"date": nanos, "volume": F.col("volume").cast("double"), "adj_close": F.col("close")},
+        {"volume": F.col("volume").cast("string"), "adj_close": F.col("close").cast("float")},
+    ]
+    for k, columns in enumerate(writers):
+        rows = bars.where(F.col("key") % 4 == k).withColumns(columns).drop("key")
+        rows.repartition(40).write.mode("append").parquet(f"{root}/files")
+
+
+def _put(spark: SparkSession, path: str, content: bytes) -> None:
+    """A file with these bytes on any file system of Spark's."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(target)
+    out.write(content, 0, len(content))
+    out.close()
+
+
+@register
+def landed_many_files(spark, sf_dir):
+    """A folder of small files with four physical schemas: one census, a scan per group of types."""
+    root = scratch_path(spark, "landed")
+    _land_many_files(spark, sf_dir, root)
+    landed = lake.scan_prefix(spark, root, f"{root}/files", BRONZE_PRICES, landed=True)
+    return landed.select(F.to_date("date").alias("date"), "ticker", "close", "volume", F.col("adj_close").isNotNull().alias("adjusted"))
+
+
+@register
+def landed_skips(spark, sf_dir):
+    """Files found, read and skipped, then rows removed by each cleaning stage, of one tolerant pass."""
+    root = scratch_path(spark, "landed")
+    _land_many_files(spark, sf_dir, root)
+    for k, content in enumerate([b"", b"PAR1", b"not a file of columns" * 99]):
+        _put(spark, f"{root}/files/damaged-{k}.parquet", content)
+    found = census.file_census(spark, f"{root}/files")
+    landed = lake.scan_prefix(
+        spark, root, f"{root}/files", BRONZE_PRICES, tolerate_corrupt=True, landed=True, census=found, file_column="source_file"
+    )
+    copy = materialize(landed, "landed")
+    totals = census.account_totals(census.file_accounts(found, copy))
+    kept, seen = quality.staged(copy, [
+        ("history_floor", lambda df: cleanse.history_floor(df, "1995-01-01")),
+        ("priced", lambda df: df.where("close IS NOT NULL")), ("valid_bars", cleanse.valid_bars),
+    ])
+    materialize(kept, "kept")
+    stages = quality.stage_report(spark, seen)
+    files = totals.select(
+        F.lit(0).alias("position"), F.lit("files").alias("stage"), F.col("files_found").alias("rows_read"),
+        F.col("files_read").alias("rows_kept"), F.col("files_skipped").alias("rows_removed"),
+    )
+    return files.unionByName(stages)
+
+
 @register
 def crypto_landed_values(spark, sf_dir):
     """Exchange bars whose ticker is known only as symbol, or whose date only from the load's day."""
