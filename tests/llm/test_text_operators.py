@@ -302,6 +302,64 @@ def test_pseudonyms_of_values_beside_others(spark):
     assert [got[i].n_private for i in (22, 23)] == [0, 0] and got[22].text == rows[-2][1] and got[23].text == rows[-1][1]
 
 
+def feistel(values, sizes, key, kind, undo=False):
+    """The keyed permutation and its inverse, written anew."""
+    cut = len(values) // 2
+    halves = [list(values[:cut]), list(values[cut:])]
+    parts = [sizes[:cut], sizes[cut:]]
+    for turn in (range(7, -1, -1) if undo else range(8)):
+        k = turn % 2
+        text = "|".join([key, kind, str(turn), str(len(halves[k])), ",".join(map(str, halves[1 - k]))])
+        noise = hashlib.sha512(text.encode()).digest()
+        halves[k] = [(x + (-1) ** undo * noise[i % 64]) % n for i, (x, n) in enumerate(zip(halves[k], parts[k]))]
+    return halves[0] + halves[1]
+
+
+#: A number of each country, and its calling code.
+PHONES = {
+    "+442079460958": "44", "+14155552671": "1", "+33123456789": "33", "+4930901820": "49", "+390612345678": "39", "+34912345678": "34",
+    "+41446681800": "41", "+4312345678": "43", "+31201234567": "31", "+3225551234": "32", "+4512345678": "45", "+46812345678": "46",
+    "+4721234567": "47", "+35891234567": "358", "+351211234567": "351", "+302101234567": "30", "+48221234567": "48", "+420212345678": "420",
+    "+74951234567": "7", "+81312345678": "81", "+8613812345678": "86", "+911123456789": "91", "+5511912345678": "55", "+27111234567": "27",
+    "+97221234567": "972", "+61212345678": "61",
+}
+
+
+def test_phones_of_many_countries_leave_no_digits_but_their_code(spark):
+    def spaced(number, code, mark):
+        own = number[len(code) + 1:]
+        return f"+{code}{mark}" + mark.join(own[k:k + 3] for k in range(0, len(own) - 3, 3)) + mark + own[(len(own) - 1) // 3 * 3:]
+    forms = [(n, c, f) for n, c in PHONES.items() for f in (n, spaced(n, c, " "), spaced(n, c, "."), f"+{c} ({n[len(c) + 1:len(c) + 3]}) {n[len(c) + 3:]}")]
+    rows = [(i, f"call {f} now", "x") for i, (_, _, f) in enumerate(forms)]
+    got = pseudonyms.hide_private(spark.createDataFrame(rows, "doc_id long, text string, _any string"), "secret").collect()
+    for r in got:
+        number, code, form = forms[r.doc_id]
+        own = [int(c) for c in number[len(code) + 1:]]
+        moved = feistel(own, [10] * len(own), "secret", "phone")
+        assert feistel(moved, [10] * len(own), "secret", "phone", undo=True) == own
+        assert re.sub("[^0-9]", "", r.text) == code + "".join(map(str, moved)), form
+        assert r.n_private == 1 and re.sub("[0-9]", "0", r.text) == re.sub("[0-9]", "0", f"call {form} now")
+        assert r._any == "x"  # a column of the input
+
+
+def test_secrets_with_quotes_and_other_names(spark):
+    secrets = {
+        '{"password": "hunter2xx"}': "hunter2xx", "pwd='s3cr3t!!'": "s3cr3t!!", 'api_key = "sk-live-4242abcd"': "sk-live-4242abcd",
+        "API-KEY: Zx81Yw72Vu": "Zx81Yw72Vu", '"client_secret":"q1w2e3r4t5"': "q1w2e3r4t5", "access_token=ya29.a0AfH6": "ya29.a0AfH6",
+    }
+    clear = ["the secret: patience and time", "token = unlimited", "monkey: 12345678", "api_key = short1"]
+    rows = list(enumerate([*secrets, *clear]))
+    got = {r.doc_id: r for r in pseudonyms.hide_private(spark.createDataFrame(rows, "doc_id long, text string"), "secret").collect()}
+    for i, (text, value) in enumerate(secrets.items()):
+        sizes = [10 if c.isdigit() else 26 for c in value if c.isalnum()]
+        numbers = [int(c) if c.isdigit() else ord(c.lower()) - 97 for c in value if c.isalnum()]
+        moved = iter(feistel(numbers, sizes, "secret", "password" if re.search("(?i)passw|pwd", text) else "secret"))
+        new = "".join(c if not c.isalnum() else str(next(moved)) if c.isdigit() else chr(next(moved) + ord("A" if c.isupper() else "a")) for c in value)
+        assert (got[i].text, got[i].n_private) == (text.replace(value, new), 1)
+    for i, text in enumerate(clear, len(secrets)):
+        assert (got[i].text, got[i].n_private) == (text, 0)
+
+
 def test_feistel_is_a_permutation(spark):
     digits = spark.range(1000).select(F.transform(F.split(F.lpad(F.col("id").cast("string"), 3, "0"), ""), lambda c: c.cast("int")).alias("d"))
     moved = digits.select(pseudonyms.permute(F.col("d"), pseudonyms._ten(F.col("d")), "k", "x").alias("p")).distinct()

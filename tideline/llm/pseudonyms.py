@@ -31,18 +31,31 @@ ROUNDS = 8
 FIRST_DAY, DAYS = "1900-01-01", 73_049  # up to 2099-12-31
 LOWER, UPPER, HEX = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
 
+#: Country calling codes of one and two digits; all others have three.
+CALLING_CODES = "1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
+#: Names that a secret is given by, and what stands between name and value. A value beside the second has a digit.
+PASSWORD_NAME = r"(?i:password|passwd|pwd)[\"']?[ ]?[=:][ ]?[\"']?"
+SECRET_NAME = (
+    r"(?i:(?:api|secret|access|private|auth)[_-]?(?:access[_-]?)?(?:key|token)|client[_-]?secret|token|secret)"
+    r"[\"']?[ ]?[=:][ ]?[\"']?"
+)
+
+#: A number ends where no digit and no short group of them follows (a year may).
+LAST_GROUP = r"(?![0-9])(?![ .-][0-9]{1,3}(?![0-9]))"
 #: Kind: pattern. The first that fits at a place decides.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
-    "password": r"(?i:password|passwd|pwd)[ ]?[=:][ ]?[^\s\"']{4,}+",
+    "password": PASSWORD_NAME + r"[^\s\"']{4,}+",
+    "secret": SECRET_NAME + r"(?=[^\s\"']*[0-9])[^\s\"']{8,}+",
     "access_key": r"(?<![0-9A-Za-z])A[KS]IA[0-9A-Z]{16}(?![0-9A-Za-z])",
     "hex_secret": r"(?<![0-9A-Za-z])[0-9a-f]{32,}+(?![0-9A-Za-z])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
     "date": r"(?<![0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[/.][0-9]{2}[/.][0-9]{4})(?![0-9])",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"(?:\+[0-9]{1,3}[ .-]?)(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])"
-             r"|\+[0-9]{1,3}[ .-]?(?:[0-9](?:[ .-][0-9]{2}){4}|[0-9]{1,4}(?:[ .-][0-9]{2,4}){3})(?![0-9])"
+    "phone": r"(?:\+[0-9]{1,3}[ .-]?)(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}" + LAST_GROUP +
+             r"|\+[0-9]{1,3}[ .-]?(?:[0-9](?:[ .-][0-9]{2}){4}|[0-9]{1,4}(?:[ .-][0-9]{2,4}){3})" + LAST_GROUP +
+             r"|\+[1-9](?:[ .()-]{0,3}[0-9]){7,14}(?![0-9])"
              r"|(?<![0-9+])(?:\([0-9]{3}\) ?|[0-9]{3}-)[0-9]{3}-[0-9]{4}(?![0-9-])"
              r"|(?<![0-9+])(?:\([0-9]{3}\)[ .]?[0-9]{3}[ .]|[0-9]{3} [0-9]{3} )[0-9]{4}(?![0-9])"
              r"|(?<![0-9+.])[0-9]{3}\.[0-9]{3}\.[0-9]{4}(?!\.?[0-9])",
@@ -156,8 +169,8 @@ def _card(text: Column, key: str) -> Column:
 
 
 def _phone(text: Column, key: str) -> Column:
-    """The country code stays."""
-    code = F.length(F.regexp_extract(text, r"^\+([0-9]*)", 1))
+    """The country code stays, which is told by its digits, so spacing makes no difference."""
+    code = F.length(F.regexp_extract(text, rf"^\+({CALLING_CODES}|[0-9]{{3}})", 1))
     return let(_digits(text), lambda d: let(
         let(F.slice(d, code + 1, F.size(d)), lambda own: F.concat(F.slice(d, 1, code), permute(own, _ten(own), key, "phone"))),
         lambda n: _refill(text, n),
@@ -256,11 +269,15 @@ def pseudonym(match: Column, key: str) -> Column:
     def is_a(kind: str) -> Column:
         return match.rlike(f"^(?:{PATTERNS[kind]})$")
 
-    after = F.regexp_extract(match, r"^(?:(?i:password|passwd|pwd)[ ]?[=:][ ]?)", 0)
+    def value_of(name: str, kind: str) -> Column:
+        before = F.regexp_extract(match, f"^(?:{name})", 0)
+        return F.concat(before, _letters(F.substring(match, F.length(before) + 1, F.length(match)), key, kind))
+
     at = F.instr(match, F.lit("@"))
     return (
         F.when(is_a("email"), F.concat(_letters(F.substring(match, F.lit(1), at - 1), key, "email"), F.substring(match, at, F.length(match))))
-        .when(is_a("password"), F.concat(after, _letters(F.substring(match, F.length(after) + 1, F.length(match)), key, "password")))
+        .when(is_a("password"), value_of(PASSWORD_NAME, "password"))
+        .when(is_a("secret"), value_of(SECRET_NAME, "secret"))
         .when(is_a("access_key"), F.concat(F.substring(match, 1, 4), _letters(F.substring(match, 5, 16), key, "access_key")))
         .when(is_a("hex_secret"), _hex(match, key, "hex_secret"))
         .when(is_a("iban"), _iban(match, key))
@@ -275,16 +292,18 @@ def pseudonym(match: Column, key: str) -> Column:
 def hide_private(docs: DataFrame, key: str, text: str = "text", count: str = "n_private") -> DataFrame:
     """All rows and columns with the text rewritten, and the number of values replaced in it (long)."""
     raw = F.col(text)
-    searched = docs.withColumns({"_ibans": _valid_ibans(raw), "_cards": _valid_cards(raw)}).withColumn(
-        "_any", _searched(F.col("_ibans"), F.col("_cards")))
-    found = F.when(raw.rlike(HINT), F.regexp_extract_all(raw, "_any", F.lit(0))).otherwise(F.array().cast("array<string>"))
-    matched = searched.withColumn("_found", found)
-    new = F.transform("_found", lambda m: F.struct(m.alias("was"), pseudonym(m, key).alias("now")))
-    moved = matched.withColumn("_new", F.when(F.size("_found") > 0, new).otherwise(F.array()))
+    mark = "_" * (1 + max(len(c) for c in docs.columns))  # longer than any column's name, so none is hidden
+    ibans, cards, pattern, matches, pairs = (f"{mark}{k}" for k in range(5))
+    searched = docs.withColumns({ibans: _valid_ibans(raw), cards: _valid_cards(raw)}).withColumn(
+        pattern, _searched(F.col(ibans), F.col(cards)))
+    found = F.when(raw.rlike(HINT), F.regexp_extract_all(raw, pattern, F.lit(0))).otherwise(F.array().cast("array<string>"))
+    matched = searched.withColumn(matches, found)
+    new = F.transform(matches, lambda m: F.struct(m.alias("was"), pseudonym(m, key).alias("now")))
+    moved = matched.withColumn(pairs, F.when(F.size(matches) > 0, new).otherwise(F.array()))
     joined = F.array_join(F.zip_with(
-        F.split(raw, F.col("_any"), -1), "_new", lambda part, m: F.concat(part, F.coalesce(m["now"], m["was"], F.lit("")))
+        F.split(raw, F.col(pattern), -1), pairs, lambda part, m: F.concat(part, F.coalesce(m["now"], m["was"], F.lit("")))
     ), "")
     return moved.withColumns({
-        text: F.when(F.size("_new") > 0, joined).otherwise(raw),
-        count: F.size(F.filter("_new", lambda m: m["now"].isNotNull())).cast("long"),
-    }).drop("_ibans", "_cards", "_any", "_found", "_new")
+        text: F.when(F.size(pairs) > 0, joined).otherwise(raw),
+        count: F.size(F.filter(pairs, lambda m: m["now"].isNotNull())).cast("long"),
+    }).drop(ibans, cards, pattern, matches, pairs)
