@@ -459,6 +459,16 @@ SELECT date, high, orders FROM daily WHERE date < DATE '2001-01-01'
   OR (date <= DATE '2001-01-31' AND date NOT IN (SELECT date FROM daily WHERE date >= DATE '2001-01-01'))
 UNION ALL SELECT date, NULL, orders * 10 FROM daily WHERE date >= DATE '2001-01-01'"""
 
+ORACLE["upsert_touched_months"] = f"""
+WITH {DAILY_ORDERS}
+SELECT date, high, CASE WHEN date BETWEEN DATE '1996-01-01' AND DATE '1996-03-31' AND day(date) <> 5
+  THEN orders * 10 ELSE orders END AS orders FROM daily"""
+
+ORACLE["compacted_bars"] = """
+SELECT CAST(year(l_shipdate) AS INTEGER) AS year, count(*) AS bars, sum(l_quantity) AS quantity,
+  count(DISTINCT l_partkey) AS parts, true AS as_planned
+FROM lineitem GROUP BY 1"""
+
 ORACLE["upsert_cells_by_date"] = f"""
 WITH {DAILY_ORDERS}
 SELECT date, CASE WHEN date <= DATE '2001-01-31' THEN high END AS high,

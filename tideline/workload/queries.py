@@ -28,6 +28,7 @@ from tideline.schemas import (
     inline_rows,
 )
 from tideline.session import materialize, scratch_path
+from tideline.sinks import files
 from tideline.sinks import lake as sink
 from tideline.sinks.warehouse import reconcile, rows_to_append
 from tideline.sources import census, lake, landing
@@ -724,6 +725,36 @@ def upsert_by_date(spark, sf_dir):
     return upsert.upsert_rows(old, new)
 
 
+@register
+def upsert_touched_months(spark, sf_dir):
+    """A revised quarter upserted into a table by month; other months are neither read nor rewritten."""
+    daily = _daily_orders(spark, sf_dir).withColumn("month", F.trunc("date", "month"))
+    path = scratch_path(spark, "by_month")
+    batch = cleanse.clip_dates(daily, "1996-01-01", "1996-03-31").where(F.dayofmonth("date") != 5)
+    batch = batch.withColumn("orders", F.col("orders") * 10)
+    for rows in (daily, batch, batch):
+        files.upsert_partitions(spark, path, daily.schema, rows, ["date"], "month")
+    return spark.read.schema(daily.schema).parquet(path).drop("month")
+
+
+@register
+def compacted_bars(spark, sf_dir):
+    """Small files by year compacted to a size in bytes and clustered; rows, and whether the files are as planned."""
+    bars = table(spark, sf_dir, "lineitem").select(
+        F.year("l_shipdate").alias("year"), F.col("l_partkey").alias("part"), F.to_date("l_shipdate").alias("date"), "l_quantity"
+    )
+    path, target = scratch_path(spark, "bars"), 200_000
+    bars.repartition(12).write.partitionBy("year").parquet(path)
+    files.compact_folders(spark, path, bars.schema, ["year"], ["part", "date"], target)
+    plan = files.folder_plan(spark, path, target).select(
+        F.regexp_extract("folder", "year=([0-9]+)$", 1).cast("int").alias("year"), (F.col("files") <= F.col("planned") + 1).alias("as_planned")
+    )
+    counted = spark.read.schema(bars.schema).parquet(path).groupBy("year").agg(
+        F.count("*").alias("bars"), F.sum("l_quantity").alias("quantity"), F.count_distinct("part").alias("parts")
+    )
+    return counted.join(plan, "year")
+
+
 @register
 def upsert_cells_by_date(spark, sf_dir):
     daily = _daily_orders(spark, sf_dir)
