@@ -194,3 +194,39 @@ def test_landed_universe_files(spark, tmp_path):
         paths[exchange] = str(tmp_path / f"{exchange}.json")
     listed = universe.listed_symbols(documents.read_listings(spark, paths))
     assert [tuple(r) for r in listed.collect()] == [("X", "new", "AMEX")]
+
+
+def test_pages_until_the_first_below_the_threshold(spark, tmp_path):
+    def land(page, *coins):
+        folder = tmp_path / f"page={page}"
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"{len(list(folder.iterdir()))}.txt").write_text(json.dumps([{"id": i, "total_volume": v} for i, v in coins]))
+
+    def kept():
+        rows = documents.until_below(documents.coin_pages(spark, str(tmp_path)), 100.0).collect()
+        return sorted((r.page, r.id, r.total_volume) for r in rows)
+
+    land(1, ("a", 900.0), ("b", 800.0))
+    land(2, ("c", 700.0))
+    land(10, ("d", 100.0))
+    assert kept() == [(1, "a", 900.0), (1, "b", 800.0), (2, "c", 700.0), (10, "d", 100.0)]  # no page is below
+    land(3, ("e", 300.0), ("f", 99.0))
+    land(3, ("g", 250.0))  # the rest of the same page
+    assert kept() == [(1, "a", 900.0), (1, "b", 800.0), (2, "c", 700.0), (3, "e", 300.0), (3, "f", 99.0), (3, "g", 250.0)]
+    land(2, ("h", None))  # an unknown volume is below
+    assert [r[1] for r in kept()] == ["a", "b", "c", "h"]
+    land(1)  # an empty page
+    assert [r[1] for r in kept()] == ["a", "b"]
+
+
+def test_group_selection_and_outcomes(spark):
+    groups = spark.createDataFrame([("BIS", 3), ("oecd", 2), ("None", 0), ("Lost", 1)], "group string, series_count int")
+    results = spark.createDataFrame([("BIS", "success", 30), ("oecd", "failed", 9), ("None", "success", 5)], "group string, status string, records long")
+    rows = lambda s: {tuple(r) for r in state.group_outcomes(state.select_groups(groups, s), results, "e/").collect()}
+    assert rows("all") == {("e/BIS", "success", 30), ("e/oecd", "failed", 0), ("e/None", "skipped", 0), ("e/Lost", "failed", 0)}
+    assert rows("bis") == {("e/BIS", "success", 30), ("e/oecd", "skipped", 0), ("e/None", "skipped", 0), ("e/Lost", "skipped", 0)}
+    assert {r[1] for r in rows("nothing")} == {"skipped"}
+    summary = state.named_summary(state.group_outcomes(state.select_groups(groups), results, "e/"))
+    assert {tuple(r) for r in summary.collect()} == {
+        ("success", 1, "e/BIS", 30), ("failed", 2, "e/Lost, e/oecd", 0), ("skipped", 1, "e/None", 0)
+    }

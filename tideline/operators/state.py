@@ -134,6 +134,35 @@ def advance_state(state: DataFrame, outcomes: DataFrame) -> DataFrame:
     return upsert_rows(state, fresh, STATE_KEYS)
 
 
+def select_groups(groups: DataFrame, selector: str = "all", column: str = "group") -> DataFrame:
+    """``groups`` with a boolean ``chosen``: all of them, or the one of that name in any case."""
+    named = F.lower(column) == F.lit(selector.lower())
+    return groups.withColumn("chosen", F.lit(True) if selector == "all" else F.coalesce(named, F.lit(False)))
+
+
+def group_outcomes(groups: DataFrame, results: DataFrame, prefix: str = "economic/dbnomics_") -> DataFrame:
+    """(source, status, records) of each planned group.
+
+    ``groups``: group, chosen, series_count; ``results``: group, status, records of those that ran.
+    Groups that were not chosen, or have no series, are skipped; a chosen one without a result has failed.
+    """
+    ran = results.select("group", F.col("status").alias("_status"), F.col("records").alias("_records"))
+    skipped = ~F.col("chosen") | (F.col("series_count") == 0)
+    status = F.when(skipped, "skipped").when(F.col("_status") == "success", "success").otherwise("failed")
+    return groups.join(ran, "group", "left").select(
+        F.concat(F.lit(prefix), "group").alias("source"), status.alias("status"),
+        F.when(status == "success", F.col("_records")).otherwise(F.lit(0)).cast("bigint").alias("records"),
+    )
+
+
+def named_summary(outcomes: DataFrame) -> DataFrame:
+    """Sources, their names and records per status. Names are few: one per configured source."""
+    return outcomes.groupBy("status").agg(
+        F.count("*").alias("sources"), F.array_join(F.sort_array(F.collect_list("source")), ", ").alias("names"),
+        F.sum("records").alias("total_records"),
+    )
+
+
 def run_summary(outcomes: DataFrame) -> DataFrame:
     """Sources and records per outcome status."""
     return outcomes.groupBy("status").agg(

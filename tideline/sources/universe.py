@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.operators.resolve import union_all
-from tideline.schemas import COIN_MARKET
+from tideline.schemas import COIN_MARKET, MIN_COIN_VOLUME
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -50,6 +50,27 @@ def read_coin_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(COIN_MARKET).option("multiLine", "true").json(path)
 
 
+def coin_pages(spark: SparkSession, path: str) -> DataFrame:
+    """Landed market pages as (page, coins): ``page=N`` folders of JSON arrays, most traded coins first."""
+    fields = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in COIN_MARKET.fields)
+    documents = spark.read.schema("value string, page int").text(path, wholetext=True)
+    return documents.select("page", F.from_json("value", f"array<struct<{fields}>>").alias("coins"))
+
+
+def until_below(pages: DataFrame, threshold: float = MIN_COIN_VOLUME) -> DataFrame:
+    """Coins of the pages up to the first that is empty or holds a coin below the threshold, that page included.
+
+    The number of that page is found first, by a minimum, and later pages are
+    then pruned by their folders; no page waits for the one before it.
+    """
+    def low(coin):
+        return F.coalesce(coin["total_volume"], F.lit(0.0)) < threshold
+
+    stops = pages.where((F.size("coins") <= 0) | F.exists("coins", low))
+    last = stops.agg(F.coalesce(F.min("page"), F.lit(2**31 - 1)).alias("last")).scalar()
+    return pages.where(F.col("page") <= last).select("page", F.inline("coins"))
+
+
 def read_listings(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     """Landed symbol files by exchange, each a JSON array of symbols and names."""
     return union_all([

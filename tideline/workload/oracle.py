@@ -716,3 +716,38 @@ FROM macro"""
 ORACLE["stream_daily_upsert"] = """
 SELECT user_id, CAST(ts AS DATE) AS date, event_id, event_type, value FROM events
 QUALIFY row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts DESC, event_id DESC) = 1"""
+
+# -- landed documents, outcomes, audit ----------------------------------------------------------
+
+ORACLE["coin_pages_until_threshold"] = f"""
+WITH {COINS}, volumes AS (
+  SELECT c_custkey, CASE WHEN c_mktsegment <> 'BUILDING' THEN c_acctbal * 400 ELSE 0 END AS volume FROM customer),
+pages AS (
+  SELECT *, 1 + floor(greatest(0, 4000000 - volume) / 250000) + CASE WHEN c_custkey % 97 = 0 THEN 15 ELSE 0 END AS page FROM volumes)
+SELECT * FROM universe WHERE coingecko_id IN (
+  SELECT 'coin-' || c_custkey FROM pages WHERE page <= (SELECT min(page) FROM pages WHERE volume < 1000000))"""
+
+ORACLE["exchange_symbol_files"] = ORACLE["exchange_symbols"]
+
+ORACLE["series_lists"] = """
+SELECT 'fred' AS "group", 'F-' || o_custkey AS series_id FROM orders
+UNION SELECT 'fred', o_orderpriority FROM orders
+UNION SELECT 'Group' || (o_custkey % 7), 'D-' || o_custkey FROM orders WHERE o_custkey % 5 <> 0"""
+
+ORACLE["run_outcomes"] = """
+WITH groups AS (
+  SELECT 'Group' || (o_custkey % 7) AS g, CASE WHEN o_custkey % 7 = 3 THEN 0 ELSE count(*) FILTER (o_orderstatus = 'P') END AS series, count(*) AS records
+  FROM orders GROUP BY 1, o_custkey % 7),
+runs AS (
+  SELECT selector, g, CASE WHEN series = 0 OR (selector <> 'all' AND lower(g) <> lower(selector)) THEN 'skipped'
+    WHEN g IN ('Group2', 'Group5') THEN 'failed' ELSE 'success' END AS status, records
+  FROM groups CROSS JOIN (VALUES ('all'), ('gROUP4')) AS s(selector))
+SELECT selector, status, count(*) AS sources, string_agg('economic/dbnomics_' || g, ', ' ORDER BY g) AS names,
+  CAST(sum(CASE WHEN status = 'success' THEN records ELSE 0 END) AS BIGINT) AS total_records
+FROM runs GROUP BY 1, 2"""
+
+ORACLE["audit_stamp"] = f"""
+WITH {MACRO_ROWS}
+SELECT series AS indicator, count(*) AS observations, 1::BIGINT AS stamps, true AS fresh FROM macro GROUP BY 1"""
+
+ORACLE["published_order"] = f"SELECT date, row_number() OVER (ORDER BY date) - 1 AS place FROM ({gold_sql()})"

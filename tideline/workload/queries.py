@@ -1137,3 +1137,86 @@ def stream_daily_upsert(spark, sf_dir):
         files_per_batch=16,
     )
     return current.select("user_id", "date", "event_id", "event_type", "value")
+
+
+# -- landed documents, outcomes, audit -----------------------------------------------------
+
+
+def _documents(rows: DataFrame, path: str, *folders: str) -> None:
+    """JSON arrays of the rows' other columns, one document to a file."""
+    fields = [c for c in rows.columns if c not in (*folders, "document")]
+    docs = rows.groupBy(*folders, "document").agg(F.to_json(F.collect_list(F.struct(*fields)), {"ignoreNullFields": "false"}).alias("value"))
+    docs.select("value", *folders).write.partitionBy(*folders).option("maxRecordsPerFile", 1).text(path)
+
+
+@register
+def coin_pages_until_threshold(spark, sf_dir):
+    """Landed pages in order of volume, up to the first with a coin below the threshold; some coins land late."""
+    volume = F.coalesce("total_volume", F.lit(0.0))
+    key = F.substring("id", 6, 12).cast("bigint")
+    page = 1 + F.floor(F.greatest(F.lit(0.0), 4_000_000 - volume) / 250_000) + F.when(key % 97 == 0, 15).otherwise(0)
+    path = scratch_path(spark, "pages")
+    _documents(coin_markets(spark, sf_dir).withColumns({"page": page, "document": F.floor(key / 250)}), path, "page")
+    return universe.coin_universe(documents.until_below(documents.coin_pages(spark, path)))
+
+
+@register
+def exchange_symbol_files(spark, sf_dir):
+    """Symbol files landed by exchange, read back: a later exchange replaces an earlier one's symbol."""
+    rows = listings(spark, sf_dir).withColumn("document", F.pmod(F.xxhash64("symbol"), F.lit(16)))
+    path = scratch_path(spark, "symbols")
+    _documents(rows, path, "exchange")
+    return universe.listed_symbols(documents.read_listings(spark, {e: f"{path}/exchange={e}" for e in ("nasdaq", "nyse", "amex")}))
+
+
+@register
+def series_lists(spark, sf_dir):
+    """Identifiers of flat and of grouped lists in JSON documents; groups that begin with _ are comments."""
+    k = F.col("o_custkey")
+    group = F.when(k % 5 == 0, F.lit("_note")).otherwise(F.concat(F.lit("Group"), k % 7))
+    docs = table(spark, sf_dir, "orders").select(F.to_json(F.struct(
+        F.struct(F.array(F.concat(F.lit("F-"), k), F.col("o_orderpriority")).alias("fred_all")).alias("simplified_lists"),
+        F.create_map(group, F.struct(F.array(
+            F.struct(F.concat(F.lit("D-"), k).alias("id")), F.struct(F.lit(None).cast("string").alias("id")),
+        ).alias("series"))).alias("dbnomics_exclusive"),
+    )).alias("value"))
+    flat = documents.flat_list_ids(docs, "simplified_lists", "fred_all").select(F.lit("fred").alias("group"), "series_id")
+    return flat.unionByName(documents.grouped_ids(docs, "dbnomics_exclusive").distinct())
+
+
+@register
+def run_outcomes(spark, sf_dir):
+    """A run of one group, named in another case: success, failure and skipped groups with their names."""
+    orders = table(spark, sf_dir, "orders")
+    groups = orders.groupBy(F.concat(F.lit("Group"), F.col("o_custkey") % 7).alias("group")).agg(
+        F.count_if(F.col("o_orderstatus") == "P").alias("series_count"), F.count("*").alias("records")
+    ).withColumn("series_count", F.when(F.col("group") == "Group3", 0).otherwise(F.col("series_count")))
+    results = groups.where("group <> 'Group5'").select(
+        "group", F.when(F.col("group") == "Group2", "failed").otherwise("success").alias("status"), "records"
+    )
+    every = state.group_outcomes(state.select_groups(groups), results)
+    one = state.group_outcomes(state.select_groups(groups, "gROUP4"), results)
+    return state.named_summary(every).withColumn("selector", F.lit("all")).unionByName(
+        state.named_summary(one).withColumn("selector", F.lit("gROUP4"))
+    )
+
+
+@register
+def audit_stamp(spark, sf_dir):
+    """Silver rows without a given stamp carry one time of the query, and it is now."""
+    silver = cleanse.silver_macro(macro_rows(spark, sf_dir).withColumnRenamed("series", "series_id"), "economic", "fred", "historical")
+    age = F.unix_timestamp(F.current_timestamp()) - F.unix_timestamp("transform_timestamp")
+    return silver.groupBy("indicator").agg(
+        F.count("*").alias("observations"), F.count_distinct("transform_timestamp").alias("stamps"),
+        (F.max(F.abs(age)) < 3600).alias("fresh"),
+    )
+
+
+@register
+def published_order(spark, sf_dir):
+    """Place of each date in the published Parquet file."""
+    rows = gold_plan.curated_panel(*silver_standins(spark, sf_dir), floor=GOLD_FLOOR)
+    root = scratch_path(spark, "lake")
+    wide = panel.pivot_wide(panel.keep_weekdays(rows), BASE_COLUMNS)
+    parquet, _ = sink.write_published(wide, root)
+    return spark.read.parquet(parquet).select("date", F.col("_metadata.row_index").alias("place"))
