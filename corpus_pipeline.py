@@ -26,11 +26,11 @@ def _columns(docs: DataFrame) -> DataFrame:
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weakly supervised rules keep.
 
-    The verdicts are written first, as a filter on them would be pushed into the
-    measures and work each of them out many times over.
+    The measures are written once, beside the texts: fitting and judging both read
+    them, and a filter on verdicts would else be pushed into them.
     """
-    judged = materialize(quality_votes.judge_quality(docs).select(*COLUMNS, "kept"), "judged")
-    return judged.where("kept").select(*COLUMNS)
+    measured = materialize(quality_votes.measure(docs), "measured")
+    return quality_votes.score(measured, quality_votes.fit(measured)).where("kept").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
