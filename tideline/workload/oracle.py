@@ -751,3 +751,9 @@ WITH {MACRO_ROWS}
 SELECT series AS indicator, count(*) AS observations, 1::BIGINT AS stamps, true AS fresh FROM macro GROUP BY 1"""
 
 ORACLE["published_order"] = f"SELECT date, row_number() OVER (ORDER BY date) - 1 AS place FROM ({gold_sql()})"
+
+ORACLE["late_arrivals"] = f"""
+WITH {ORDER_PANEL}, marked AS (SELECT *, series = '1-URGENT' AND year(date) = 1996 AS late FROM panel)
+SELECT series, count(*) AS days, {r('sum(value)', 2)} AS total, count(*) FILTER (NOT late) AS in_time,
+  min(date) FILTER (late) AS start_date, max(date) FILTER (late) AS end_date, nullif(count(*) FILTER (late), 0) AS late_rows
+FROM marked GROUP BY series"""

@@ -33,7 +33,7 @@ from tideline.sinks import lake as sink
 from tideline.sinks.warehouse import reconcile, rows_to_append
 from tideline.sources import census, lake, landing
 from tideline.sources import universe as documents
-from tideline.streaming import ingest
+from tideline.streaming import ingest, late
 from tideline.workload.standins import (
     event_bars,
     macro_rows,
@@ -1220,3 +1220,22 @@ def published_order(spark, sf_dir):
     wide = panel.pivot_wide(panel.keep_weekdays(rows), BASE_COLUMNS)
     parquet, _ = sink.write_published(wide, root)
     return spark.read.parquet(parquet).select("date", F.col("_metadata.row_index").alias("place"))
+
+
+@register
+def late_arrivals(spark, sf_dir):
+    """Two passes of a stream: one series' values of a year come late, the last days come again."""
+    rows = order_panel(spark, sf_dir).withColumn("version", F.lit(1))
+    behind = (F.col("series") == "1-URGENT") & (F.year("date") == 1996)
+    source, target, checkpoint = (scratch_path(spark, name) for name in ("arrivals", "stream", "marks"))
+    for batch in (rows.where(~behind), rows.where(behind | (F.col("date") >= "2001-07-20"))):
+        batch.coalesce(2).write.mode("append").parquet(source)
+        late.land_under_watermark(
+            ingest.file_stream(spark, source, rows.schema), target, checkpoint, ["series", "date"], ["version"], 30
+        ).awaitTermination()
+    settled = late.settled_rows(spark, target, rows.schema, ["series", "date"], ["version"])
+    landed = late.landed_rows(spark, target, rows.schema)
+    windows = late.late_windows(late.late_rows(spark, target, rows.schema))
+    counted = settled.groupBy("series").agg(F.count("*").alias("days"), F.sum("value").alias("total"))
+    batches = landed.groupBy("series").agg(F.count("*").alias("in_time"))
+    return rounded(counted.join(batches, "series").join(windows, "series", "left"), 2, "total")
