@@ -221,7 +221,9 @@ def test_language_model(docs, empty, texts):
 
 def test_packing(docs, empty, texts):
     tool = Tokenizer.from_file(WORDS)
-    tool.encode_special_tokens = True
+    marked = ["<|endoftext|>", "one<|endoftext|>two <|startoftext|> <|ENDOFTEXT|> <|endoftext| a<b <|startoftext|><|startoftext|>é", "x <|endoftext|>\n"]
+    texts = texts + [(1000 + i, t, None, None) for i, t in enumerate(marked)]
+    docs = docs.unionByName(docs.sparkSession.createDataFrame(texts[-3:], SCHEMA))
     got = curve_packing.pack(docs, WORDS, with_ids=True, length=256).collect()
     want = {i: tool.encode(t or "", add_special_tokens=False).ids + [2] for i, t, _, _ in texts if i is not None}
     parts, sequences = collections.defaultdict(list), collections.defaultdict(list)
@@ -466,6 +468,9 @@ def test_graded_quality(spark, docs, empty):
     assert np.mean([r.kept == (r.grade == 2) for r in got]) > 0.95
     mean = [np.mean([r.expected_grade for r in got if r.grade == g]) for g in range(3)]
     assert mean[0] < mean[1] < mean[2]
+    twice = train.unionByName(train.where("doc_id < 40").withColumn("grade", F.lit(1)))  # ids with two ratings
+    first, again = (graded_quality.fit(twice.repartition(n), 3, sample=100) for n in (1, 7))
+    assert (first.weights == again.weights).all() and (first.thresholds == again.thresholds).all()
     odd = graded_quality.classify(docs, rated.limit(0)).collect()
     assert len(odd) == docs.count() and all(0 <= r.expected_grade <= 2 for r in odd)
     assert graded_quality.classify(empty, train).count() == 0

@@ -80,7 +80,7 @@ class WordNumbers(dict):
     """A number for each word met, and the ids of the numbered words one after another.
 
     Words of Latin letters go by the vocabulary's own pieces, which recur more than
-    words do; others go through all of the tokenizer.
+    words do; others, and words that hold an added token's content, go through all of the tokenizer.
     """
 
     def __init__(self, tool):
@@ -88,11 +88,14 @@ class WordNumbers(dict):
         self.tool, self.pieces = tool, {}
         self.flat, self.sizes = array("H", [CLOSING]), array("i", [1])
         self._tokenize = tool.model.tokenize
+        self.added = [t.content for t in tool.get_added_tokens_decoder().values()]
         self._sign = {c: self._piece(c) for c in ",."}
 
     def __missing__(self, word: bytes) -> int:
         text = word.decode()
-        if text.isascii() or max(text) < "\u0100":
+        if "<" in text and any(t in text for t in self.added):  # the tokenizer makes one token of each
+            ids = self.tool.encode(text, add_special_tokens=False).ids
+        elif text.isascii() or max(text) < "\u0100":
             text = text.lower()
             if text.isalpha():
                 ids = self.pieces.get(text) or self._piece(text)
@@ -121,7 +124,6 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tool = Tokenizer.from_file(path)
-        self.tool.encode_special_tokens = True
         size = self.tool.get_vocab_size()
         # each id is hashed to one of 1,024 buckets, each bucket to a direction
         bucket = (mix(np.arange(size, dtype=np.uint64)) % np.uint64(1024)).astype(np.int64)

@@ -74,7 +74,7 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = [features(t) for t in b.column("text").to_pylist()]
         yield batch(
-            grade=b.column("grade"), at=pa.array([w.tobytes() for w in rows], pa.binary()),
+            h=b.column("h"), id=b.column("id"), grade=b.column("grade"), at=pa.array([w.tobytes() for w in rows], pa.binary()),
         )
 
 
@@ -82,13 +82,20 @@ def fit(rated: DataFrame, grades: int, key: str = "doc_id", text: str = "text",
     """Fit on (key, text, grade) rows; see the module text for the bound."""
     good = rated.where(F.col(grade).between(0, grades - 1))
     chosen = good.select(
-        F.col(grade).cast("int").alias("grade"), utf8(text).alias("text"), F.xxhash64(key).alias("h")
+        F.col(grade).cast("int").alias("grade"), utf8(text).alias("text"), F.xxhash64(key).alias("h"), F.col(key).cast("string").alias("id")
     )
     rows = chosen.count()
-    if rows > sample:  # a threshold on the hash, a little generous, then the exact bound
+
+    def smallest(of: DataFrame) -> dict:
+        sparse = of.mapInArrow(_sparse, "h long, id string, grade int, at binary")
+        return sparse.orderBy("h", "id", "grade", "at").limit(sample).toArrow().to_pydict()
+
+    got = None
+    if rows > sample:  # a threshold on the hash, a little generous, spares the features of most
         cut = int(-(2**63) + 2**64 * min(1.0, 1.2 * sample / rows))
-        chosen = chosen.where(F.col("h") < F.lit(min(cut, 2**63 - 1)))
-    got = chosen.mapInArrow(_sparse, "grade int, at binary").limit(sample).toArrow().to_pydict()
+        got = smallest(chosen.where(F.col("h") < F.lit(min(cut, 2**63 - 1))))
+    if got is None or len(got["h"]) < sample:
+        got = smallest(chosen)
     return fit_rows([np.frombuffer(a, np.int32) for a in got["at"]], np.array(got["grade"], np.int64), grades)
 
 

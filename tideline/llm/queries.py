@@ -44,9 +44,9 @@ def op1_url_models(spark, sf_dir):
 
 @register
 def op2_graded_quality(spark, sf_dir):
-    """Grades from the labels: 0 poor, 1 good but toxic, 2 good and clean."""
+    """Grades from the labels: 0 poor, 1 good but toxic, 2 good and clean. Of several labels the worse counts."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = table(spark, sf_dir, "labels").dropDuplicates(["doc_id"])
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     rated = docs.join(labels, "doc_id").withColumn(
         "grade", F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2)
     )
