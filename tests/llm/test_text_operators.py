@@ -452,6 +452,13 @@ def test_byte_bpe(docs, empty, texts):
     long = "".join(rng.choice("abcdé") for _ in range(20_000))
     assert tool.encode(long) == library.encode_ordinary(long)
     assert byte_bpe.encode(empty, VOCABULARY, pattern).count() == 0
+    pieces = [bytes(rng.choice(b"abcdeionrst \xc3\xa9") for _ in range(rng.randint(1, 64))) for _ in range(2000)]
+    pieces = [p for p in pieces if p not in tool.ranks]
+    ids, sizes = byte_bpe.merge_together(pieces, tool.bytes_to_ids, tool.pairs)  # trees side by side, and one by one
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [byte_bpe.merge_piece(p, tool.ranks) for p in pieces]
+    before = tool.encode_all(["a new one", None, "  ", "a new one"])
+    tool.forget()
+    assert all((x == y).all() for x, y in zip(before, tool.encode_all(["a new one", None, "  ", "a new one"])))
 
 
 def test_graded_quality(spark, docs, empty):
