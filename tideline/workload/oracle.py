@@ -757,3 +757,13 @@ WITH {ORDER_PANEL}, marked AS (SELECT *, series = '1-URGENT' AND year(date) = 19
 SELECT series, count(*) AS days, {r('sum(value)', 2)} AS total, count(*) FILTER (NOT late) AS in_time,
   min(date) FILTER (late) AS start_date, max(date) FILTER (late) AS end_date, nullif(count(*) FILTER (late), 0) AS late_rows
 FROM marked GROUP BY series"""
+
+ORACLE["append_after_stored_mark"] = ORACLE["append_newer_than_max"]
+
+ORACLE["distinct_series_of_spans"] = """
+WITH days AS (SELECT CAST(ts AS DATE) AS date, event_type, user_id FROM events)
+SELECT 'first_half' AS span, event_type, count(*) AS rows, count(DISTINCT user_id) AS users, true AS within_bound
+FROM days WHERE date BETWEEN DATE '2024-01-01' AND DATE '2024-01-15' GROUP BY 2
+UNION ALL
+SELECT 'all', event_type, count(*), count(DISTINCT user_id), true
+FROM days WHERE date BETWEEN DATE '2024-01-01' AND DATE '2024-12-31' GROUP BY 2"""

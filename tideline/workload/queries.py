@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.functions.scalar import is_valid_ticker, parse_number, parse_period
-from tideline.operators import cleanse, metrics, panel, quality, resolve, scan, state, universe, upsert
+from tideline.operators import cleanse, metrics, panel, quality, resolve, scan, sketches, state, universe, upsert
 from tideline.plans import carry
 from tideline.plans import gold as gold_plan
 from tideline.plans.silver import run_silver
@@ -31,7 +31,7 @@ from tideline.session import materialize, scratch_path
 from tideline.sinks import files
 from tideline.sinks import lake as sink
 from tideline.sinks.warehouse import reconcile, rows_to_append
-from tideline.sources import census, lake, landing
+from tideline.sources import census, lake, landing, marks
 from tideline.sources import universe as documents
 from tideline.streaming import ingest, late
 from tideline.workload.standins import (
@@ -1239,3 +1239,26 @@ def late_arrivals(spark, sf_dir):
     counted = settled.groupBy("series").agg(F.count("*").alias("days"), F.sum("value").alias("total"))
     batches = landed.groupBy("series").agg(F.count("*").alias("in_time"))
     return rounded(counted.join(batches, "series").join(windows, "series", "left"), 2, "total")
+
+
+@register
+def append_after_stored_mark(spark, sf_dir):
+    """Rows after the newest date of a stored table; the mark is read from its footers."""
+    daily = _daily_orders(spark, sf_dir)
+    path = scratch_path(spark, "stored")
+    cleanse.clip_dates(daily, end="2000-12-31").write.parquet(path)
+    return marks.newer_than_stored(daily, path, daily.schema)
+
+
+@register
+def distinct_series_of_spans(spark, sf_dir):
+    """Users of each event type over two spans from stored daily sketches, held against the exact counts."""
+    events = table(spark, sf_dir, "events").select(F.to_date("ts").alias("date"), "event_type", "user_id")
+    daily = materialize(sketches.daily_sketches(events, F.col("user_id").cast("bigint"), "event_type"), "sketches")
+    out = []
+    for name, start, end in (("first_half", "2024-01-01", "2024-01-15"), ("all", "2024-01-01", "2024-12-31")):
+        exact = cleanse.clip_dates(events, start, end).groupBy("event_type").agg(F.count_distinct("user_id").alias("users"))
+        near = sketches.span_counts(daily, start, end, "event_type").join(exact, "event_type")
+        within = F.abs(F.col("series_count") - F.col("users")) <= 4 * sketches.STANDARD_ERROR * F.col("users") + 0.5
+        out.append(near.select(F.lit(name).alias("span"), "event_type", "rows", "users", within.alias("within_bound")))
+    return resolve.union_all(out)
