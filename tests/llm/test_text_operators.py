@@ -521,3 +521,20 @@ def test_digests_follow_contract(spark, texts):
     ids = encoded.first().ids
     digest = encoded.select(F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)).first()[0]
     assert digest == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+
+
+def test_columns_named_like_internal_ones_are_kept(spark):
+    rng = random.Random(3)
+    rows = [(i, sentence(rng, 70), f"a{i}", i * 2, "m", b"b", 1.5) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id string, _n long, measures string, _bytes binary, _Block double")
+    plain = docs.select("doc_id", "text")
+    names = ["_id", "_n", "measures", "_bytes", "_Block"]
+    for run in (quality_votes.judge_quality, repeats.remove_repeats):
+        got, want = run(docs), run(plain)
+        assert set(names) < set(got.columns) and set(got.columns) - set(names) == set(want.columns)
+        assert {tuple(r) for r in got.select("doc_id", *names).collect()} == {(r[0], *r[2:6], 1.5) for r in rows}
+        assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    by_name = repeats.remove_repeats(docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_bytes")), key="_id", text="_bytes")
+    assert {(r["_id"], r["_bytes"]) for r in by_name.collect()} == {(r.doc_id, r.text) for r in repeats.remove_repeats(plain).collect()}
+    pages = spark.createDataFrame([(1, "http://a.com/x", "r", "k")], "page_id long, url string, _ruled string, _key string")
+    assert url_models.filter_urls(pages).select("page_id", "_ruled", "_key", "rule").first()[:3] == (1, "r", "k")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -15,6 +16,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def keeping_columns(*internal: str):
+    """For operators on a table: its columns named like one of ``internal``, which the operator uses itself, are
+    called otherwise meanwhile. Arguments that name such a column follow it."""
+    taken = {name.lower() for name in internal}
+
+    def wrap(operator):
+        @functools.wraps(operator)
+        def run(docs: DataFrame, *args, **named):
+            mark = "kept_" * (1 + max(map(len, docs.columns)))  # longer than any column's name
+            away = {c: mark + c for c in docs.columns if c.lower() in taken}
+            if not away:
+                return operator(docs, *args, **named)
+            moved = lambda v: away.get(v, v) if isinstance(v, str) else v
+            out = operator(docs.withColumnsRenamed(away), *map(moved, args), **{k: moved(v) for k, v in named.items()})
+            return out.withColumnsRenamed({new: old for old, new in away.items()})
+        return run
+    return wrap
+
+
 def tokens(text: bytes | None) -> list[bytes]:
     """Words of a UTF-8 text, A-Z lower-cased; only the six ASCII blanks separate."""
     return text.lower().split() if text else []

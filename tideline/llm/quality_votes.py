@@ -22,6 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tideline.llm.common import keeping_columns
 from tideline.session import materialize
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -230,6 +231,9 @@ def score(measured: DataFrame, weights: Sequence[Sequence[float]]) -> DataFrame:
     }).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= 0.5)).drop("measures")
 
 
+@keeping_columns(
+    "_words", "_lines", "_n", "_n_lines", "_upper", "_exclaims", "_marks", "_n_distinct", "_open", "measures"
+)
 def judge_quality(docs: DataFrame, text: str = "text") -> DataFrame:
     """All input rows and columns with counts, base_failed, quality and kept."""
     measured = measure(docs, text)

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideline.llm.common import blocks_for, mix
+from tideline.llm.common import blocks_for, keeping_columns, mix
 from tideline.session import materialize
 
 LENGTH, ANCHOR = 50, 16
@@ -425,6 +425,7 @@ def _removal(length: int, sets: int, columns: list[str], text: str | None):
     return run
 
 
+@keeping_columns("_id", "_bytes", "_block")
 def remove_repeats(
     docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, rewrite: bool = True
 ) -> DataFrame:

@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tideline.llm.common import keeping_columns
 from tideline.llm.quality_votes import let
 from tideline.session import materialize
 
@@ -208,6 +209,7 @@ def calibrate(scored: DataFrame) -> float:
     return best["cut"] if best["cut"] is not None else 0.0
 
 
+@keeping_columns("_ruled", "_key", "_url")
 def filter_urls(
     pages: DataFrame, url: str = "url", rules: Sequence[tuple[str, str]] = PRODUCTION_RULES
 ) -> DataFrame:
