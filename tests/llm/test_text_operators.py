@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -219,6 +220,45 @@ def test_language_model(docs, empty, texts):
     assert language_model.score_documents(empty).count() == 0
 
 
+def test_language_model_sums_to_one():
+    """Over all leaves of all classes, whatever the weights and the context."""
+    rng, shape = np.random.default_rng(3), language_model.Shape(5_000)
+    mass = rng.integers(0, 9, (language_model.CLASSES, 1 << shape.bits)) * 1.5
+    odds, forks = language_model.decision_odds(mass), rng.normal(size=shape.rows << language_model.FORK)
+    weights, bias = rng.normal(size=(shape.rows, language_model.CLASSES)), np.log(np.full(32, 1 / 32))
+    feature = language_model.context_features(np.array([7, 8, 9, 10], np.uint16), np.array([0]))[:, 3:]
+    classes, codes = np.divmod(np.arange(mass.size), mass.shape[1])
+    ways = language_model.Decisions(shape, odds, np.repeat(feature, mass.size, axis=1), classes, codes)
+    by_class = language_model.class_log_odds(weights, bias, (feature % np.uint64(shape.rows)).astype(np.int64))[0]
+    assert np.exp(by_class[classes] + ways.log_probability(forks)).sum() == pytest.approx(1)
+    flat = np.exp(ways.log_probability(forks * 0)).reshape(mass.shape)  # without weights, the counted shares
+    assert np.abs(flat - mass / mass.sum(axis=1, keepdims=True)).max() < 1e-3
+
+
+def test_language_model_parts_words_of_a_class():
+    """The context decides between two words of one class with equal counts."""
+    one_class = np.zeros(200 * 4, np.uint8)
+    text = np.tile(np.array([100, 40_000, 200, 50_000], np.uint16), 200)  # 40000 after 100, 50000 after 200
+    shape = language_model.Shape(5)
+    mass = np.zeros((language_model.CLASSES, 1 << shape.bits))
+    np.add.at(mass[0], shape.codes(text), 1)
+    odds, bias = language_model.decision_odds(mass), np.zeros(language_model.CLASSES, np.float32)
+    weights = np.zeros((2 * shape.rows, language_model.CLASSES), np.float32)
+    batch = pa.RecordBatch.from_pydict({"hashes": [text.tobytes()] * 40, "classes": [one_class.tobytes()] * 40})
+    (steps,) = language_model._updates(shape, weights, bias, odds)(iter([batch]))
+    weights[steps.column("row").to_numpy()] = np.stack(steps.column("weights").to_pylist())
+
+    def score(words):
+        b = pa.RecordBatch.from_pydict({
+            "id": [1], "held": [True], "n_tokens": [2], "n_known": [2], "base": [0.0], "inside": [0.0],
+            "hashes": [np.array(words, np.uint16).tobytes()], "classes": [bytes(len(words))],
+        })
+        return next(language_model._scored(shape, weights, bias, odds)(iter([b]))).column("score")[0].as_py()
+
+    assert score([200, 50_000, 100, 40_000]) > score([200, 50_000, 100, 50_000]) + 0.5
+    assert score([100, 40_000, 200, 50_000]) > score([100, 40_000, 200, 40_000]) + 0.5
+
+
 def test_packing(docs, empty, texts):
     tool = Tokenizer.from_file(WORDS)
     marked = ["<|endoftext|>", "one<|endoftext|>two <|startoftext|> <|ENDOFTEXT|> <|endoftext| a<b <|startoftext|><|startoftext|>é", "x <|endoftext|>\n"]

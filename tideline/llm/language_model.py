@@ -1,9 +1,15 @@
-"""Language-model scores: a hashed maximum-entropy model over word classes.
-
-P(word | context) = P(class | context) * P(word | class). The class of the next
-word is a softmax over 32 classes; its features are the last word, the last two
-as a pair, and the words two and three back (skips), hashed to 8,192 weight rows.
-Inside a class a word has its smoothed share of the class's training tokens.
+"""Language-model scores: a hashed maximum-entropy model over word classes and words.
+
+P(word | context) = P(class | context) * P(leaf | class, context) * P(word | leaf).
+The class of the next word is a softmax over 32 classes. Inside its class the word
+is chosen by the binary decisions on the way to its leaf, given by up to 10 bits of
+its hash; each decision is a logistic model around the log odds of the tokens on
+either side. The features of both are the last word, the last two as a pair, and the
+words two and three back (skips), hashed to weight rows; a row of the decisions
+belongs to a feature and the five decisions below one node. The number of decisions
+and of rows grows with the counted vocabulary, up to 32 * 2**10 leaves and 16,384
+rows of each kind. Only words that share a leaf are parted by their smoothed
+counts alone. Words without a training token are one word, in a leaf of class 0.
 Classes come from the corpus: the signs of five random projections of a word's
 neighbours, so words that occur in like surroundings share a class.
 
@@ -40,6 +46,9 @@ from tideline.llm.common import mix, tokens, utf8
 from tideline.session import materialize
 
 CLASSES, SIGNS, ROWS = 32, 5, 1 << 13
+FORK, MOST_LEVELS, MOST_ROWS = 5, 2, 1 << 14  # decisions a row of weights holds, such rows on a word's way, rows
+NOTHING = 1e-3  # tokens that an empty side of a decision counts for
+UNKNOWN = CLASSES  # stands for the class of a word without a training token
 HALVES, STEP, RATE = 2, 4096, 0.2
 END = b"\n"
 UNIT_BYTES = 32 << 20
@@ -113,7 +122,32 @@ CODED = (
 )
 
 
-def _coded(totals: dict, class_tokens: np.ndarray, class_words: np.ndarray):
+class Shape:
+    """Sizes of a model, from the number of its words."""
+
+    def __init__(self, words: int):
+        self.levels = next((k for k in range(1, MOST_LEVELS) if CLASSES << FORK * k >= words), MOST_LEVELS)
+        self.bits = FORK * self.levels
+        self.rows = min(max(ROWS, 1 << max(words - 1, 0).bit_length()), MOST_ROWS)
+
+    def codes(self, hashes: np.ndarray) -> np.ndarray:
+        """Leaves of words inside their class, by their 16-bit hash."""
+        return hashes.astype(np.int64) >> (16 - self.bits)
+
+
+def decision_odds(mass: np.ndarray) -> np.ndarray:
+    """Log odds of the right side at each node (class, heap number), from the tokens of the leaves (class, leaf)."""
+    leaves = mass.shape[1]
+    odds = np.zeros((CLASSES, leaves), np.float32)
+    while leaves > 1:
+        left, right = mass[:, ::2], mass[:, 1::2]
+        leaves >>= 1
+        odds[:, leaves:2 * leaves] = np.log((right + NOTHING) / (left + NOTHING))
+        mass = left + right
+    return odds
+
+
+def _coded(shape: Shape, totals: dict, mass: np.ndarray):
     """Documents of a unit as hashes and classes of their words, with what needs counts summed."""
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
         n = words.num_rows
@@ -123,7 +157,9 @@ def _coded(totals: dict, class_tokens: np.ndarray, class_words: np.ndarray):
             count[at], kind[at] = words.column("c").to_numpy(), words.column("class").to_numpy()
             hashed[at] = words.column("h").to_numpy()
         base = np.log10((count + SMOOTH) / (totals["n"] + SMOOTH * (totals["v"] + 1)))
-        inside = np.log10((count + SMOOTH) / (class_tokens[kind] + SMOOTH * (class_words[kind] + 1)))
+        leaf = np.where(count > 0, mass[kind, shape.codes(hashed)], mass[0, 0])
+        inside = np.log10((count + SMOOTH) / leaf)
+        kind[count == 0] = UNKNOWN
         out: dict[str, list] = {c.split()[0]: [] for c in CODED.split(", ")}
         for doc, held, raw in zip(*(docs.column(c).to_pylist() for c in ("id", "held", "words"))):
             x = np.frombuffer(raw, np.uint32)
@@ -138,8 +174,8 @@ def _coded(totals: dict, class_tokens: np.ndarray, class_words: np.ndarray):
     return run
 
 
-def context_rows(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Weight rows of the four features of each token, given where documents start."""
+def context_features(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The four features of each token, hashed, given where documents start."""
     n = len(hashes)
     place = np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))
 
@@ -151,10 +187,7 @@ def context_rows(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
     one, two, three = back(1), back(2), back(3)
     features = (one, one * np.uint64(70_001) + two, two, three)
-    return np.stack([
-        (mix(f * np.uint64(4) + np.uint64(k)) % np.uint64(ROWS)).astype(np.int64)
-        for k, f in enumerate(features)
-    ])
+    return np.stack([mix(f * np.uint64(4) + np.uint64(k)) for k, f in enumerate(features)])
 
 
 def class_log_odds(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -164,6 +197,41 @@ def class_log_odds(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> n
     return out - np.log(np.exp(out).sum(axis=1, keepdims=True))
 
 
+class Decisions:
+    """The decisions inside the classes on the way to some tokens' words."""
+
+    def __init__(self, shape: Shape, odds: np.ndarray, features: np.ndarray, classes: np.ndarray, codes: np.ndarray):
+        ways, columns = [], []
+        for level in range(shape.levels):
+            above = codes >> (shape.bits - FORK * level)
+            group = (classes.astype(np.int64) << shape.bits | above) * MOST_LEVELS + level + 1
+            ways.append(mix(features + group.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(shape.rows))
+            within = codes >> (shape.bits - FORK * (level + 1)) & ((1 << FORK) - 1) | 1 << FORK
+            columns += [within >> (FORK - k) for k in range(FORK)]
+        self.rows = np.stack(ways, axis=2).astype(np.int64)  # feature, token, level
+        column = np.stack(columns, axis=1)
+        self.places = np.repeat(self.rows << FORK, FORK, axis=2) + column
+        heap = codes[:, None] | 1 << shape.bits
+        depth = np.arange(shape.bits)
+        self.known = odds[classes[:, None], heap >> (shape.bits - depth)]
+        self.right = (heap >> (shape.bits - 1 - depth) & 1).astype(np.float32)
+
+    def log_odds(self, weights: np.ndarray) -> np.ndarray:
+        """Log odds of the right side by token and decision; weights lie one after another."""
+        return self.known + np.take(weights, self.places).sum(axis=0)
+
+    def log_probability(self, weights: np.ndarray) -> np.ndarray:
+        """Log probability of each token's leaf inside its class."""
+        taken = self.log_odds(weights) * (2 * self.right - 1)
+        return (np.minimum(taken, 0) - np.log1p(np.exp(-np.abs(taken)))).sum(axis=1, dtype=np.float64)
+
+
+def _targets(shape: Shape, hashes: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Class and leaf of each token."""
+    unknown = classes == UNKNOWN
+    return np.where(unknown, 0, classes), np.where(unknown, 0, shape.codes(hashes))
+
+
 def _documents(b: pa.RecordBatch, wanted: list[bool]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, classes and starts of the wanted documents of a batch."""
     hashes = [h for h, w in zip(b.column("hashes").to_pylist(), wanted) if w]
@@ -172,19 +240,23 @@ def _documents(b: pa.RecordBatch, wanted: list[bool]) -> tuple[np.ndarray, np.nd
     return np.frombuffer(b"".join(hashes), np.uint16), np.frombuffer(b"".join(classes), np.uint8), np.cumsum(sizes) - sizes
 
 
-def _updates(weights: np.ndarray, bias: np.ndarray):
+def _updates(shape: Shape, weights: np.ndarray, bias: np.ndarray, odds: np.ndarray):
     """Gradient steps of a task from the common weights; returns the rows it used, with their use."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, seen, used = weights.copy(), np.full(ROWS, 1e-2, np.float32), np.zeros(ROWS, np.int64)
+        n = shape.rows
+        own, seen, used = weights.copy(), np.full(n, 1e-2, np.float32), np.zeros(2 * n, np.int64)
+        forks, fork_seen = own[n:].reshape(-1), np.full(n << FORK, 1e-2, np.float32)
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 b = whole.slice(start, 256)
                 hashes, classes, starts = _documents(b, [True] * b.num_rows)
-                rows = context_rows(hashes, starts)
+                features = context_features(hashes, starts)
+                classes, codes = _targets(shape, hashes, classes)
                 for at in range(0, len(classes), STEP):
-                    near = rows[:, at:at + STEP]
+                    part = slice(at, at + STEP)
+                    near = (features[:, part] % np.uint64(n)).astype(np.int64)
                     slope = np.exp(class_log_odds(own, bias, near))
-                    slope[np.arange(slope.shape[0]), classes[at:at + STEP]] -= 1
+                    slope[np.arange(slope.shape[0]), classes[part]] -= 1
                     flat = near.ravel()
                     order = np.argsort(flat, kind="stable")
                     begins = np.flatnonzero(np.append(True, np.diff(flat[order]) > 0))
@@ -194,6 +266,16 @@ def _updates(weights: np.ndarray, bias: np.ndarray):
                     seen[row] += (gradient ** 2).mean(axis=1)
                     own[row] -= RATE * gradient / np.sqrt(seen[row])[:, None]
                     used[row] += times
+                    ways = Decisions(shape, odds, features[:, part], classes[part], codes[part])
+                    fork_slope = 1 / (1 + np.exp(-ways.log_odds(forks))) - ways.right
+                    gradient = np.bincount(
+                        ways.places.ravel(), np.broadcast_to(fork_slope, ways.places.shape).ravel(), len(forks)
+                    )
+                    place = np.flatnonzero(gradient != 0)
+                    gradient = gradient[place].astype(np.float32)
+                    fork_seen[place] += gradient ** 2
+                    forks[place] -= RATE * gradient / np.sqrt(fork_seen[place])
+                    used[n:] += np.bincount(ways.rows.ravel(), minlength=n)
         row = np.flatnonzero(used)
         ends = np.arange(0, CLASSES * len(row) + 1, CLASSES, dtype=np.int32)
         yield pa.RecordBatch.from_arrays([
@@ -203,16 +285,21 @@ def _updates(weights: np.ndarray, bias: np.ndarray):
     return run
 
 
-def _scored(weights: np.ndarray, bias: np.ndarray):
+def _scored(shape: Shape, weights: np.ndarray, bias: np.ndarray, odds: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, forks = weights[:shape.rows], weights[shape.rows:].reshape(-1)
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 b = whole.slice(start, 256)
                 hashes, classes, starts = _documents(b, [True] * b.num_rows)
-                rows, chosen = context_rows(hashes, starts), np.zeros(len(classes))
+                features, chosen = context_features(hashes, starts), np.zeros(len(classes))
+                classes, codes = _targets(shape, hashes, classes)
                 for at in range(0, len(classes), STEP):
-                    odds = class_log_odds(weights, bias, rows[:, at:at + STEP])
-                    chosen[at:at + STEP] = odds[np.arange(len(odds)), classes[at:at + STEP]]
+                    part = slice(at, at + STEP)
+                    near = features[:, part]
+                    by_class = class_log_odds(own, bias, (near % np.uint64(shape.rows)).astype(np.int64))
+                    chosen[part] = by_class[np.arange(len(by_class)), classes[part]]
+                    chosen[part] += Decisions(shape, odds, near, classes[part], codes[part]).log_probability(forks)
                 outside = np.add.reduceat(chosen, starts) / np.log(10) if len(starts) else np.zeros(0)
                 inside = b.column("inside").to_numpy()
                 yield pa.RecordBatch.from_arrays(
@@ -222,17 +309,17 @@ def _scored(weights: np.ndarray, bias: np.ndarray):
     return run
 
 
-def _train(coded: DataFrame, bias: np.ndarray) -> np.ndarray:
-    """Weights after one pass over the training documents, averaged after each half."""
-    weights = np.zeros((ROWS, CLASSES), np.float32)
+def _train(coded: DataFrame, shape: Shape, bias: np.ndarray, odds: np.ndarray) -> np.ndarray:
+    """Weights of classes, then of decisions, after one pass over the training documents, averaged after each half."""
+    weights = np.zeros((2 * shape.rows, CLASSES), np.float32)
     for half in range(HALVES):
         part = coded.where(~F.col("held") & (F.pmod(F.xxhash64("id", "hashes"), F.lit(HALVES)) == half))
         steps = part.select("hashes", "classes").mapInArrow(
-            _updates(weights, bias), "row int, used long, weights array<float>"
+            _updates(shape, weights, bias, odds), "row int, used long, weights array<float>"
         )
         mean = steps.groupBy("row").agg(*[
             (F.sum(F.get("weights", F.lit(c)) * F.col("used")) / F.sum("used")).alias(f"w{c}") for c in range(CLASSES)
-        ]).toArrow()  # 8,192 rows at most
+        ]).toArrow()  # 2 * MOST_ROWS rows at most
         weights = weights.copy()
         if mean.num_rows:
             rows = mean.column("row").to_numpy()
@@ -265,18 +352,26 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         for k in range(SIGNS)
     ), F.lit(0)).cast("int")
     named = words.withColumn("class", kind)
-    sizes = named.where("first AND c > 0").groupBy("class").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()
-    class_tokens, class_words = np.zeros(CLASSES), np.zeros(CLASSES)
-    for row in sizes:
-        class_tokens[row["class"]], class_words[row["class"]] = row["c"], row["v"]
+    shape = Shape(totals["v"] + 1)
+    leaf = F.shiftright("h", 16 - shape.bits).alias("leaf")
+    sizes = named.where("first AND c > 0").groupBy("class", leaf).agg(
+        F.sum("c").alias("c"), F.count("*").alias("v")
+    ).toArrow()  # CLASSES * 2**10 rows at most
+    leaf_tokens, leaf_words = np.zeros((2, CLASSES, 1 << shape.bits))
+    if sizes.num_rows:
+        at = sizes.column("class").to_numpy(), sizes.column("leaf").to_numpy()
+        leaf_tokens[at], leaf_words[at] = sizes.column("c").to_numpy(), sizes.column("v").to_numpy()
+    mass = leaf_tokens + SMOOTH * leaf_words
+    mass[0, 0] += SMOOTH  # words without a training token
+    class_tokens, odds = leaf_tokens.sum(axis=1), decision_odds(mass)
     units = numbered.where("words IS NOT NULL").select("unit", "id", "held", "words")
     coded = materialize(units.groupBy("unit").cogroup(
         named.select("unit", "number", "c", "class", "h").groupBy("unit")
-    ).applyInArrow(_coded(totals, class_tokens, class_words), CODED), "coded")
+    ).applyInArrow(_coded(shape, totals, mass), CODED), "coded")
     bias = np.log((class_tokens + 1) / (class_tokens.sum() + CLASSES)).astype(np.float32)
-    weights = _train(coded, bias)
+    weights = _train(coded, shape, bias, odds)
     scored = coded.mapInArrow(
-        _scored(weights, bias), "id long, held boolean, n_tokens long, n_known long, base double, score double"
+        _scored(shape, weights, bias, odds), "id long, held boolean, n_tokens long, n_known long, base double, score double"
     )
     return scored.select(
         F.col("id").alias("doc_id"), F.col("held").alias("held_out"), "n_tokens", "n_known",
