@@ -111,8 +111,10 @@ class Block:
 
     def shared(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the runs whose anchors are shared (1) or hot (2), and all codes."""
-        anchors, _ = self.entries()
-        code = codes[np.searchsorted(anchors, self.anchor)] if len(anchors) else np.zeros(0, np.uint8)
+        order = np.argsort(self.anchor, kind="stable")
+        anchor, code = self.anchor[order], np.zeros(len(order), np.uint8)
+        if len(anchor):
+            code[order] = codes[np.cumsum(np.append(False, anchor[1:] != anchor[:-1]))]
         return np.flatnonzero(code), code
 
 
@@ -128,6 +130,19 @@ class Numbered(dict):
         return value
 
 
+def _ordered(part: np.ndarray, anchor: np.ndarray, texts: list[bytes]) -> np.ndarray:
+    """Places of texts by (part, anchor, digest), by their bytes where two digests are equal."""
+    digest = np.fromiter(map(xxhash.xxh3_64_intdigest, texts), np.uint64, len(texts))
+    order = np.lexsort((digest, anchor, part))
+    same = np.ones(max(0, len(order) - 1), bool)
+    for values in (part, anchor, digest):
+        same &= values[order[1:]] == values[order[:-1]]
+    if same.any():
+        rows = list(zip(part.tolist(), anchor.tolist(), digest.tolist(), texts))
+        order = np.array(sorted(range(len(texts)), key=rows.__getitem__), np.int64)
+    return order
+
+
 class Segments:
     """Segments of a block: the distinct ones by (set, anchor, bytes), and each place of one."""
 
@@ -154,7 +169,7 @@ class Segments:
         whole = np.flatnonzero(anchor == 0)
         anchor[whole] = np.fromiter((xxhash.xxh3_64_intdigest(texts[k]) for k in whole), np.uint64, len(whole))
         part = bucket_of(mix(anchor), sets)
-        order = sorted(range(len(texts)), key=list(zip(part.tolist(), anchor.tolist(), texts)).__getitem__)
+        order = _ordered(part, anchor, texts)
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         self.texts = [texts[k] for k in order]
@@ -163,69 +178,94 @@ class Segments:
         self.begin, self.doc = begin, doc
 
 
-def suffix_order(symbols: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Positions of all suffixes in order. ends: the terminator of each position's text.
+def suffix_order(symbols: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Positions of all suffixes, in order by at least their first ``length`` symbols; also whether a suffix is
+    parted from the one before by its first symbols, and how many symbols these are.
 
-    Prefix doubling from four symbols. A suffix ends at its terminator, equal ones
-    follow their texts, so the order is that of terminators that grow with the text.
+    ends: the terminator of each position's text. Prefix doubling, from as many symbols as a
+    number holds beside a position. A group of one suffix is in its place and not sorted again.
     """
     n = len(symbols)
     place = np.arange(n)
-    bits = np.uint64(max(1, (n - 1).bit_length()))
-    key = np.zeros(n, np.uint64)
-    for k in range(4):
-        at = place + k
-        here = np.where(at < ends, symbols[np.minimum(at, n - 1)], 0)
-        key = key << np.uint64(9) | here.astype(np.uint64)
-    reach, rank = 4, None
-    while True:
-        packed = np.sort(key << bits | place.astype(np.uint64))
-        order = (packed & (np.uint64(1) << bits) - np.uint64(1)).astype(np.int64)
-        high = packed >> bits
-        new = np.append(False, high[1:] != high[:-1])
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new) + 1
-        if reach >= (ends - place).max() or rank[order[-1]] == n:
-            return order
-        at = place + reach
-        beyond = np.where(at < ends, rank[np.minimum(at, n - 1)], 0)
-        key = rank.astype(np.uint64) << np.uint64((n + 1).bit_length()) | beyond.astype(np.uint64)
+    bits, wide = np.uint64(max(1, (n - 1).bit_length())), np.uint64(n.bit_length())
+    used = np.flatnonzero(np.bincount(symbols))
+    dense = np.zeros(used[-1] + 1, np.uint64)
+    dense[used] = np.arange(len(used)) + (used[0] > 0)  # the terminator alone is zero
+    width = max(1, int(dense.max()).bit_length())
+    first = min((64 - int(bits)) // width, length)
+    key, coded = np.zeros(n, np.uint64), np.append(dense[symbols], np.zeros(first, np.uint64))
+    for k in range(first):
+        key = key << np.uint64(width) | np.where(place + k < ends, coded[k:k + n], np.uint64(0))
+    packed = np.sort(key << bits | place.astype(np.uint64))
+    order = (packed & (np.uint64(1) << bits) - np.uint64(1)).astype(np.int64)
+    packed >>= bits
+    new = np.append(True, packed[1:] != packed[:-1])
+    parted = new | (ends[order] - order < first)
+    rank = np.empty(n, np.int64)  # where a suffix's group begins, one at least
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0)) + 1
+    open_ = np.flatnonzero(~(new & np.append(new[1:], True)))
+    reach = first
+    while reach < length and len(open_):
+        at = order[open_]
+        head, beyond = rank[at], at + reach
+        tail = np.where(beyond < ends[at], rank[np.minimum(beyond, n - 1)], 0)
+        if 3 * n.bit_length() <= 64:
+            packed = (head.astype(np.uint64) << wide | tail.astype(np.uint64)) << wide | at.astype(np.uint64)
+            packed.sort()
+            at = (packed & (np.uint64(1) << wide) - np.uint64(1)).astype(np.int64)
+            packed >>= wide
+            new = np.append(True, packed[1:] != packed[:-1])
+        else:
+            by = np.lexsort((at, tail, head))
+            at, head, tail = at[by], head[by], tail[by]
+            new = np.append(True, (head[1:] != head[:-1]) | (tail[1:] != tail[:-1]))
+        order[open_] = at
+        rank[at] = np.maximum.accumulate(np.where(new, open_, 0)) + 1
+        open_ = open_[~(new & np.append(new[1:], True))]
         reach *= 2
+    return order, parted, first
 
 
-def common_prefix_borders(order: np.ndarray, symbols: np.ndarray, is_start: np.ndarray, length: int) -> np.ndarray:
+def common_prefix_borders(
+    order: np.ndarray, symbols: np.ndarray, is_start: np.ndarray, parted: np.ndarray, first_symbols: int, length: int
+) -> np.ndarray:
     """Whether neighbouring suffixes agree on less than ``length`` symbols; one more border at the end.
 
     Beller, Gog, Ohlebusch and Schnattinger's expansion: an interval of suffixes
     with a common prefix is extended backward by each symbol before it; only an
     extension that sets a new border goes on. order is the suffix array; a suffix
-    and the one that begins a symbol earlier give the backward step.
+    and the one that begins a symbol earlier give the backward step. It begins with
+    the intervals of ``first_symbols`` symbols, whose borders are ``parted``.
     """
     n = len(order)
     row = np.empty(n, np.int64)
     row[order] = np.arange(n)
     step = np.where(is_start[order], -1, row[order - 1])  # row of the suffix one symbol longer
     first = symbols[order]
-    border = np.zeros(n + 1, bool)
-    # length one: a terminator is equal to itself alone, a symbol to all of its kind
-    border[0] = border[n] = True
-    border[:n][first == 0] = True
-    border[1:n][first[1:] != first[:-1]] = True
-    low = np.flatnonzero(border[:n])
+    border = np.append(parted, True)
+    low = np.flatnonzero(parted)
     high = np.append(low[1:], n) - 1
-    for _ in range(length - 1):
+    owners = np.full(n, -1, np.int64)
+    for _ in range(length - first_symbols):
         sizes = high - low + 1
         if not len(sizes):
             break
         owner = np.repeat(np.arange(len(low)), sizes)
-        rows = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + low[owner]
-        to = step[rows]
+        to = step[np.arange(len(owner)) + np.repeat(low - (np.cumsum(sizes) - sizes), sizes)]
         kept = to >= 0
-        packed = np.sort(to[kept] << 32 | owner[kept])
-        to, owner = packed >> 32, packed & 0xFFFFFFFF
+        to, owner = to[kept], owner[kept]
         if not len(to):
             break
-        new = np.append(True, (to[1:] != to[:-1] + 1) | (owner[1:] != owner[:-1]) | (first[to[1:]] != first[to[:-1]]))
+        if len(to) > n >> 4:  # in order by a pass over all rows
+            owners[to] = owner
+            to = np.flatnonzero(owners >= 0)
+            owner = owners[to]
+            owners[to] = -1
+        else:
+            by = np.argsort(to)
+            to, owner = to[by], owner[by]
+        begins = first[to]
+        new = np.append(True, (to[1:] != to[:-1] + 1) | (owner[1:] != owner[:-1]) | (begins[1:] != begins[:-1]))
         low = to[new]
         high = to[np.append(np.flatnonzero(new)[1:], len(to)) - 1]
         fresh = ~border[high + 1]
@@ -248,8 +288,8 @@ def first_owners(segments: list[bytes], owners: np.ndarray, length: int) -> tupl
     ends = np.repeat(stops, sizes + 1)
     is_start = np.zeros(len(symbols), bool)
     is_start[starts] = True
-    order = suffix_order(symbols, ends)
-    border = common_prefix_borders(order, symbols, is_start, length)
+    order, parted, first_symbols = suffix_order(symbols, ends, length)
+    border = common_prefix_borders(order, symbols, is_start, parted, first_symbols, length)
     whole = ends - np.arange(len(symbols)) >= length
     owner = np.where(whole, np.repeat(owners, sizes + 1), LAST)
     groups = np.flatnonzero(border[:-1])
@@ -446,7 +486,9 @@ def remove_repeats(
         *columns, F.col(key).cast("long").alias("_id"), F.col(text).cast("binary").alias("_bytes"),
         F.pmod(F.xxhash64(key, text), F.lit(blocks)).cast("int").alias("_block"),
     )
-    source.repartition(blocks, "_block").write.bucketBy(blocks, "_block").saveAsTable(name, format="parquet")
+    source.repartition(blocks, "_block").write.option("compression", "zstd").bucketBy(
+        blocks, "_block"
+    ).saveAsTable(name, format="parquet")
     stored = spark.table(name)
     texts = stored.select("_id", "_bytes", "_block")
     entries = stored.select("_bytes", "_block").groupBy("_block").applyInArrow(_entries(length, buckets), ENTRY)

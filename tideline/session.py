@@ -69,9 +69,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and return a scan of it.
 
     Used to cut lineage: the written table outlives any executor, and later
-    readers get column pruning and filter push-down from it.
+    readers get column pruning and filter push-down from it. Zstandard, as
+    texts and ids take about a quarter less room than by Spark's default.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
