@@ -149,6 +149,21 @@ def test_url_models_use_every_ruled_url(spark):
         assert {u: s for u, (f, s) in unseen.items() if f == k} == pytest.approx(rest)
 
 
+def test_url_models_reach_the_driver_by_context(spark, monkeypatch):
+    """What is broadcast is a row a context: 32**3 rows at most for each model, not one for each gram."""
+    rows = spark.createDataFrame([(f"http://h{k}.{'com' if k % 2 else 'net'}/es/{k}", k % 2 == 1, k % 5, 1) for k in range(50)],
+                                 "url string, accepted boolean, fold int, n int")
+    seen, broadcast = [], F.broadcast
+    monkeypatch.setattr(url_models.F, "broadcast", lambda df: (seen.append(df.count()), broadcast(df))[1])
+    counts = url_models.count_grams(rows)
+    assert url_models.unseen_scores(rows, counts).count() == 50
+    contexts = counts.select(F.floor(F.col("gram") / 32)).distinct().count()
+    assert seen == [url_models.FOLDS * contexts]
+    seen.clear()
+    assert url_models.ratios(rows, url_models.fit_models(rows)).count() == 50
+    assert seen == [32 ** 3]
+
+
 def brute_classes(sets, threshold):
     """Smallest id that each set reaches by links."""
     up = {i: i for i in sets}

@@ -96,93 +96,116 @@ def count_grams(urls: DataFrame) -> DataFrame:
     )
 
 
-def smooth_counts(counts: DataFrame, models: int) -> DataFrame:
+def smooth_counts(counts: DataFrame, models: int, narrow: int = 0) -> DataFrame:
     """From model, gram, yes and no: model, context and the log-likelihood ratios of the class behind it.
 
     Witten-Bell smoothing: a context trusts its own counts as far as it has been
     seen, by how many different characters followed it, and the next shorter
-    context for the rest.
+    context for the rest. The models below ``narrow`` have only the contexts
+    that some model has seen, others all.
     """
-    last = F.col("gram") % CLASSES
-    rows = counts.groupBy("model", F.floor(F.col("gram") / CLASSES).cast("int").alias("context")).agg(*[
-        F.array(*[F.sum(F.when(last == c, F.col(kind)).otherwise(0.0)) for c in range(CLASSES)]).alias(kind)
-        for kind in ("yes", "no")
-    ])
-    full = counts.sparkSession.range(models * CLASSES ** ORDER, numPartitions=1).select(
-        F.floor(F.col("id") / CLASSES ** ORDER).cast("int").alias("model"), (F.col("id") % CLASSES ** ORDER).cast("int").alias("context")
-    )
-    nothing = F.array_repeat(F.lit(0.0), CLASSES)
-    level = full.join(rows, ["model", "context"], "left").select(
-        "model", "context", *[F.coalesce(k, nothing).alias(k) for k in ("yes", "no")]
-    )
+    kinds = ("yes", "no")
+    session = counts.sparkSession
+    each = counts.groupBy("model", "gram").agg(*[F.sum(k).alias(k) for k in kinds])
+
+    def level(order: int) -> DataFrame:
+        """Counts by model and context of ``order`` classes: an array of what follows, for yes and for no."""
+        size = CLASSES ** order
+        grams = each.groupBy("model", (F.col("gram") % (size * CLASSES)).alias("gram")).agg(*[F.sum(k).alias(k) for k in kinds])
+        rows = grams.groupBy("model", F.floor(F.col("gram") / CLASSES).cast("int").alias("context")).agg(
+            F.map_from_entries(F.collect_list(F.struct(
+                (F.col("gram") % CLASSES).cast("int"), F.struct(*kinds)
+            ))).alias("next")
+        )
+        full = session.range(models * size).select(
+            F.floor(F.col("id") / size).cast("int").alias("model"), (F.col("id") % size).cast("int").alias("context")
+        )
+        if narrow and order == ORDER:
+            some = each.select(F.floor(F.col("gram") / CLASSES).cast("int").alias("context")).distinct()
+            full = full.where(F.col("model") >= narrow).unionByName(
+                full.where(F.col("model") < narrow).join(some, "context", "left_semi").select("model", "context")
+            )
+        classes = F.sequence(F.lit(0), F.lit(CLASSES - 1))
+        follows = F.transform(classes, lambda c: F.element_at("next", c))
+        rows = rows.withColumn("next", follows).select("model", "context", *[
+            F.transform(F.col("next")[k], lambda x: F.coalesce(x, F.lit(0.0))).alias(k) for k in kinds
+        ])
+        return full.join(rows, ["model", "context"], "left")  # null where the context was never seen
 
     def smooth(counted: Column, shorter: Column) -> Column:
         whole = F.aggregate(counted, F.lit(0.0), lambda s, x: s + x)
-        kinds = F.greatest(F.size(F.filter(counted, lambda x: x > 0)), F.lit(1)).cast("double")
-        return let(F.struct(whole.alias("n"), kinds.alias("d")), lambda w: F.zip_with(
+        followers = F.greatest(F.size(F.filter(counted, lambda x: x > 0)), F.lit(1)).cast("double")
+        return let(F.struct(whole.alias("n"), followers.alias("d")), lambda w: F.zip_with(
             counted, shorter, lambda x, p: (x + w["d"] * p) / (w["n"] + w["d"])
         ))
 
-    uniform = F.array_repeat(F.lit(1.0 / CLASSES), CLASSES)
     below = None
     for order in range(ORDER + 1):
-        size = CLASSES ** order
-        here = level.groupBy("model", (F.col("context") % size).alias("context")).agg(*[
-            F.array(*[F.sum(F.get(k, F.lit(c))) for c in range(CLASSES)]).alias(k) for k in ("yes", "no")
-        ])
+        here = level(order)
         if below is None:
-            smoothed = here.select("model", "context", *[smooth(F.col(k), uniform).alias(k) for k in ("yes", "no")])
+            here = here.withColumns({f"_{k}": F.array_repeat(F.lit(1.0 / CLASSES), CLASSES) for k in kinds})
         else:
-            shorter = below.select(F.col("model").alias("_m"), F.col("context").alias("_c"), F.col("yes").alias("_yes"), F.col("no").alias("_no"))
-            smoothed = here.join(shorter, (F.col("model") == F.col("_m")) & (F.col("context") % (size // CLASSES) == F.col("_c"))).select(
-                "model", "context", *[smooth(F.col(k), F.col(f"_{k}")).alias(k) for k in ("yes", "no")]
+            shorter = below.select(
+                F.col("model").alias("_m"), F.col("context").alias("_c"), *[F.col(k).alias(f"_{k}") for k in kinds]
             )
-        below = smoothed
+            here = here.join(shorter, (F.col("model") == F.col("_m")) & (F.col("context") % CLASSES ** (order - 1) == F.col("_c")))
+        below = here.select("model", "context", *[
+            F.when(F.col(k).isNull(), F.col(f"_{k}")).otherwise(smooth(F.col(k), F.col(f"_{k}"))).alias(k) for k in kinds
+        ])
     return below.select("model", "context", F.zip_with("yes", "no", lambda a, b: F.log(a / b)).alias("ratios"))
 
 
-def whole_model(counts: DataFrame) -> DataFrame:
-    """Gram and ratio of the model of all folds."""
-    summed = counts.groupBy("gram").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
-    return smooth_counts(summed.withColumn("model", F.lit(0)), 1).select(
-        F.posexplode("ratios").alias("last", "ratio"), "context"
-    ).select((F.col("context") * CLASSES + F.col("last")).alias("gram"), "ratio")
+def all_models(counts: DataFrame) -> DataFrame:
+    """Model, context and ratios: of the folds but ``model``, and of all folds as model ``FOLDS``."""
+    others = F.array(*[F.lit(k) for k in range(FOLDS + 1)])
+    return smooth_counts(counts.select(
+        F.explode(F.filter(others, lambda k: k != F.col("fold"))).alias("model"), "gram", "yes", "no"
+    ), FOLDS + 1, narrow=FOLDS)
+
+
+def _mean_ratio(urls: DataFrame, models: DataFrame, *keys: str) -> DataFrame:
+    """``urls`` with ``score`` by ``models`` (keys, context, ratios), which are broadcast.
+
+    A row of the models is a context with the ratios of all that may follow, so
+    that the driver builds a table of 32**3 rows, not of 32**4.
+    """
+    grams = urls.select("*", F.explode(_grams(F.col("url"))).alias("gram")).withColumn(
+        "context", F.floor(F.col("gram") / CLASSES).cast("int"))
+    ratio = F.get("ratios", (F.col("gram") % CLASSES).cast("int"))
+    return grams.join(F.broadcast(models), [*keys, "context"]).groupBy(*urls.columns).agg(F.avg(ratio).alias("score"))
 
 
 def fit_models(urls: DataFrame) -> DataFrame:
     """For each gram of four classes the log-likelihood ratio of its last: gram, ratio. ``urls`` has url and accepted."""
-    return whole_model(count_grams(urls.select("url", "accepted", F.lit(0).alias("fold"))))
+    counts = count_grams(urls.select("url", "accepted", F.lit(0).alias("fold")))
+    return smooth_counts(counts.withColumn("model", F.lit(0)), 1).select(
+        F.posexplode("ratios").alias("last", "ratio"), "context"
+    ).select((F.col("context") * CLASSES + F.col("last")).alias("gram"), "ratio")
 
 
-def unseen_scores(urls: DataFrame, counts: DataFrame) -> DataFrame:
+def unseen_scores(urls: DataFrame, counts: DataFrame, models: DataFrame | None = None) -> DataFrame:
     """``urls`` (url, accepted, fold, n) with the score by the model of the other folds' counts.
 
-    A row of the models holds a context's ratios in every model; 32**3 rows are broadcast.
+    Only contexts that are counted in some fold, as all of ``urls`` are, are broadcast.
     """
-    others = F.array(*[F.lit(k) for k in range(FOLDS)])
-    spread = counts.select(F.explode(F.filter(others, lambda k: k != F.col("fold"))).alias("model"), "gram", "yes", "no")
-    summed = spread.groupBy("model", "gram").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
-    wide = smooth_counts(summed, FOLDS).groupBy("context").agg(*[
-        F.first(F.when(F.col("model") == k, F.col("ratios")), ignorenulls=True).alias(f"m{k}") for k in range(FOLDS)
-    ])
-    last = F.col("gram") % CLASSES
-    ratio = F.coalesce(*[F.when(F.col("fold") == k, F.get(f"m{k}", last)) for k in range(FOLDS)])
-    grams = urls.select("*", F.explode(_grams(F.col("url"))).alias("gram")).withColumn(
-        "context", F.floor(F.col("gram") / CLASSES).cast("int"))
-    return grams.join(F.broadcast(wide), "context").groupBy("url", "accepted", "fold", "n").agg(F.avg(ratio).alias("score"))
+    models = all_models(counts) if models is None else models
+    return _mean_ratio(urls, models.where(F.col("model") < FOLDS).withColumnRenamed("model", "fold"), "fold")
+
+
+def _distinct(urls: DataFrame) -> DataFrame:
+    return urls.select(F.coalesce("url", F.lit("")).alias("url")).distinct()
 
 
 def ratios(urls: DataFrame, models: DataFrame) -> DataFrame:
     """Distinct urls with ``score``, the mean log-likelihood ratio per character and closing border.
 
-    The models have 32**4 rows at most, which is why they are broadcast; a url's
-    grams then stay in the task that holds the url.
+    ``models`` as of fit_models; a url's grams stay in the task that holds the url.
     """
-    each = urls.select(F.coalesce("url", F.lit("")).alias("url")).distinct()
-    return (
-        each.select("url", F.explode(_grams(F.col("url"))).alias("gram"))
-        .join(F.broadcast(models), "gram").groupBy("url").agg(F.avg("ratio").alias("score"))
+    follower = F.struct((F.col("gram") % CLASSES).alias("last"), "ratio")
+    rows = models.groupBy(F.floor(F.col("gram") / CLASSES).cast("int").alias("context")).agg(
+        F.transform(F.array_sort(F.collect_list(follower)), lambda x: x["ratio"]).alias("ratios")
     )
+    return _mean_ratio(_distinct(urls), rows)
 
 
 def calibrate(scored: DataFrame) -> float:
@@ -226,9 +249,11 @@ def filter_urls(
     if min(spread) == 1:  # the models without that fold would know nothing of a kind
         known = known.withColumn("fold", F.pmod(F.xxhash64("url"), F.lit(FOLDS)).cast("int"))
     counts = materialize(count_grams(known), "url-grams")
-    scores = materialize(ratios(pages.select(raw.alias("url")), whole_model(counts)), "url-scores")
+    models = materialize(all_models(counts), "url-models")
+    whole = models.where(F.col("model") == FOLDS).select("context", "ratios")
+    scores = materialize(_mean_ratio(_distinct(pages.select(raw.alias("url"))), whole), "url-scores")
     repeated = known.groupBy("url", "accepted", "fold").agg(F.count("*").alias("n"))
-    threshold = calibrate(unseen_scores(repeated, counts))
+    threshold = calibrate(unseen_scores(repeated, counts, models))
     found = scores.select(F.col("url").alias("_url"), "score")
     return ruled.drop("score").withColumn("_key", F.coalesce(raw, F.lit(""))).join(
         found, F.col("_key") == F.col("_url"), "left"
