@@ -593,3 +593,23 @@ def test_columns_named_like_internal_ones_are_kept(spark):
     assert {(r["_id"], r["_bytes"]) for r in by_name.collect()} == {(r.doc_id, r.text) for r in repeats.remove_repeats(plain).collect()}
     pages = spark.createDataFrame([(1, "http://a.com/x", "r", "k")], "page_id long, url string, _ruled string, _key string")
     assert url_models.filter_urls(pages).select("page_id", "_ruled", "_key", "rule").first()[:3] == (1, "r", "k")
+
+
+def test_first_owners_of_odd_segments():
+    """Against all strings one by one; the expansion begins where the first sort ends."""
+    rng = random.Random(1)
+    for length, kinds in [(17, 1), (17, 2), (20, 4), (50, 200), (50, 256)]:
+        segments = [bytes(rng.randrange(kinds) for _ in range(rng.randint(length, 113))) for _ in range(20)]
+        segments = list(dict.fromkeys(segments + [s[rng.randrange(len(s) - length + 1):] for s in segments]))
+        owners = np.array([rng.randrange(20) for _ in segments], np.int64)
+        least = {}
+        for s, owner in zip(segments, owners.tolist()):
+            for k in range(len(s) - length + 1):
+                least[s[k:k + length]] = min(owner, least.get(s[k:k + length], owner))
+        found, counts = repeats.first_owners(segments, owners, length)
+        assert found.tolist() == [least[s[k:k + length]] for s in segments for k in range(len(s) - length + 1)]
+        assert counts.tolist() == [len(s) - length + 1 for s in segments]
+        symbols = np.frombuffer(segments[0] + b"\0", np.uint8).astype(np.int64) + 1
+        symbols[-1] = 0
+        order, parted, first = repeats.suffix_order(symbols, np.full(len(symbols), len(symbols) - 1), length)
+        assert sorted(order) == list(range(len(symbols))) and first >= 5 and parted[0]
