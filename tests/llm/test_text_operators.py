@@ -613,3 +613,17 @@ def test_first_owners_of_odd_segments():
         symbols[-1] = 0
         order, parted, first = repeats.suffix_order(symbols, np.full(len(symbols), len(symbols) - 1), length)
         assert sorted(order) == list(range(len(symbols))) and first >= 5 and parted[0]
+
+
+def test_sums_by_key():
+    """Sums of rows by key are those that reduceat gives over sorted keys, bit by bit; rare and frequent keys alike."""
+    rng = np.random.default_rng(8)
+    for n, spread in ((0, 1.5), (1, 1.5), (5, 1.1), (700, 1.3), (4096, 1.2)):
+        values, keys = rng.normal(size=(n, 32)).astype(np.float32), rng.zipf(spread, size=4 * n) % 16384
+        row, times, sums = language_model.sums_by_key(values, keys)
+        order = np.argsort(keys, kind="stable")
+        wanted, begins, counts = np.unique(keys[order], return_index=True, return_counts=True)
+        by = np.argsort(row)
+        assert row[by].tolist() == wanted.tolist() and times[by].tolist() == counts.tolist()
+        if n:
+            assert (sums[by] == np.add.reduceat(values[order % n], begins, axis=0)).all()

@@ -50,6 +50,7 @@ FORK, MOST_LEVELS, MOST_ROWS = 5, 2, 1 << 14  # decisions a row of weights holds
 NOTHING = 1e-3  # tokens that an empty side of a decision counts for
 UNKNOWN = CLASSES  # stands for the class of a word without a training token
 HALVES, STEP, RATE = 2, 4096, 0.2
+FEW = 8  # rows of weights met so often in a step are summed side by side
 END = b"\n"
 UNIT_BYTES = 32 << 20
 SMOOTH = 0.1
@@ -69,36 +70,41 @@ def _hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-NUMBERED = "unit string, id long, held boolean, words binary, number int, word binary, n long, sums array<long>"
+NUMBERED = "unit long, id long, held boolean, words binary, number int, word binary, n long" + "".join(
+    f", s{k} long" for k in range(SIGNS)
+)
+
+
+def _new_unit() -> int:
+    return uuid.uuid4().int >> 65
 
 
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Units: rows of documents (words) and rows of their vocabulary (number, word, counts)."""
-    def documents(unit: str, ids, held, texts) -> pa.RecordBatch:
+    def documents(unit: int, ids, held, texts) -> pa.RecordBatch:
         n = len(ids)
         return pa.RecordBatch.from_arrays([
             pa.array([unit] * n), pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(texts, pa.binary()),
-            pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64())),
+            pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), *[pa.nulls(n, pa.int64())] * (1 + SIGNS),
         ], names=[x.split()[0] for x in NUMBERED.split(", ")])
 
-    def vocabulary(unit: str, known: Numbering, training: list[np.ndarray]) -> pa.RecordBatch:
+    def vocabulary(unit: int, known: Numbering, training: list[np.ndarray]) -> pa.RecordBatch:
         words = list(known)
         n = len(words)
-        counts, sums = np.zeros(n, np.int64), np.zeros((n, SIGNS), np.int64)
+        counts, sums = np.zeros(n, np.int64), np.zeros((SIGNS, n), np.int64)
         signs = _projection[(_hashes(words) % np.uint64(4096)).astype(np.int64)]
         for at in range(0, len(training), 256):  # bounds the temporary arrays
             numbers = np.concatenate(training[at:at + 256])
             counts += np.bincount(numbers, minlength=n)
             for k in range(SIGNS):
                 for one, other in ((numbers[1:], numbers[:-1]), (numbers[:-1], numbers[1:])):
-                    sums[:, k] += np.bincount(one, weights=signs[other, k], minlength=n).astype(np.int64)
+                    sums[k] += np.bincount(one, weights=signs[other, k], minlength=n).astype(np.int64)
         return pa.RecordBatch.from_arrays([
             pa.array([unit] * n), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.binary()),
-            pa.array(np.arange(n, dtype=np.int32)), pa.array(words, pa.binary()), pa.array(counts, pa.int64()),
-            pa.ListArray.from_arrays(pa.array(np.arange(0, SIGNS * n + 1, SIGNS, dtype=np.int32)), pa.array(sums.ravel())),
+            pa.array(np.arange(n, dtype=np.int32)), pa.array(words, pa.binary()), pa.array(counts), *map(pa.array, sums),
         ], names=[x.split()[0] for x in NUMBERED.split(", ")])
 
-    unit, known, training, size = uuid.uuid4().hex, Numbering(), [], 0
+    unit, known, training, size = _new_unit(), Numbering(), [], 0
     for b in batches:
         for at in range(0, b.num_rows, 512):
             part = b.slice(at, 512)
@@ -112,7 +118,7 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield documents(unit, part.column("id").to_pylist(), held, rows)
             if size >= UNIT_BYTES:
                 yield vocabulary(unit, known, training)
-                unit, known, training, size = uuid.uuid4().hex, Numbering(), [], 0
+                unit, known, training, size = _new_unit(), Numbering(), [], 0
     if known:
         yield vocabulary(unit, known, training)
 
@@ -192,8 +198,10 @@ def context_features(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 def class_log_odds(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Log probability of each class for each token."""
-    out = bias + weights[rows[0]] + weights[rows[1]] + weights[rows[2]] + weights[rows[3]]
-    out -= out.max(axis=1, keepdims=True)
+    out = bias + np.take(weights, rows[0], axis=0, mode="clip")
+    for row in rows[1:]:
+        out += np.take(weights, row, axis=0, mode="clip")
+    out -= np.ascontiguousarray(out.T).max(axis=0)[:, None]
     return out - np.log(np.exp(out).sum(axis=1, keepdims=True))
 
 
@@ -201,24 +209,26 @@ class Decisions:
     """The decisions inside the classes on the way to some tokens' words."""
 
     def __init__(self, shape: Shape, odds: np.ndarray, features: np.ndarray, classes: np.ndarray, codes: np.ndarray):
-        ways, columns = [], []
+        n, classes = len(codes), classes.astype(np.int64)
+        ways, columns = np.empty((len(features), n, shape.levels), np.int64), np.empty((n, shape.levels, FORK), np.int64)
         for level in range(shape.levels):
             above = codes >> (shape.bits - FORK * level)
-            group = (classes.astype(np.int64) << shape.bits | above) * MOST_LEVELS + level + 1
-            ways.append(mix(features + group.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(shape.rows))
+            group = (classes << shape.bits | above) * MOST_LEVELS + level + 1
+            mixed = mix(features + group.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            ways[:, :, level] = mixed & np.uint64(shape.rows - 1)  # a power of two
             within = codes >> (shape.bits - FORK * (level + 1)) & ((1 << FORK) - 1) | 1 << FORK
-            columns += [within >> (FORK - k) for k in range(FORK)]
-        self.rows = np.stack(ways, axis=2).astype(np.int64)  # feature, token, level
-        column = np.stack(columns, axis=1)
-        self.places = np.repeat(self.rows << FORK, FORK, axis=2) + column
+            for k in range(FORK):
+                columns[:, level, k] = within >> (FORK - k)
+        self.rows = ways  # feature, token, level
+        self.places = ((ways << FORK)[..., None] + columns).reshape(len(features), n, shape.bits)
         heap = codes[:, None] | 1 << shape.bits
         depth = np.arange(shape.bits)
-        self.known = odds[classes[:, None], heap >> (shape.bits - depth)]
+        self.known = np.take(odds, (classes << shape.bits)[:, None] + (heap >> (shape.bits - depth)), mode="clip")
         self.right = (heap >> (shape.bits - 1 - depth) & 1).astype(np.float32)
 
     def log_odds(self, weights: np.ndarray) -> np.ndarray:
         """Log odds of the right side by token and decision; weights lie one after another."""
-        return self.known + np.take(weights, self.places).sum(axis=0)
+        return self.known + np.take(weights, self.places, mode="clip").sum(axis=0)
 
     def log_probability(self, weights: np.ndarray) -> np.ndarray:
         """Log probability of each token's leaf inside its class."""
@@ -226,6 +236,33 @@ class Decisions:
         return (np.minimum(taken, 0) - np.log1p(np.exp(-np.abs(taken)))).sum(axis=1, dtype=np.float64)
 
 
+def sums_by_key(values: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys (below 2**16), how often each occurs, and the sums of its values' rows.
+
+    Keys may go through the rows of values several times. Keys that occur up to FEW times are
+    summed side by side, in the order that reduceat sums the others.
+    """
+    order = np.argsort(keys.astype(np.uint16), kind="stable")
+    taken = keys[order]
+    begins = np.flatnonzero(np.append(True, taken[1:] != taken[:-1])[:len(taken)])
+    times = np.diff(np.append(begins, len(taken)))
+    by = np.argsort(-np.minimum(times, FEW + 1), kind="stable")
+    begins, times = begins[by], times[by]
+    order %= max(len(values), 1)
+    sums = np.take(values, order[begins], axis=0, mode="clip")
+    many = int((times > FEW).sum())
+    met = [int((times > k).sum()) for k in range(FEW)]
+    rest = np.take(values, order[begins[many:met[1]] + 1], axis=0, mode="clip")  # all but the first, then the first
+    for k in range(2, FEW):
+        rest[:met[k] - many] += np.take(values, order[begins[many:met[k]] + k], axis=0, mode="clip")
+    sums[many:met[1]] += rest
+    if many:
+        starts = np.cumsum(times[:many]) - times[:many]
+        places = np.arange(times[:many].sum()) + np.repeat(begins[:many] - starts, times[:many])
+        sums[:many] = np.add.reduceat(np.take(values, order[places], axis=0, mode="clip"), starts, axis=0)
+    return taken[begins], times, sums
+
+
 def _targets(shape: Shape, hashes: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Class and leaf of each token."""
     unknown = classes == UNKNOWN
@@ -246,6 +283,7 @@ def _updates(shape: Shape, weights: np.ndarray, bias: np.ndarray, odds: np.ndarr
         n = shape.rows
         own, seen, used = weights.copy(), np.full(n, 1e-2, np.float32), np.zeros(2 * n, np.int64)
         forks, fork_seen = own[n:].reshape(-1), np.full(n << FORK, 1e-2, np.float32)
+        total, turn, spread = np.empty(n << FORK), np.empty(1 << 14, np.float32), np.empty(1 << 14, np.float32)
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 b = whole.slice(start, 256)
@@ -254,27 +292,30 @@ def _updates(shape: Shape, weights: np.ndarray, bias: np.ndarray, odds: np.ndarr
                 classes, codes = _targets(shape, hashes, classes)
                 for at in range(0, len(classes), STEP):
                     part = slice(at, at + STEP)
-                    near = (features[:, part] % np.uint64(n)).astype(np.int64)
-                    slope = np.exp(class_log_odds(own, bias, near))
+                    near = (features[:, part] & np.uint64(n - 1)).astype(np.int64)
+                    slope = class_log_odds(own, bias, near)
+                    np.exp(slope, out=slope)
                     slope[np.arange(slope.shape[0]), classes[part]] -= 1
-                    flat = near.ravel()
-                    order = np.argsort(flat, kind="stable")
-                    begins = np.flatnonzero(np.append(True, np.diff(flat[order]) > 0))
-                    row = flat[order[begins]]
-                    times = np.diff(np.append(begins, len(flat)))
-                    gradient = np.add.reduceat(slope[order % slope.shape[0]], begins, axis=0)
+                    row, times, gradient = sums_by_key(slope, near.ravel())
                     seen[row] += (gradient ** 2).mean(axis=1)
-                    own[row] -= RATE * gradient / np.sqrt(seen[row])[:, None]
+                    gradient *= RATE
+                    gradient /= np.sqrt(seen[row])[:, None]
+                    own[row] = np.take(own, row, axis=0, mode="clip") - gradient
                     used[row] += times
                     ways = Decisions(shape, odds, features[:, part], classes[part], codes[part])
-                    fork_slope = 1 / (1 + np.exp(-ways.log_odds(forks))) - ways.right
-                    gradient = np.bincount(
-                        ways.places.ravel(), np.broadcast_to(fork_slope, ways.places.shape).ravel(), len(forks)
-                    )
-                    place = np.flatnonzero(gradient != 0)
-                    gradient = gradient[place].astype(np.float32)
-                    fork_seen[place] += gradient ** 2
-                    forks[place] -= RATE * gradient / np.sqrt(fork_seen[place])
+                    fork_slope = (1 / (1 + np.exp(-ways.log_odds(forks))) - ways.right).astype(np.float64).ravel()
+                    total.fill(0)
+                    for places in ways.places:  # of each feature
+                        np.add.at(total, places.ravel(), fork_slope)
+                    for low in range(0, len(forks), len(turn)):  # most rows are met in a step, so all are worked
+                        near_by = slice(low, low + len(turn))
+                        turn[:] = total[near_by]
+                        np.multiply(turn, turn, out=spread)
+                        fork_seen[near_by] += spread
+                        np.sqrt(fork_seen[near_by], out=spread)
+                        np.multiply(turn, RATE, out=turn)
+                        np.divide(turn, spread, out=turn)
+                        forks[near_by] -= turn
                     used[n:] += np.bincount(ways.rows.ravel(), minlength=n)
         row = np.flatnonzero(used)
         ends = np.arange(0, CLASSES * len(row) + 1, CLASSES, dtype=np.int32)
@@ -297,7 +338,7 @@ def _scored(shape: Shape, weights: np.ndarray, bias: np.ndarray, odds: np.ndarra
                 for at in range(0, len(classes), STEP):
                     part = slice(at, at + STEP)
                     near = features[:, part]
-                    by_class = class_log_odds(own, bias, (near % np.uint64(shape.rows)).astype(np.int64))
+                    by_class = class_log_odds(own, bias, (near & np.uint64(shape.rows - 1)).astype(np.int64))
                     chosen[part] = by_class[np.arange(len(by_class)), classes[part]]
                     chosen[part] += Decisions(shape, odds, near, classes[part], codes[part]).log_probability(forks)
                 outside = np.add.reduceat(chosen, starts) / np.log(10) if len(starts) else np.zeros(0)
@@ -335,11 +376,11 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     held = F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 10 == 0, F.lit(False))
     source = docs.select(F.col(key).cast("long").alias("id"), held.alias("held"), utf8(text).alias("text"))
     numbered = materialize(source.mapInArrow(_numbered, NUMBERED), "numbered")
-    each = W.partitionBy("word")
-    words = materialize(numbered.where("word IS NOT NULL").select(
-        "unit", "number", F.sum("n").over(each).alias("c"), (F.row_number().over(each.orderBy("unit")) == 1).alias("first"),
-        F.xxhash64("word").bitwiseAND(0xFFFF).cast("int").alias("h"),
-        *[F.sum(F.get("sums", F.lit(k))).over(each).alias(f"s{k}") for k in range(SIGNS)],
+    each = W.partitionBy("hash", "word")  # hashes are quick to sort by, words part those of one hash
+    words = materialize(numbered.where("word IS NOT NULL").withColumn("hash", F.xxhash64("word")).select(
+        "unit", "number", F.sum("n").over(each).alias("c"), (F.min("unit").over(each) == F.col("unit")).alias("first"),
+        F.col("hash").bitwiseAND(0xFFFF).cast("int").alias("h"),
+        *[F.sum(f"s{k}").over(each).alias(f"s{k}") for k in range(SIGNS)],
     ), "words")
     seen = words.where("first AND c > 0")
     totals = seen.agg(
