@@ -28,6 +28,7 @@ from tideline.llm import (
     url_models,
     vector_join,
 )
+from tideline.llm.common import distinct_words
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -627,3 +628,28 @@ def test_sums_by_key():
         assert row[by].tolist() == wanted.tolist() and times[by].tolist() == counts.tolist()
         if n:
             assert (sums[by] == np.add.reduceat(values[order % n], begins, axis=0)).all()
+
+
+def test_distinct_words():
+    texts = [None, b"", b" ", b"a\x0bb\x1ca\x0c", b" \xc3\xa9t\xc3\xa9\xc2\xa0\r\nB b", b"\xff a", b"no blanks", None, b"\ta"]
+    for some in (texts, texts[2:5], texts[:2], []):
+        words, codes, sizes = distinct_words(pa.array(some, pa.binary()))
+        split = [(t or b"").split() for t in some]
+        assert [words[c] for c in codes] == sum(split, []) and sizes.tolist() == [*map(len, split)]
+        assert sorted(words) == sorted(set(sum(split, [])))
+
+
+def test_packing_remembers_recurring_words(monkeypatch):
+    """A worker that has met more words than it remembers keeps those that recur, and all texts get the same ids."""
+    monkeypatch.setattr(curve_packing, "REMEMBERED", 300)
+    tool, plain = curve_packing.WordTokenizer(WORDS), Tokenizer.from_file(WORDS)
+    often = [f"wort{a}{b}, caf\u00e9{a}{b}" for a in "abcdefgh" for b in "xyz"]
+    asked, whole = [], tool.known._tokenize
+    tool.known._tokenize = lambda text: asked.append(text) or whole(text)
+    for k in range(40):
+        texts = often * 2 + [f"rare{chr(97 + k % 26)}{chr(97 + k // 26)}{chr(97 + n // 26)}{chr(97 + n % 26)}" for n in range(200)]
+        ids, ends = tool.encode(pa.array([t.encode() for t in texts], pa.binary()))
+        want = [plain.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+        assert ids.tolist() == sum(want, []) and ends.tolist() == np.cumsum([*map(len, want)]).tolist()
+    assert len(tool.known) < 1000
+    assert sum(t.startswith("wort") for t in asked) == len(often)

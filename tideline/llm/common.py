@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +41,26 @@ def tokens(text: bytes | None) -> list[bytes]:
     return text.lower().split() if text else []
 
 
+def distinct_words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words of texts (binary), the words of all texts as numbers of these, and how many each text has.
+
+    As by bytes.split; a null text has none.
+    """
+    split = pc.ascii_split_whitespace(texts.view(pa.string()))
+    coded = split.flatten().dictionary_encode()
+    words, codes = coded.dictionary.view(pa.binary()).to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+    sizes = pc.fill_null(split.value_lengths(), 0).to_numpy().astype(np.int64)
+    if b"" in words:  # before a leading blank and after a closing one
+        empty = words.index(b"")
+        del words[empty]
+        kept = codes != empty
+        before, ends = np.append(0, np.cumsum(kept)), np.cumsum(sizes)
+        sizes = before[ends] - before[ends - sizes]
+        codes = codes[kept]
+        codes = codes - (codes > empty)
+    return words, codes, sizes
+
+
 def batch(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(columns)
 

@@ -22,7 +22,6 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import batch, blocks_for, mix, utf8
+from tideline.llm.common import batch, blocks_for, distinct_words, mix, utf8
 from tideline.session import materialize
 
 LENGTH, CLOSING = 4096, 2
@@ -77,7 +76,7 @@ def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 class WordNumbers(dict):
-    """A number for each word met, and the ids of the numbered words one after another.
+    """A number for each word met, and the ids of the numbered words one after another (16-bit, as bytes on the way).
 
     Words of Latin letters go by the vocabulary's own pieces, which recur more than
     words do; others, and words that hold an added token's content, go through all of the tokenizer.
@@ -87,32 +86,62 @@ class WordNumbers(dict):
         super().__init__({b"\n": 0})  # the closing id, as a word that no text has
         self.tool, self.pieces = tool, {}
         self.flat, self.sizes = array("H", [CLOSING]), array("i", [1])
+        self.uses = np.zeros(1, np.int64)
         self._tokenize = tool.model.tokenize
         self.added = [t.content for t in tool.get_added_tokens_decoder().values()]
-        self._sign = {c: self._piece(c) for c in ",."}
+        self._sign = {ord(c): self._piece(c) for c in ",."}
 
     def __missing__(self, word: bytes) -> int:
-        text = word.decode()
-        if "<" in text and any(t in text for t in self.added):  # the tokenizer makes one token of each
-            ids = self.tool.encode(text, add_special_tokens=False).ids
-        elif text.isascii() or max(text) < "\u0100":
-            text = text.lower()
-            if text.isalpha():
-                ids = self.pieces.get(text) or self._piece(text)
-            elif text[:-1].isalpha() and text[-1] in ",.":
-                ids = (self.pieces.get(text[:-1]) or self._piece(text[:-1])) + self._sign[text[-1]]
-            else:
-                ids = [i for p in PIECES.findall(text) for i in self.pieces.get(p) or self._piece(p)]
+        if word.isalpha():  # ASCII letters, as most words are
+            text = word.lower().decode()
+            ids = self.pieces.get(text) or self._piece(text)
+        elif word[:-1].isalpha() and word[-1] in b",.":
+            text = word[:-1].lower().decode()
+            ids = (self.pieces.get(text) or self._piece(text)) + self._sign[word[-1]]
         else:
-            ids = self.tool.encode(text, add_special_tokens=False).ids
+            ids = self._others(word.decode())
         number = self[word] = len(self.sizes)
-        self.sizes.append(len(ids))
-        self.flat.extend(ids)
+        self.sizes.append(len(ids) >> 1)
+        self.flat.frombytes(ids)
         return number
 
-    def _piece(self, text: str) -> list[int]:
+    def _others(self, text: str) -> bytes:
+        if "<" in text and any(t in text for t in self.added):  # the tokenizer makes one token of each
+            return array("H", self.tool.encode(text, add_special_tokens=False).ids).tobytes()
+        if text.isascii() or max(text) < "\u0100":
+            text = text.lower()
+            if text.isalpha():
+                return self.pieces.get(text) or self._piece(text)
+            if text[:-1].isalpha() and text[-1] in ",.":
+                return (self.pieces.get(text[:-1]) or self._piece(text[:-1])) + self._sign[ord(text[-1])]
+            return b"".join([self.pieces.get(p) or self._piece(p) for p in PIECES.findall(text)])
+        return array("H", self.tool.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def count(self, numbers: np.ndarray) -> None:
+        """Take note of words that were used."""
+        uses = np.bincount(numbers, minlength=len(self.sizes))
+        uses[:len(self.uses)] += self.uses
+        self.uses = uses
+
+    def forget(self, most: int) -> None:
+        """Keep words used twice since the last time, or more often if these are over ``most``; number them anew."""
+        self.count(np.zeros(0, np.int64))
+        least, again = 2, self.uses >= 2
+        while again.sum() > most:
+            least *= 2
+            again = self.uses >= least
+        again[0] = True
+        sizes, flat = np.array(self.sizes, np.int32), np.array(self.flat, np.uint16)
+        words = [w for w, kept in zip(self, again.tolist()) if kept]
+        self.clear()
+        self.update(zip(words, range(len(words))))
+        self.pieces.clear()
+        self.sizes, self.flat = array("i", sizes[again].tobytes()), array("H", flat[np.repeat(again, sizes)].tobytes())
+        self.uses = np.zeros(len(words), np.int64)
+
+    def _piece(self, text: str) -> bytes:
         shown = text if text.isascii() and text.isprintable() else text.encode().decode("latin-1").translate(BYTE_SIGNS)
-        ids = self.pieces[text] = [t.id for t in self._tokenize(shown)]
+        ids = self.pieces[text] = array("H", [t.id for t in self._tokenize(shown)]).tobytes()
         return ids
 
 
@@ -130,17 +159,22 @@ class WordTokenizer:
         self.direction = np.random.default_rng(7).standard_normal((1024, DIMENSIONS)).astype(np.float32)[bucket]
         self.known = WordNumbers(self.tool)
 
-    def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the closing id, and where the texts end."""
         if len(self.known) > REMEMBERED:
-            self.known = WordNumbers(self.tool)
-        split = [[*t.split(), b"\n"] if t else [b"\n"] for t in texts]
-        numbers = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64)
+            self.known.forget(REMEMBERED // 2)
+        words, codes, counts = distinct_words(texts)
+        closing = np.cumsum(counts + 1) - 1
+        numbers = np.zeros(len(codes) + len(counts), np.int64)  # the closing id's, as a start
+        numbers[np.arange(len(codes)) + np.repeat(np.arange(len(counts)), counts)] = np.fromiter(
+            map(self.known.__getitem__, words), np.int64, len(words)
+        )[codes]
+        self.known.count(numbers)
         known, flat = np.array(self.known.sizes, np.int64), np.array(self.known.flat, np.uint16)
         starts, sizes = np.cumsum(known) - known, known[numbers]
         ends = np.cumsum(sizes)
         ids = flat[np.repeat(starts[numbers] - (ends - sizes), sizes) + np.arange(ends[-1])] if len(ends) else flat[:0]
-        return ids, ends[np.cumsum([len(w) for w in split]) - 1] if len(ends) else np.zeros(0, np.int64)
+        return ids, ends[closing]
 
     def points(self, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Mean direction of each document, on the grid of the curve."""
@@ -162,7 +196,7 @@ def _tokenized(path: str):
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
-                ids, ends = tool.encode(b.column("text").to_pylist())
+                ids, ends = tool.encode(b.column("text"))
                 starts = np.append(0, ends[:-1])[:len(ends)]
                 raw = ids.astype("<u2").tobytes()
                 yield batch(
