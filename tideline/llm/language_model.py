@@ -37,12 +37,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tideline.llm.common import mix, tokens, utf8
+from tideline.llm.common import distinct_words, mix, utf8
 from tideline.session import materialize
 
 CLASSES, SIGNS, ROWS = 32, 5, 1 << 13
@@ -92,13 +93,16 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = list(known)
         n = len(words)
         counts, sums = np.zeros(n, np.int64), np.zeros((SIGNS, n), np.int64)
-        signs = _projection[(_hashes(words) % np.uint64(4096)).astype(np.int64)]
+        signs = np.ascontiguousarray(_projection[(_hashes(words) % np.uint64(4096)).astype(np.int64)].T)
         for at in range(0, len(training), 256):  # bounds the temporary arrays
-            numbers = np.concatenate(training[at:at + 256])
+            numbers = np.concatenate(training[at:at + 256]).astype(np.int64)
             counts += np.bincount(numbers, minlength=n)
             for k in range(SIGNS):
-                for one, other in ((numbers[1:], numbers[:-1]), (numbers[:-1], numbers[1:])):
-                    sums[k] += np.bincount(one, weights=signs[other, k], minlength=n).astype(np.int64)
+                own = signs[k, numbers]
+                around = np.zeros(len(own))
+                around[:-1] += own[1:]
+                around[1:] += own[:-1]
+                sums[k] += np.bincount(numbers, weights=around, minlength=n).astype(np.int64)
         return pa.RecordBatch.from_arrays([
             pa.array([unit] * n), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.binary()),
             pa.array(np.arange(n, dtype=np.int32)), pa.array(words, pa.binary()), pa.array(counts), *map(pa.array, sums),
@@ -108,13 +112,16 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for at in range(0, b.num_rows, 512):
             part = b.slice(at, 512)
-            held, rows = part.column("held").to_pylist(), []
-            for text, out in zip(part.column("text").to_pylist(), held):
-                numbers = np.fromiter(map(known.__getitem__, [*tokens(text), END]), np.uint32)
-                if not out:
-                    training.append(numbers)
-                size += len(text or b"")
-                rows.append(numbers.tobytes())
+            held, texts = part.column("held").to_pylist(), part.column("text")
+            words, codes, counts = distinct_words(pc.ascii_lower(texts.view(pa.string())).view(pa.binary()))
+            numbers = np.full(len(codes) + len(counts), known[END], np.uint32)
+            numbers[np.arange(len(codes)) + np.repeat(np.arange(len(counts)), counts)] = np.fromiter(
+                map(known.__getitem__, words), np.uint32, len(words)
+            )[codes]
+            each = np.split(numbers, np.cumsum(counts + 1)[:-1])
+            training += [x for x, out in zip(each, held) if not out]
+            size += pc.sum(pc.binary_length(texts)).as_py() or 0
+            rows = [x.tobytes() for x in each]
             yield documents(unit, part.column("id").to_pylist(), held, rows)
             if size >= UNIT_BYTES:
                 yield vocabulary(unit, known, training)
