@@ -653,3 +653,20 @@ def test_packing_remembers_recurring_words(monkeypatch):
         assert ids.tolist() == sum(want, []) and ends.tolist() == np.cumsum([*map(len, want)]).tolist()
     assert len(tool.known) < 1000
     assert sum(t.startswith("wort") for t in asked) == len(often)
+
+
+def test_suffix_order_by_short_symbols():
+    """Symbols of 16 bits, texts shorter than what a number holds, and texts longer than 255 give the order of whole prefixes."""
+    rng = np.random.default_rng(12)
+    for length, sizes in ((20, [0, 1, 2, 3, 30, 30, 5]), (50, [300, 2, 70, 0, 300]), (400, [900, 3, 500])):
+        texts = [rng.integers(97, 99, n).astype(np.uint8).tobytes() for n in sizes]
+        texts += [texts[-1], (b"ab" * 300)[:max(sizes)]]
+        stops = np.cumsum([len(t) + 1 for t in texts]) - 1
+        symbols = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.uint16) + np.uint16(1)
+        symbols[stops] = 0
+        order, parted, first = repeats.suffix_order(symbols, np.repeat(stops, [len(t) + 1 for t in texts]), length)
+        begins = [t[k:k + length] for t in texts for k in range(len(t) + 1)]
+        assert sorted(order.tolist()) == list(range(len(begins)))
+        assert [begins[k] for k in order] == sorted(begins)
+        same = [b[:first] == a[:first] and len(b) >= first for a, b in zip([begins[k] for k in order], [begins[k] for k in order[1:]])]
+        assert parted.tolist() == [True, *(not x for x in same)]

@@ -178,6 +178,18 @@ class Segments:
         self.begin, self.doc = begin, doc
 
 
+def taken(values: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """values[places], without a look at the bounds; places beyond them give the last."""
+    return np.take(values, places, mode="clip")
+
+
+def changes(values: np.ndarray) -> np.ndarray:
+    """Whether each value is unlike the one before; the first is."""
+    out = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=out[1:])
+    return out
+
+
 def suffix_order(symbols: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, int]:
     """Positions of all suffixes, in order by at least their first ``length`` symbols; also whether a suffix is
     parted from the one before by its first symbols, and how many symbols these are.
@@ -186,42 +198,57 @@ def suffix_order(symbols: np.ndarray, ends: np.ndarray, length: int) -> tuple[np
     number holds beside a position. A group of one suffix is in its place and not sorted again.
     """
     n = len(symbols)
-    place = np.arange(n)
     bits, wide = np.uint64(max(1, (n - 1).bit_length())), np.uint64(n.bit_length())
     used = np.flatnonzero(np.bincount(symbols))
     dense = np.zeros(used[-1] + 1, np.uint64)
     dense[used] = np.arange(len(used)) + (used[0] > 0)  # the terminator alone is zero
+    left = np.minimum(ends - np.arange(n), length).astype(np.uint8 if length < 256 else np.int64)  # small tables are quick
     width = max(1, int(dense.max()).bit_length())
     first = min((64 - int(bits)) // width, length)
-    key, coded = np.zeros(n, np.uint64), np.append(dense[symbols], np.zeros(first, np.uint64))
-    for k in range(first):
-        key = key << np.uint64(width) | np.where(place + k < ends, coded[k:k + n], np.uint64(0))
-    packed = np.sort(key << bits | place.astype(np.uint64))
-    order = (packed & (np.uint64(1) << bits) - np.uint64(1)).astype(np.int64)
-    packed >>= bits
-    new = np.append(True, packed[1:] != packed[:-1])
-    parted = new | (ends[order] - order < first)
-    rank = np.empty(n, np.int64)  # where a suffix's group begins, one at least
-    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0)) + 1
+    coded = np.append(taken(dense, symbols), np.zeros(first, np.uint64))
+    key = coded[:n].copy()
+    for k in range(1, first):
+        key <<= np.uint64(width)
+        key |= coded[k:k + n]
+    short = np.flatnonzero(left < first)  # what lies behind a terminator counts as zeros
+    beyond = ((first - left[short].astype(np.int64)) * width).astype(np.uint64)
+    key[short] = key[short] >> beyond << beyond
+    key <<= bits
+    key |= np.arange(n, dtype=np.uint64)
+    key.sort()
+    order = (key & (np.uint64(1) << bits) - np.uint64(1)).view(np.int64)
+    key >>= bits
+    new = changes(key)
+    parted = new | (taken(left, order) < first)
+    rank = np.empty(n, np.int64 if n >> 31 else np.int32)  # where a suffix's group begins, one at least
+    head = np.maximum.accumulate(np.where(new, np.arange(1, n + 1), 0))
+    rank[order] = head
     open_ = np.flatnonzero(~(new & np.append(new[1:], True)))
+    head = taken(head, open_)
     reach = first
     while reach < length and len(open_):
-        at = order[open_]
-        head, beyond = rank[at], at + reach
-        tail = np.where(beyond < ends[at], rank[np.minimum(beyond, n - 1)], 0)
+        at = taken(order, open_)
+        tail = taken(rank, at + reach).astype(np.int64)
+        tail[taken(left, at) <= reach] = 0
         if 3 * n.bit_length() <= 64:
-            packed = (head.astype(np.uint64) << wide | tail.astype(np.uint64)) << wide | at.astype(np.uint64)
+            packed = head.view(np.uint64)
+            packed <<= wide
+            packed |= tail.view(np.uint64)
+            packed <<= wide
+            packed |= at.view(np.uint64)
             packed.sort()
-            at = (packed & (np.uint64(1) << wide) - np.uint64(1)).astype(np.int64)
+            at = (packed & (np.uint64(1) << wide) - np.uint64(1)).view(np.int64)
             packed >>= wide
-            new = np.append(True, packed[1:] != packed[:-1])
+            new = changes(packed)
         else:
             by = np.lexsort((at, tail, head))
             at, head, tail = at[by], head[by], tail[by]
-            new = np.append(True, (head[1:] != head[:-1]) | (tail[1:] != tail[:-1]))
+            new = changes(head) | changes(tail)
         order[open_] = at
-        rank[at] = np.maximum.accumulate(np.where(new, open_, 0)) + 1
-        open_ = open_[~(new & np.append(new[1:], True))]
+        head = np.maximum.accumulate(np.where(new, open_ + 1, 0))
+        rank[at] = head
+        more = np.flatnonzero(~(new & np.append(new[1:], True)))
+        open_, head = taken(open_, more), taken(head, more)
         reach *= 2
     return order, parted, first
 
@@ -238,37 +265,39 @@ def common_prefix_borders(
     the intervals of ``first_symbols`` symbols, whose borders are ``parted``.
     """
     n = len(order)
-    row = np.empty(n, np.int64)
+    row = np.empty(n, np.int64 if n >> 31 else np.int32)
     row[order] = np.arange(n)
-    step = np.where(is_start[order], -1, row[order - 1])  # row of the suffix one symbol longer
-    first = symbols[order]
+    step = taken(row, order - 1)  # row of the suffix one symbol longer
+    step[taken(is_start, order)] = -1
+    first = taken(symbols, order)
     border = np.append(parted, True)
     low = np.flatnonzero(parted)
     high = np.append(low[1:], n) - 1
-    owners = np.full(n, -1, np.int64)
+    owners = np.full(n, -1, row.dtype)
     for _ in range(length - first_symbols):
         sizes = high - low + 1
         if not len(sizes):
             break
         owner = np.repeat(np.arange(len(low)), sizes)
-        to = step[np.arange(len(owner)) + np.repeat(low - (np.cumsum(sizes) - sizes), sizes)]
-        kept = to >= 0
-        to, owner = to[kept], owner[kept]
+        to = taken(step, np.arange(len(owner)) + taken(low - (np.cumsum(sizes) - sizes), owner))
+        kept = np.flatnonzero(to >= 0)
+        to, owner = taken(to, kept).astype(np.int64), taken(owner, kept)
         if not len(to):
             break
         if len(to) > n >> 4:  # in order by a pass over all rows
             owners[to] = owner
             to = np.flatnonzero(owners >= 0)
-            owner = owners[to]
+            owner = taken(owners, to)
             owners[to] = -1
         else:
             by = np.argsort(to)
-            to, owner = to[by], owner[by]
-        begins = first[to]
-        new = np.append(True, (to[1:] != to[:-1] + 1) | (owner[1:] != owner[:-1]) | (begins[1:] != begins[:-1]))
-        low = to[new]
-        high = to[np.append(np.flatnonzero(new)[1:], len(to)) - 1]
-        fresh = ~border[high + 1]
+            to, owner = taken(to, by), taken(owner, by)
+        new = changes(owner) | changes(taken(first, to))
+        new[1:] |= to[1:] - to[:-1] != 1
+        at = np.flatnonzero(new)
+        low = taken(to, at)
+        high = taken(to, np.append(at[1:], len(to)) - 1)
+        fresh = ~taken(border, high + 1)
         low, high = low[fresh], high[fresh]
         border[high + 1] = True
     return border
@@ -283,7 +312,7 @@ def first_owners(segments: list[bytes], owners: np.ndarray, length: int) -> tupl
     stops = np.cumsum(sizes + 1) - 1  # terminators
     starts = stops - sizes
     joined = np.frombuffer(b"\0".join(segments) + b"\0", np.uint8)
-    symbols = joined.astype(np.int64) + 1
+    symbols = joined.astype(np.uint16) + np.uint16(1)
     symbols[stops] = 0
     ends = np.repeat(stops, sizes + 1)
     is_start = np.zeros(len(symbols), bool)
