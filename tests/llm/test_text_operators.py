@@ -6,6 +6,7 @@ import json
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -275,6 +276,59 @@ def test_language_model_parts_words_of_a_class():
     assert score([100, 40_000, 200, 50_000]) > score([100, 40_000, 200, 40_000]) + 0.5
 
 
+def test_language_model_scores_in_small_arrays():
+    """Temporary arrays hold a few documents and one depth of decisions, which stay in the processor's cache."""
+    rng, shape, n = np.random.default_rng(5), language_model.Shape(5_000), 512
+    weights, bias = np.zeros((2 * shape.rows, language_model.CLASSES), np.float32), np.zeros(language_model.CLASSES, np.float32)
+    odds = np.zeros((language_model.CLASSES, 1 << shape.bits), np.float32)
+    b = pa.RecordBatch.from_pydict({
+        "id": list(range(n)), "held": [False] * n, **{c: [600] * n for c in ("n_tokens", "n_known")},
+        **{c: [0.0] * n for c in ("base", "inside")},
+        "hashes": [rng.integers(0, 1 << 16, 600, dtype=np.uint16).tobytes()] * n,
+        "classes": [rng.integers(0, 33, 600, dtype=np.uint8).tobytes()] * n,
+    })
+    tracemalloc.start()
+    scores = np.concatenate([x.column("score") for x in language_model._scored(shape, weights, bias, odds)(iter([b]))])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(scores, -600 * (np.log10(32) + 10 * np.log10(2)))
+    assert peak < 12e6
+
+
+def test_language_model_steps():
+    """Weights after two steps, against steps made decision by decision."""
+    rng, shape = np.random.default_rng(6), language_model.Shape(5_000)
+    words, kinds = rng.integers(0, 1 << 16, 9, dtype=np.uint16), rng.integers(0, 33, 9, dtype=np.uint8)
+    at = rng.integers(0, 9, language_model.STEP + 100)
+    weights = rng.normal(size=(2 * shape.rows, language_model.CLASSES)).astype(np.float32)
+    odds = rng.normal(size=(language_model.CLASSES, 1 << shape.bits)).astype(np.float32)
+    bias = np.zeros(language_model.CLASSES, np.float32)
+    b = pa.RecordBatch.from_pydict({"hashes": [words[at].tobytes()], "classes": [kinds[at].tobytes()]})
+    (steps,) = language_model._updates(shape, weights, bias, odds)(iter([b]))
+    features = language_model.context_features(words[at], np.array([0]))
+    classes, codes = language_model._targets(shape, words[at], kinds[at])
+    wanted, seen = weights[shape.rows:].astype(float), np.full((shape.rows, 32), 1e-2)
+    for start in (0, language_model.STEP):
+        total = np.zeros_like(wanted)
+        part = slice(start, start + language_model.STEP)
+        ways = language_model.Decisions(shape, odds, features[:, part], classes[part], codes[part])
+        for i, (kind, code) in enumerate(zip(classes[part], codes[part].tolist())):
+            for depth in range(shape.bits):
+                level, k = divmod(depth, language_model.FORK)
+                leaf = code >> (shape.bits - language_model.FORK * (level + 1)) & 31 | 32
+                places = ways.rows[:, level, i], leaf >> (language_model.FORK - k)
+                node = (code | 1 << shape.bits) >> (shape.bits - depth)
+                right = (code >> (shape.bits - 1 - depth)) & 1
+                slope = 1 / (1 + np.exp(-(odds[kind, node] + wanted[places].sum()))) - right
+                np.add.at(total, places, slope)
+        seen += total ** 2
+        wanted -= language_model.RATE * total / np.sqrt(seen)
+    rows = steps.column("row").to_numpy()
+    met = rows >= shape.rows
+    got = np.stack(steps.column("weights").to_pylist())[met]
+    assert met.any() and np.allclose(got, wanted[rows[met] - shape.rows], atol=1e-3)
+
+
 def test_packing(docs, empty, texts):
     tool = Tokenizer.from_file(WORDS)
     marked = ["<|endoftext|>", "one<|endoftext|>two <|startoftext|> <|ENDOFTEXT|> <|endoftext| a<b <|startoftext|><|startoftext|>é", "x <|endoftext|>\n"]

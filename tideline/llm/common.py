@@ -77,11 +77,12 @@ def utf8(column: str = "text"):
 
 def mix(h: np.ndarray) -> np.ndarray:
     """Scramble 64-bit numbers (finalizer of MurmurHash3)."""
-    h = h ^ (h >> np.uint64(33))
-    h = h * np.uint64(0xFF51AFD7ED558CCD)
-    h = h ^ (h >> np.uint64(33))
-    h = h * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(33))
+    h = h ^ (h >> np.uint64(33))  # a copy, changed in place from here
+    h *= np.uint64(0xFF51AFD7ED558CCD)
+    h ^= h >> np.uint64(33)
+    h *= np.uint64(0xC4CEB9FE1A85EC53)
+    h ^= h >> np.uint64(33)
+    return h
 
 
 def rows_of(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:

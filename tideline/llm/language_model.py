@@ -51,6 +51,7 @@ FORK, MOST_LEVELS, MOST_ROWS = 5, 2, 1 << 14  # decisions a row of weights holds
 NOTHING = 1e-3  # tokens that an empty side of a decision counts for
 UNKNOWN = CLASSES  # stands for the class of a word without a training token
 HALVES, STEP, RATE = 2, 4096, 0.2
+SPAN = 1 << 15  # weights moved side by side
 FEW = 8  # rows of weights met so often in a step are summed side by side
 END = b"\n"
 UNIT_BYTES = 32 << 20
@@ -59,14 +60,6 @@ SMOOTH = 0.1
 _projection = (np.random.default_rng(11).integers(0, 2, (4096, SIGNS)) * 2 - 1).astype(np.int8)
 
 
-class Numbering(dict):
-    """Words numbered in order of appearance."""
-
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = len(self)
-        return value
-
-
 def _hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
@@ -89,45 +82,51 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), *[pa.nulls(n, pa.int64())] * (1 + SIGNS),
         ], names=[x.split()[0] for x in NUMBERED.split(", ")])
 
-    def vocabulary(unit: int, known: Numbering, training: list[np.ndarray]) -> pa.RecordBatch:
-        words = list(known)
+    def vocabulary(unit: int, words: pa.Array, training: list[np.ndarray]) -> pa.RecordBatch:
         n = len(words)
         counts, sums = np.zeros(n, np.int64), np.zeros((SIGNS, n), np.int64)
-        signs = np.ascontiguousarray(_projection[(_hashes(words) % np.uint64(4096)).astype(np.int64)].T)
+        signs = np.ascontiguousarray(_projection[(_hashes(words.to_pylist()) % np.uint64(4096)).astype(np.int64)].T)
         for at in range(0, len(training), 256):  # bounds the temporary arrays
             numbers = np.concatenate(training[at:at + 256]).astype(np.int64)
             counts += np.bincount(numbers, minlength=n)
             for k in range(SIGNS):
                 own = signs[k, numbers]
-                around = np.zeros(len(own))
+                around = np.zeros(len(own), np.int8)
                 around[:-1] += own[1:]
                 around[1:] += own[:-1]
                 sums[k] += np.bincount(numbers, weights=around, minlength=n).astype(np.int64)
         return pa.RecordBatch.from_arrays([
             pa.array([unit] * n), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.binary()),
-            pa.array(np.arange(n, dtype=np.int32)), pa.array(words, pa.binary()), pa.array(counts), *map(pa.array, sums),
+            pa.array(np.arange(n, dtype=np.int32)), words, pa.array(counts), *map(pa.array, sums),
         ], names=[x.split()[0] for x in NUMBERED.split(", ")])
 
-    unit, known, training, size = _new_unit(), Numbering(), [], 0
+    def unit_of(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+        unit, training = _new_unit(), []
+        found = pa.chunked_array([pa.array([END]), *(words for _, _, words, _, _ in parts)]).dictionary_encode()
+        for (ids, held, _, codes, counts), numbered in zip(parts, found.chunks[1:]):
+            numbers = np.zeros(len(codes) + len(counts), np.uint32)  # the end is number 0
+            places = np.arange(len(codes)) + np.repeat(np.arange(len(counts)), counts)
+            numbers[places] = numbered.indices.to_numpy()[codes]
+            each = np.split(numbers, np.cumsum(counts + 1)[:-1])
+            training += [x for x, out in zip(each, held) if not out]
+            yield documents(unit, ids, held, [x.tobytes() for x in each])
+        yield vocabulary(unit, found.chunks[-1].dictionary, training)
+
+    parts, size = [], 0
     for b in batches:
         for at in range(0, b.num_rows, 512):
             part = b.slice(at, 512)
-            held, texts = part.column("held").to_pylist(), part.column("text")
+            texts = part.column("text")
             words, codes, counts = distinct_words(pc.ascii_lower(texts.view(pa.string())).view(pa.binary()))
-            numbers = np.full(len(codes) + len(counts), known[END], np.uint32)
-            numbers[np.arange(len(codes)) + np.repeat(np.arange(len(counts)), counts)] = np.fromiter(
-                map(known.__getitem__, words), np.uint32, len(words)
-            )[codes]
-            each = np.split(numbers, np.cumsum(counts + 1)[:-1])
-            training += [x for x, out in zip(each, held) if not out]
+            parts.append((
+                part.column("id").to_pylist(), part.column("held").to_pylist(), pa.array(words, pa.binary()), codes, counts
+            ))
             size += pc.sum(pc.binary_length(texts)).as_py() or 0
-            rows = [x.tobytes() for x in each]
-            yield documents(unit, part.column("id").to_pylist(), held, rows)
             if size >= UNIT_BYTES:
-                yield vocabulary(unit, known, training)
-                unit, known, training, size = _new_unit(), Numbering(), [], 0
-    if known:
-        yield vocabulary(unit, known, training)
+                yield from unit_of(parts)
+                parts, size = [], 0
+    if parts:
+        yield from unit_of(parts)
 
 
 CODED = (
@@ -173,43 +172,67 @@ def _coded(shape: Shape, totals: dict, mass: np.ndarray):
         leaf = np.where(count > 0, mass[kind, shape.codes(hashed)], mass[0, 0])
         inside = np.log10((count + SMOOTH) / leaf)
         kind[count == 0] = UNKNOWN
-        out: dict[str, list] = {c.split()[0]: [] for c in CODED.split(", ")}
-        for doc, held, raw in zip(*(docs.column(c).to_pylist() for c in ("id", "held", "words"))):
-            x = np.frombuffer(raw, np.uint32)
-            values = (
-                doc, held, len(x), int((count[x] > 0).sum()), float(base[x].sum()), float(inside[x].sum()),
-                hashed[x].tobytes(), kind[x].tobytes(),
-            )
-            for name, value in zip(out, values):
-                out[name].append(value)
-        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary()]
-        return pa.table({name: pa.array(v, t) for (name, v), t in zip(out.items(), kinds)})
+        known, bytes_of = count > 0, {"hashes": [], "classes": []}
+        n_tokens, n_known = np.zeros((2, docs.num_rows), np.int64)
+        sums = np.zeros((2, docs.num_rows))
+        texts = docs.column("words").to_pylist()
+        for at in range(0, len(texts), 64):
+            some = texts[at:at + 64]
+            sizes = np.array([len(x) // 4 for x in some])  # the end is in every one
+            starts = np.cumsum(sizes) - sizes
+            x = np.frombuffer(b"".join(some), np.uint32).astype(np.int64)
+            within = slice(at, at + len(some))
+            n_tokens[within] = sizes
+            n_known[within] = np.add.reduceat(known[x], starts, dtype=np.int64)
+            sums[0, within], sums[1, within] = np.add.reduceat(base[x], starts), np.add.reduceat(inside[x], starts)
+            for name, values in (("hashes", hashed[x]), ("classes", kind[x])):
+                bytes_of[name] += [v.tobytes() for v in np.split(values, starts[1:])]
+        return pa.table({
+            "id": docs.column("id"), "held": docs.column("held"), "n_tokens": n_tokens, "n_known": n_known,
+            "base": sums[0], "inside": sums[1], **{name: pa.array(v, pa.binary()) for name, v in bytes_of.items()},
+        })
     return run
 
 
 def context_features(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """The four features of each token, hashed, given where documents start."""
-    n = len(hashes)
-    place = np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))
+    n, numbered = len(hashes), hashes.astype(np.uint64) + np.uint64(1)
+    ends = np.append(starts, n)[1:]
 
     def back(k: int) -> np.ndarray:
         out = np.zeros(n, np.uint64)
-        out[k:] = hashes[:n - k].astype(np.uint64) + np.uint64(1) if k < n else 0
-        out[place < k] = 0
+        out[k:] = numbered[:max(n - k, 0)]
+        for first in range(k):  # the first words of a document have none so far back
+            at = starts + first
+            out[at[at < ends]] = 0
         return out
 
     one, two, three = back(1), back(2), back(3)
-    features = (one, one * np.uint64(70_001) + two, two, three)
-    return np.stack([mix(f * np.uint64(4) + np.uint64(k)) for k, f in enumerate(features)])
+    out = np.empty((4, n), np.uint64)
+    for at in range(0, n, STEP):
+        part = slice(at, at + STEP)
+        features = one[part], one[part] * np.uint64(70_001) + two[part], two[part], three[part]
+        for k, f in enumerate(features):
+            out[k, part] = mix(f * np.uint64(4) + np.uint64(k))
+    return out
 
 
 def class_log_odds(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Log probability of each class for each token."""
-    out = bias + np.take(weights, rows[0], axis=0, mode="clip")
+    """Log probability of each class for each token; those of one class lie side by side."""
+    taken = np.take(weights, rows[0], axis=0, mode="clip")
+    out = taken + bias
     for row in rows[1:]:
-        out += np.take(weights, row, axis=0, mode="clip")
-    out -= np.ascontiguousarray(out.T).max(axis=0)[:, None]
-    return out - np.log(np.exp(out).sum(axis=1, keepdims=True))
+        np.take(weights, row, axis=0, mode="clip", out=taken)
+        out += taken
+    out = np.ascontiguousarray(out.T)
+    out -= out.max(axis=0)
+    sums = np.exp(out)
+    while len(sums) > 8:  # eighths, then neighbours, as sum adds up the classes of one token
+        sums = np.concatenate([sums[:8] + sums[8:16], sums[16:]])
+    while len(sums) > 1:
+        sums = sums[::2] + sums[1::2]
+    out -= np.log(sums)
+    return out.T
 
 
 class Decisions:
@@ -217,30 +240,55 @@ class Decisions:
 
     def __init__(self, shape: Shape, odds: np.ndarray, features: np.ndarray, classes: np.ndarray, codes: np.ndarray):
         n, classes = len(codes), classes.astype(np.int64)
-        ways, columns = np.empty((len(features), n, shape.levels), np.int64), np.empty((n, shape.levels, FORK), np.int64)
+        self.rows = np.empty((len(features), shape.levels, n), np.int64)
+        self.within, self.size = np.empty((shape.levels, n), np.int64), shape.rows
+        self.places = np.empty((len(features), shape.levels, n), np.int64)
+        self.known, self.right = np.empty((2, FORK, shape.levels, n), np.float32)
+        heap, first = codes | 1 << shape.bits, classes << shape.bits
         for level in range(shape.levels):
             above = codes >> (shape.bits - FORK * level)
             group = (classes << shape.bits | above) * MOST_LEVELS + level + 1
-            mixed = mix(features + group.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            ways[:, :, level] = mixed & np.uint64(shape.rows - 1)  # a power of two
-            within = codes >> (shape.bits - FORK * (level + 1)) & ((1 << FORK) - 1) | 1 << FORK
+            salt = group.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            for f, own in enumerate(features):
+                np.bitwise_and(mix(own + salt).view(np.int64), shape.rows - 1, out=self.rows[f, level])  # a power of two
+            self.within[level] = codes >> (shape.bits - FORK * (level + 1)) & ((1 << FORK) - 1)
             for k in range(FORK):
-                columns[:, level, k] = within >> (FORK - k)
-        self.rows = ways  # feature, token, level
-        self.places = ((ways << FORK)[..., None] + columns).reshape(len(features), n, shape.bits)
-        heap = codes[:, None] | 1 << shape.bits
-        depth = np.arange(shape.bits)
-        self.known = np.take(odds, (classes << shape.bits)[:, None] + (heap >> (shape.bits - depth)), mode="clip")
-        self.right = (heap >> (shape.bits - 1 - depth) & 1).astype(np.float32)
-
-    def log_odds(self, weights: np.ndarray) -> np.ndarray:
-        """Log odds of the right side by token and decision; weights lie one after another."""
-        return self.known + np.take(weights, self.places, mode="clip").sum(axis=0)
+                node = heap >> (shape.bits - FORK * level - k)
+                self.known[k, level] = np.take(odds, first + node, mode="clip")
+                self.right[k, level] = heap >> (shape.bits - 1 - FORK * level - k) & 1
+
+    def log_odds(self, weights: np.ndarray, k: int) -> np.ndarray:
+        """Log odds of the right side of the k-th decisions, by level and token, from the weights of all of these.
+
+        The places of their weights are kept until the next call, by feature, level and token.
+        """
+        columns = (self.within >> (FORK - k)) * self.size
+        taken = np.empty(columns.shape, weights.dtype)
+        for f, place in enumerate(self.places):
+            np.add(self.rows[f], columns, out=place)
+            np.take(weights, place, mode="clip", out=taken)
+            out = out + taken if f else taken.copy()
+        out += self.known[k]
+        return out
 
     def log_probability(self, weights: np.ndarray) -> np.ndarray:
-        """Log probability of each token's leaf inside its class."""
-        taken = self.log_odds(weights) * (2 * self.right - 1)
-        return (np.minimum(taken, 0) - np.log1p(np.exp(-np.abs(taken)))).sum(axis=1, dtype=np.float64)
+        """Log probability of each token's leaf inside its class; weights lie as by_decision has them."""
+        total = 0
+        for k in range(FORK):
+            taken = self.log_odds(weights[self.size << k:], k)
+            taken *= 2 * self.right[k] - 1
+            out = np.minimum(taken, 0)
+            np.abs(taken, out=taken)
+            np.negative(taken, out=taken)
+            np.exp(taken, out=taken)
+            out -= np.log1p(taken, out=taken)
+            total = total + out.sum(axis=0, dtype=np.float64)
+        return total
+
+
+def by_decision(weights: np.ndarray) -> np.ndarray:
+    """Rows of decisions by column: those of k-th decisions side by side, from the number of rows << k on."""
+    return np.ascontiguousarray(weights.T).ravel()
 
 
 def sums_by_key(values: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -253,12 +301,12 @@ def sums_by_key(values: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.nd
     taken = keys[order]
     begins = np.flatnonzero(np.append(True, taken[1:] != taken[:-1])[:len(taken)])
     times = np.diff(np.append(begins, len(taken)))
-    by = np.argsort(-np.minimum(times, FEW + 1), kind="stable")
+    few = np.minimum(times, FEW + 1)
+    by = np.argsort((FEW + 1 - few).astype(np.uint8), kind="stable")  # sorted by radix
     begins, times = begins[by], times[by]
-    order %= max(len(values), 1)
+    order = np.take(np.tile(np.arange(len(values)), len(keys) // max(len(values), 1)), order, mode="clip")
     sums = np.take(values, order[begins], axis=0, mode="clip")
-    many = int((times > FEW).sum())
-    met = [int((times > k).sum()) for k in range(FEW)]
+    *met, many = (len(few) - np.cumsum(np.bincount(few, minlength=FEW + 2)))[:FEW + 1].tolist()
     rest = np.take(values, order[begins[many:met[1]] + 1], axis=0, mode="clip")  # all but the first, then the first
     for k in range(2, FEW):
         rest[:met[k] - many] += np.take(values, order[begins[many:met[k]] + k], axis=0, mode="clip")
@@ -288,42 +336,68 @@ def _updates(shape: Shape, weights: np.ndarray, bias: np.ndarray, odds: np.ndarr
     """Gradient steps of a task from the common weights; returns the rows it used, with their use."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = shape.rows
-        own, seen, used = weights.copy(), np.full(n, 1e-2, np.float32), np.zeros(2 * n, np.int64)
-        forks, fork_seen = own[n:].reshape(-1), np.full(n << FORK, 1e-2, np.float32)
-        total, turn, spread = np.empty(n << FORK), np.empty(1 << 14, np.float32), np.empty(1 << 14, np.float32)
+        own, seen, used = weights[:n].copy(), np.full(n, 1e-2, np.float32), np.zeros(2 * n, np.int64)
+        forks, fork_seen = by_decision(weights[n:]), np.full(n << FORK, 1e-2, np.float32)
+        total, turns_of, squares_of = np.zeros(n << FORK), np.empty(SPAN, np.float32), np.empty(SPAN, np.float32)
+        row, gradient = np.zeros(0, np.int64), np.zeros((0, CLASSES), np.float32)
+
+        def move_classes() -> None:
+            for low in range(0, len(row), 4096):
+                rows, turns = row[low:low + 4096], gradient[low:low + 4096]
+                known = np.add.reduce(turns * turns, axis=1)
+                known /= CLASSES
+                known += seen[rows]
+                seen[rows] = known
+                turns *= RATE
+                turns /= np.sqrt(known)[:, None]
+                own[rows] = np.take(own, rows, axis=0, mode="clip") - turns
+
+        def move_decisions(k: int) -> None:
+            for low in range(n << k, n << k + 1, SPAN):  # most rows are met in a step, so all are worked
+                near_by = slice(low, min(low + SPAN, n << k + 1))
+                turn, spread = turns_of[:near_by.stop - low], squares_of[:near_by.stop - low]
+                turn[:] = total[near_by]
+                total[near_by] = 0
+                np.multiply(turn, turn, out=spread)
+                fork_seen[near_by] += spread
+                np.sqrt(fork_seen[near_by], out=spread)
+                np.multiply(turn, RATE, out=turn)
+                np.divide(turn, spread, out=turn)
+                forks[near_by] -= turn
+
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 b = whole.slice(start, 256)
                 hashes, classes, starts = _documents(b, [True] * b.num_rows)
                 features = context_features(hashes, starts)
                 classes, codes = _targets(shape, hashes, classes)
-                for at in range(0, len(classes), STEP):
+                for at in range(0, len(classes), STEP):  # moves by the last step first: its weights are then close by
                     part = slice(at, at + STEP)
+                    move_classes()
                     near = (features[:, part] & np.uint64(n - 1)).astype(np.int64)
                     slope = class_log_odds(own, bias, near)
                     np.exp(slope, out=slope)
                     slope[np.arange(slope.shape[0]), classes[part]] -= 1
-                    row, times, gradient = sums_by_key(slope, near.ravel())
-                    seen[row] += (gradient ** 2).mean(axis=1)
-                    gradient *= RATE
-                    gradient /= np.sqrt(seen[row])[:, None]
-                    own[row] = np.take(own, row, axis=0, mode="clip") - gradient
+                    row, times, gradient = sums_by_key(np.ascontiguousarray(slope), near.ravel())
                     used[row] += times
                     ways = Decisions(shape, odds, features[:, part], classes[part], codes[part])
-                    fork_slope = (1 / (1 + np.exp(-ways.log_odds(forks))) - ways.right).astype(np.float64).ravel()
-                    total.fill(0)
-                    for places in ways.places:  # of each feature
-                        np.add.at(total, places.ravel(), fork_slope)
-                    for low in range(0, len(forks), len(turn)):  # most rows are met in a step, so all are worked
-                        near_by = slice(low, low + len(turn))
-                        turn[:] = total[near_by]
-                        np.multiply(turn, turn, out=spread)
-                        fork_seen[near_by] += spread
-                        np.sqrt(fork_seen[near_by], out=spread)
-                        np.multiply(turn, RATE, out=turn)
-                        np.divide(turn, spread, out=turn)
-                        forks[near_by] -= turn
+                    for k in range(FORK):  # the k-th decisions have their own weights
+                        move_decisions(k)
+                        theirs, their_total = forks[n << k:n << k + 1], total[n << k:n << k + 1]
+                        fork_slope = ways.log_odds(theirs, k)
+                        np.negative(fork_slope, out=fork_slope)
+                        np.exp(fork_slope, out=fork_slope)
+                        fork_slope += 1
+                        np.divide(1, fork_slope, out=fork_slope)
+                        fork_slope -= ways.right[k]
+                        fork_slope = fork_slope.astype(np.float64).ravel()
+                        for place in ways.places:  # of each feature
+                            np.add.at(their_total, place.ravel(), fork_slope)
                     used[n:] += np.bincount(ways.rows.ravel(), minlength=n)
+        move_classes()
+        for k in range(FORK):
+            move_decisions(k)
+        own = np.concatenate([own, forks.reshape(-1, n).T])
         row = np.flatnonzero(used)
         ends = np.arange(0, CLASSES * len(row) + 1, CLASSES, dtype=np.int32)
         yield pa.RecordBatch.from_arrays([
@@ -335,10 +409,10 @@ def _updates(shape: Shape, weights: np.ndarray, bias: np.ndarray, odds: np.ndarr
 
 def _scored(shape: Shape, weights: np.ndarray, bias: np.ndarray, odds: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, forks = weights[:shape.rows], weights[shape.rows:].reshape(-1)
+        own, forks = weights[:shape.rows], by_decision(weights[shape.rows:])
         for whole in batches:
-            for start in range(0, whole.num_rows, 256):
-                b = whole.slice(start, 256)
+            for start in range(0, whole.num_rows, 64):
+                b = whole.slice(start, 64)
                 hashes, classes, starts = _documents(b, [True] * b.num_rows)
                 features, chosen = context_features(hashes, starts), np.zeros(len(classes))
                 classes, codes = _targets(shape, hashes, classes)
