@@ -88,13 +88,13 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signs = np.ascontiguousarray(_projection[(_hashes(words.to_pylist()) % np.uint64(4096)).astype(np.int64)].T)
         for at in range(0, len(training), 256):  # bounds the temporary arrays
             numbers = np.concatenate(training[at:at + 256]).astype(np.int64)
-            counts += np.bincount(numbers, minlength=n)
+            np.add.at(counts, numbers, np.ones(len(numbers), np.int64))
             for k in range(SIGNS):
-                own = signs[k, numbers]
-                around = np.zeros(len(own), np.int8)
+                own = np.take(signs[k], numbers)
+                around = np.zeros(len(own), np.int64)
                 around[:-1] += own[1:]
                 around[1:] += own[:-1]
-                sums[k] += np.bincount(numbers, weights=around, minlength=n).astype(np.int64)
+                np.add.at(sums[k], numbers, around)
         return pa.RecordBatch.from_arrays([
             pa.array([unit] * n), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.binary()),
             pa.array(np.arange(n, dtype=np.int32)), words, pa.array(counts), *map(pa.array, sums),
