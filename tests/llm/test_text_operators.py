@@ -724,3 +724,89 @@ def test_suffix_order_by_short_symbols():
         assert [begins[k] for k in order] == sorted(begins)
         same = [b[:first] == a[:first] and len(b) >= first for a, b in zip([begins[k] for k in order], [begins[k] for k in order[1:]])]
         assert parted.tolist() == [True, *(not x for x in same)]
+
+
+def grouped(rows, key):
+    """Tables of the rows of one key each, as Spark hands them to a pass."""
+    return {k: rows.filter(pa.compute.equal(rows[key], k)) for k in sorted(set(rows[key].to_pylist()))}
+
+
+def repeat_codes(blocks, buckets):
+    """Codes for the anchors of each block, and what was sent for them."""
+    sent = pa.concat_tables([repeats._entries(50, buckets)(b) for b in blocks.values()])
+    codes = pa.concat_tables([repeats._shared(g) for g in grouped(sent, "bucket").values()])
+    return {k: codes.filter(pa.compute.equal(codes["block"], k)) for k in blocks}, sent
+
+
+def repeat_blocks(rows, n):
+    rows = [(i, t, k % n) for k, (i, t) in enumerate(rows)]
+    ids, texts, block = zip(*rows)
+    return grouped(pa.table({"_id": pa.array(ids, pa.int64()), "_bytes": pa.array(texts, pa.binary()), "_block": pa.array(block, pa.int32())}), "_block")
+
+
+@pytest.mark.parametrize("spread, groups", [(8_000, 2), (8_000, 30), (3, 3)])
+def test_repeats_by_groups_of_several_sets(spread, groups, monkeypatch):
+    """The passes one by one, with sets of 2 KB and groups that hold several of them or none, against all strings."""
+    monkeypatch.setattr(repeats, "SPREAD", spread)
+    monkeypatch.setattr(repeats, "SET_BYTES", 2_000)
+    rng = random.Random(6)
+    line = sentence(rng, 12).encode()
+    rows = [(k, sentence(rng, rng.randint(1, 40)).encode()) for k in range(60)]
+    rows += [(60 + k, sentence(rng, 9).encode() + b" " + line + b" " + sentence(rng, 9).encode()) for k in range(40)]
+    rows += [(200 - k, rows[k][1]) for k in range(10)] + [(None, rows[2][1]), (None, None), (7, b""), (3, b"a" * 900), (1, b"a" * 700), (3, b"\xff\0" * 90)]
+    blocks = repeat_blocks(rows, 4)
+    codes, _ = repeat_codes(blocks, 3)
+    assert {2} <= set(np.concatenate([repeats._codes(c) for c in codes.values()]).tolist()) or spread > 3
+    segments = pa.concat_tables([repeats._segments(50, groups)(b, codes[k]) for k, b in blocks.items()])
+    owners = pa.concat_tables([repeats._transforms(50)(g) for g in grouped(segments, "part").values()])
+    got = collections.Counter()
+    for k, block in blocks.items():
+        replies = pa.concat_tables([codes[k], owners.filter(pa.compute.equal(owners["block"], k))])
+        out = repeats._removal(50, groups, ["_id"], None)(block, replies).to_pylist()
+        got.update((r["_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_bytes"]) for r in out)
+    first, want = {}, collections.Counter()
+    for i, raw in rows:
+        for k in range(len(raw or b"") - 49):
+            first[raw[k:k + 50]] = min(first.get(raw[k:k + 50], 10**9), 10**9 if i is None else i)
+    for i, raw in ((i, t or b"") for i, t in rows):
+        gone = bytearray(len(raw))
+        for k in range(len(raw) - 49):
+            if first[raw[k:k + 50]] < (10**9 if i is None else i):
+                gone[k:k + 50] = b"\1" * 50
+        want[i, len(raw), sum(gone), len(re.findall(b"\1+", bytes(gone))), bytes(c for c, g in zip(raw, gone) if not g)] += 1
+    assert got == want
+
+
+def test_repeats_deal_anchors_evenly():
+    rng = random.Random(8)
+    rows = [(k, bytes(rng.choice(b"abcdefgh ") for _ in range(900))) for k in range(100)]
+    _, sent = repeat_codes(repeat_blocks(rows, 2), 12)
+    sizes = {k: sum(map(len, g["low"].to_pylist())) for k, g in grouped(sent, "bucket").items()}
+    assert len(sizes) == 12 and max(sizes.values()) < 0.2 * sum(sizes.values())
+
+
+def test_repeats_leave_out_short_common_phrases():
+    """Texts made of the same 20-byte phrases, which share no string of 50 bytes, are not compared any further."""
+    rng = random.Random(9)
+    phrases = [bytes(rng.choice(b"abcdefgh ") for _ in range(20)) for _ in range(400)]
+    codes, _ = repeat_codes(repeat_blocks([(k, b"".join(rng.choices(phrases, k=40))) for k in range(200)], 2), 3)
+    kinds = np.concatenate([repeats._codes(c) for c in codes.values()])
+    assert len(kinds) > 5_000 and (kinds > 0).mean() < 0.03
+
+
+def test_repeats_count_unlike_segments(monkeypatch):
+    """Inside a passage that many documents have, all segments are alike: only its ends are dealt out by whole strings."""
+    monkeypatch.setattr(repeats, "SPREAD", 20)
+    rng = random.Random(10)
+    letters = lambda n: bytes(rng.choice(b"abcdefgh ") for _ in range(n))
+    passage = letters(600)
+    codes, _ = repeat_codes(repeat_blocks([(k, letters(100) + passage + letters(100)) for k in range(100)], 2), 3)
+    kinds = np.concatenate([repeats._codes(c) for c in codes.values()])
+    assert (kinds == 2).sum() < (kinds == 1).sum() / 3
+
+
+def test_repeats_messages_grow_with_the_input():
+    """Messages between blocks and groups, one for each pair, stand for 2 KB of text at least; a group for 8 MB at most."""
+    for total in (0, 10**6, 10**8, 10**9, 10**10, 3 * 10**10):
+        groups, blocks = repeats.groups_for(total), max(1, total / repeats.BLOCK_BYTES)
+        assert total / groups <= 8 << 20 and (groups == 1 or total / (groups * blocks) > 2_000)

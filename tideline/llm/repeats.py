@@ -8,13 +8,17 @@ and stops at ``length``. Borders that are not set by then lie inside a group of
 suffixes that begin with one string.
 
 The transform of a whole corpus would not fit a task, so the corpus is dealt out
-by anchors first. Of all strings of 16 bytes inside a string of ``length`` bytes,
-the one of the smallest hash is its anchor; equal strings have equal anchors. The
-strings that follow one another with one anchor form a segment. Anchors of one
+by anchors first. Of all strings of 24 bytes inside a string of ``length`` bytes (16
+below 40), the one of the smallest hash is its anchor; equal strings have equal anchors.
+The strings that follow one another with one anchor form a segment. Anchors of one
 document alone are left out; the segments of all others meet by anchor, equal ones
 as one, and each set of about a megabyte gets its own transform. An anchor of many
-documents (a frequent line with ever other surroundings) is dealt out by whole
-strings instead, so that no set grows with it.
+unlike segments (a frequent line with ever other surroundings) is dealt out by whole
+strings instead, so that no set grows with it by more than a segment a block.
+
+Blocks and groups send each other a message for each pair of them. Groups hold several
+sets in a large corpus, so that messages stay a few kilobytes and their number in
+proportion to the input, up to MOST_GROUP; a message costs no step of Python.
 
 Passes, each over blocks of documents in a table bucketed by block, so that texts
 are shuffled once: anchors, which are shared, segments, transforms, removal.
@@ -32,6 +36,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,25 +46,41 @@ from tideline.llm.common import blocks_for, keeping_columns, mix
 from tideline.session import materialize
 
 LENGTH, ANCHOR = 50, 16
-BLOCK_BYTES, SET_BYTES, ENTRIES = 8 << 20, 1 << 20, 500_000
-SPREAD = 2_000  # documents from which an anchor is dealt out by whole strings
+LONG_ANCHOR, LONG_FROM = 24, 40  # in a large corpus most strings of 16 bytes come again somewhere
+BLOCK_BYTES, SET_BYTES, ENTRIES = 8 << 20, 1 << 20, 2_000_000
+MESSAGE, MOST_GROUP = 8 << 10, 8 << 20  # text for each pair of a block and a group, and for a group at most
+SPREAD = 8_000  # unlike segments, besides one a block, from which an anchor is dealt out by whole strings: they would fill a set
 LONGEST_RUN = 64
+RUN_BITS = np.uint64(20)
 SLICE = 1 << 17
 LAST = np.iinfo(np.int64).max
 
 
+def anchor_bytes(length: int) -> int:
+    return LONG_ANCHOR if length >= LONG_FROM else ANCHOR
+
+
+def groups_for(total: int) -> int:
+    """Number of groups of sets, of SET_BYTES to MOST_GROUP of text, for messages of MESSAGE where that allows it."""
+    return min(blocks_for(total, SET_BYTES), max(blocks_for(BLOCK_BYTES, MESSAGE), blocks_for(total, MOST_GROUP)))
+
+
 def window_minima(data: np.ndarray, length: int) -> np.ndarray:
-    """For each string of ``length`` bytes the smallest hash of the 16-byte strings in it."""
+    """For each string of ``length`` bytes the smallest hash of the strings of anchor_bytes in it."""
     out = np.zeros(max(0, len(data) - length + 1), np.uint64)
-    width = length - ANCHOR + 1
+    size = anchor_bytes(length)
+    width, words = length - size + 1, range(8, size, 8)
     for at in range(0, len(out), SLICE):
         part = data[at:at + SLICE + length - 1].astype(np.uint64)
         word = part[:-1] | part[1:] << np.uint64(8)
         word = word[:-2] | word[2:] << np.uint64(16)
         word = word[:-4] | word[4:] << np.uint64(32)
-        h = word[:-8] * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(32)
-        h += word[8:]
+        n = len(part) - size + 1
+        h = word[:n].copy()
+        for k in words:
+            h *= np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(32)
+            h += word[k:k + n]
         h *= np.uint64(0xC2B2AE3D27D4EB4F)
         h ^= h >> np.uint64(29)
         span = 1
@@ -97,24 +118,42 @@ class Block:
         nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         self.begin = np.repeat(begin, pieces) + nth * LONGEST_RUN
         self.stop = np.minimum(self.begin + LONGEST_RUN, np.repeat(stop, pieces))
-        self.doc, self.anchor = np.repeat(doc, pieces), np.repeat(minima[begin], pieces)
+        # minima crowd at the low end; scrambled, they part evenly. The low bits are left for a run's number
+        self.doc, self.anchor = np.repeat(doc, pieces), np.repeat(mix(minima[begin]) >> RUN_BITS << RUN_BITS, pieces)
+
+    def by_anchor(self) -> np.ndarray:
+        """Numbers of the runs in order of their anchors, those of one anchor in order of their places."""
+        n = len(self.anchor)
+        if n >> int(RUN_BITS):
+            return np.argsort(self.anchor, kind="stable")
+        numbered = self.anchor | np.arange(n, dtype=np.uint64)
+        numbered.sort()
+        return (numbered & (np.uint64(1) << RUN_BITS) - np.uint64(1)).view(np.int64)
 
     def entries(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct anchors in order, and in how many documents of the block each is."""
-        order = np.argsort(self.anchor, kind="stable")
-        anchor, doc = self.anchor[order], self.doc[order]
+        """Distinct anchors in order, and for each 1 if it is in one document of the block, else 1 more than
+        it has unlike segments there, up to 255."""
+        order = self.by_anchor()
+        anchor, doc = taken(self.anchor, order), taken(self.doc, order)
         if not len(anchor):
             return anchor, np.zeros(0, np.uint8)
-        new = np.append(True, anchor[1:] != anchor[:-1])
-        docs = np.add.reduceat(new | np.append(True, doc[1:] != doc[:-1]), np.flatnonzero(new))
-        return anchor[new], np.minimum(docs, 255).astype(np.uint8)
+        new = changes(anchor)
+        at, number = np.flatnonzero(new), np.cumsum(new) - 1
+        found = np.add.reduceat(new | changes(doc), at, dtype=np.int64)
+        several = np.flatnonzero(taken(found > 1, number))
+        run = order[several]
+        pairs = zip(
+            number[several].tolist(), self.begin[run].tolist(), (self.stop[run] + self.length - 1).tolist()
+        )
+        unlike = {(k, self.data[x:y]) for k, x, y in pairs}
+        kinds = np.bincount(np.fromiter((k for k, _ in unlike), np.int64, len(unlike)), minlength=len(found))
+        return anchor[at], np.where(found > 1, np.minimum(1 + kinds, 255), 1).astype(np.uint8)
 
     def shared(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the runs whose anchors are shared (1) or hot (2), and all codes."""
-        order = np.argsort(self.anchor, kind="stable")
-        anchor, code = self.anchor[order], np.zeros(len(order), np.uint8)
-        if len(anchor):
-            code[order] = codes[np.cumsum(np.append(False, anchor[1:] != anchor[:-1]))]
+        order, code = self.by_anchor(), np.zeros(len(self.anchor), np.uint8)
+        if len(order):
+            code[order] = codes[np.cumsum(changes(taken(self.anchor, order))) - 1]
         return np.flatnonzero(code), code
 
 
@@ -339,50 +378,69 @@ def runs_of(found: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 # -- the passes ---------------------------------------------------------------------------
 
-ENTRY = "bucket int, block int, low binary, docs binary"
+ENTRY = "bucket int, block int, low binary, found binary"
 CODE = "block int, kind int, part int, a binary, b binary, c binary"
 SEGMENT = "part int, block int, anchors binary, sizes binary, owners binary, texts binary"
 
 
+def joined(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers in all rows of a binary column, one after the other, and how many bytes each row has."""
+    if not len(column):
+        return np.zeros(0, kind), np.zeros(0, np.int64)
+    whole = pa.concat_arrays(column.cast(pa.binary()).chunks)
+    stops = np.frombuffer(whole.buffers()[1], np.int32)[whole.offset:whole.offset + len(whole) + 1].astype(np.int64)
+    return np.frombuffer(whole.buffers()[2] or b"", np.uint8)[stops[0]:stops[-1]].view(kind), np.diff(stops)
+
+
+def dealt(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Rows of a binary column with so many of the values each."""
+    stops = np.append(0, np.cumsum(counts) * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(stops), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def stretches(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where stretches of equal values begin, and how long they are."""
+    at = np.flatnonzero(changes(values))
+    return at, np.diff(np.append(at, len(values)))
+
+
 def _entries(length: int, buckets: int):
     def run(group: pa.Table) -> pa.Table:
-        anchors, docs = Block(group.column("_bytes").to_pylist(), length).entries()
+        anchors, found = Block(group.column("_bytes").to_pylist(), length).entries()
         bucket = bucket_of(anchors, buckets)
-        cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket)) if len(bucket) else np.zeros(0, int)
-        block = group.column("_block")[0].as_py()
-        parts = [slice(a, b) for a, b in zip(cuts[:-1], cuts[1:])]
+        at, counts = stretches(bucket)
         return pa.table({
-            "bucket": pa.array([int(bucket[p.start]) for p in parts], pa.int32()),
-            "block": pa.array([block] * len(parts), pa.int32()),
-            "low": pa.array([anchors[p].astype(np.uint64).tobytes() for p in parts], pa.binary()),
-            "docs": pa.array([docs[p].tobytes() for p in parts], pa.binary()),
+            "bucket": pa.array(bucket[at].astype(np.int32)),
+            "block": pa.array(np.full(len(at), group.column("_block")[0].as_py(), np.int32)),
+            "low": dealt(anchors, counts), "found": dealt(found, counts),
         })
     return run
 
 
 def _shared(group: pa.Table) -> pa.Table:
     """Codes for the anchors of a bucket: 0 in one document, 1 shared, 2 hot; sent back to each block."""
-    anchors = [np.frombuffer(x, np.uint64) for x in group.column("low").to_pylist()]
-    docs = np.concatenate([np.frombuffer(x, np.uint8) for x in group.column("docs").to_pylist()])
-    values, at = np.unique(np.concatenate(anchors), return_inverse=True)
-    total = np.bincount(at, weights=docs, minlength=len(values))
-    code = ((total >= 2).astype(np.uint8) + (total >= SPREAD))[at].astype(np.uint8)
-    cuts = np.cumsum([0, *map(len, anchors)])
-    rows = group.num_rows
+    anchors, sizes = joined(group.column("low"), np.uint64)
+    found, _ = joined(group.column("found"), np.uint8)
+    order = np.argsort(anchors)
+    at, counts = stretches(taken(anchors, order))
+    found = taken(found, order).astype(np.int64)
+    kind = (np.add.reduceat(found, at) >= 2).astype(np.uint8)
+    kind += np.add.reduceat(np.maximum(found - 2, 0), at) >= SPREAD
+    code = np.empty(len(order), np.uint8)
+    code[order] = np.repeat(kind, counts)
+    nothing = pa.nulls(group.num_rows, pa.binary())
     return pa.table({
-        "block": group.column("block"), "kind": pa.array([0] * rows, pa.int32()), "part": group.column("bucket"),
-        "a": pa.array([code[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:])], pa.binary()),
-        "b": pa.array([None] * rows, pa.binary()), "c": pa.array([None] * rows, pa.binary()),
+        "block": group.column("block"), "kind": pa.array(np.zeros(group.num_rows, np.int32)), "part": group.column("bucket"),
+        "a": dealt(code, sizes // 8), "b": nothing, "c": nothing,
     })
 
 
-def _replies(replies: pa.Table, kind: int) -> list[dict]:
-    rows = [r for r in replies.to_pylist() if r["kind"] == kind]
-    return sorted(rows, key=lambda r: r["part"])
+def _replies(replies: pa.Table, kind: int) -> pa.Table:
+    return replies.filter(pc.equal(replies.column("kind"), kind)).sort_by("part")
 
 
 def _codes(replies: pa.Table) -> np.ndarray:
-    return np.frombuffer(b"".join(r["a"] for r in _replies(replies, 0)), np.uint8)
+    return joined(_replies(replies, 0).column("a"), np.uint8)[0]
 
 
 def _owner_ids(group: pa.Table) -> np.ndarray:
@@ -398,17 +456,15 @@ def _segments(length: int, sets: int):
         found = Segments(block, _codes(replies), sets)
         owner = np.full(len(found.texts), LAST)
         np.minimum.at(owner, found.number, ids[found.doc])
-        sizes = np.array([len(t) for t in found.texts], np.uint16)
-        cuts = np.flatnonzero(np.append(True, np.diff(found.part) > 0)) if len(found.part) else []
-        parts = [slice(x, y) for x, y in zip(cuts, [*cuts[1:], len(found.part)])]
-        number = group.column("_block")[0].as_py()
+        sizes = np.fromiter(map(len, found.texts), np.uint16, len(found.texts))
+        at, counts = stretches(found.part)
         return pa.table({
-            "part": pa.array([int(found.part[p.start]) for p in parts], pa.int32()),
-            "block": pa.array([number] * len(parts), pa.int32()),
-            "anchors": pa.array([found.anchor[p].tobytes() for p in parts], pa.binary()),
-            "sizes": pa.array([sizes[p].tobytes() for p in parts], pa.binary()),
-            "owners": pa.array([owner[p].tobytes() for p in parts], pa.binary()),
-            "texts": pa.array([b"".join(found.texts[p]) for p in parts], pa.binary()),
+            "part": pa.array(found.part[at].astype(np.int32)),
+            "block": pa.array(np.full(len(at), group.column("_block")[0].as_py(), np.int32)),
+            "anchors": dealt(found.anchor, counts), "sizes": dealt(sizes, counts), "owners": dealt(owner, counts),
+            "texts": dealt(
+                np.frombuffer(b"".join(found.texts), np.uint8), np.add.reduceat(sizes, at, dtype=np.int64) if len(at) else at
+            ),
         })
     return run
 
@@ -416,40 +472,33 @@ def _segments(length: int, sets: int):
 def _transforms(length: int):
     """Smallest owners for the segments of a set, sent back as runs to the blocks they came from."""
     def run(group: pa.Table) -> pa.Table:
-        known, sent, rows = Numbered(), [], group.to_pylist()
-        for row in rows:
-            stops = np.cumsum(np.frombuffer(row["sizes"], np.uint16).astype(np.int64)).tolist()
-            texts = row["texts"]
-            sent.append(np.fromiter(
-                map(known.__getitem__, [texts[x:y] for x, y in zip([0, *stops], stops)]), np.int64, len(stops)
-            ))
-        texts, number = list(known), np.concatenate(sent)
+        sizes, row_bytes = joined(group.column("sizes"), np.uint16)
+        coded = dealt(joined(group.column("texts"), np.uint8)[0], sizes.astype(np.int64)).dictionary_encode()
+        texts, number = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
         owner, anchor = np.full(len(texts), LAST), np.zeros(len(texts), np.uint64)
-        np.minimum.at(owner, number, np.concatenate([np.frombuffer(r["owners"], np.int64) for r in rows]))
-        anchor[number] = np.concatenate([np.frombuffer(r["anchors"], np.uint64) for r in rows])
+        np.minimum.at(owner, number, joined(group.column("owners"), np.int64)[0])
+        anchor[number] = joined(group.column("anchors"), np.uint64)[0]
         order = np.argsort(anchor, kind="stable")
-        size = np.cumsum([len(texts[k]) + 1 for k in order])
-        last = np.append(anchor[order][1:] != anchor[order][:-1], True)  # one anchor's segments stay together
+        texts, owner, anchor = texts.take(pa.array(order)).to_pylist(), owner[order], anchor[order]
+        size = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+        last = np.append(anchor[1:] != anchor[:-1], True)  # one anchor's segments stay together
         found, begun, done = [], 0, 0
         for at in np.flatnonzero(last).tolist():
             if size[at] - done >= SET_BYTES - (SET_BYTES >> 2) or at + 1 == len(order):
-                now = order[begun:at + 1]
-                found.append(first_owners([texts[k] for k in now], owner[now], length))
+                found.append(first_owners(texts[begun:at + 1], owner[begun:at + 1], length))
                 begun, done = at + 1, size[at]
         count, span, first = runs_of(np.concatenate([f for f, _ in found]), np.concatenate([c for _, c in found]))
-        start = np.cumsum(count) - count
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        answers = []
-        for numbers in sent:
-            at = place[numbers]
-            n = count[at]
-            index = np.repeat(start[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            answers.append((n.astype(np.uint16).tobytes(), span[index].astype(np.uint16).tobytes(), first[index].tobytes()))
+        at = place[number]
+        n = count[at]
+        index = np.repeat((np.cumsum(count) - count)[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        segments = row_bytes // 2
+        runs = np.add.reduceat(n, np.cumsum(segments) - segments)
         return pa.table({
-            "block": group.column("block"), "kind": pa.array([1] * len(sent), pa.int32()), "part": group.column("part"),
-            "a": pa.array([x for x, _, _ in answers], pa.binary()), "b": pa.array([x for _, x, _ in answers], pa.binary()),
-            "c": pa.array([x for _, _, x in answers], pa.binary()),
+            "block": group.column("block"), "kind": pa.array(np.ones(group.num_rows, np.int32)), "part": group.column("part"),
+            "a": dealt(n.astype(np.uint16), segments), "b": dealt(span[index].astype(np.uint16), runs),
+            "c": dealt(first[index], runs),
         })
     return run
 
@@ -460,11 +509,11 @@ def _removal(length: int, sets: int, columns: list[str], text: str | None):
         block = Block(texts, length)
         marks = np.zeros(len(block.data) + 1, np.int64)
         answers = _replies(replies, 1)
-        if answers:
+        if answers.num_rows:
             found = Segments(block, _codes(replies), sets)
-            count = np.frombuffer(b"".join(r["a"] for r in answers), np.uint16).astype(np.int64)
-            span = np.frombuffer(b"".join(r["b"] for r in answers), np.uint16).astype(np.int64)
-            first = np.frombuffer(b"".join(r["c"] for r in answers), np.int64)
+            count = joined(answers.column("a"), np.uint16)[0].astype(np.int64)
+            span = joined(answers.column("b"), np.uint16)[0].astype(np.int64)
+            first = joined(answers.column("c"), np.int64)[0]
             start = np.cumsum(count) - count
             before = np.cumsum(span) - span  # strings before a run, from the segment's first on
             before -= np.repeat(before[start], count)
@@ -509,7 +558,8 @@ def remove_repeats(
     columns = [c for c in docs.columns if c not in results and c != text]
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     blocks = blocks_for(total, BLOCK_BYTES)
-    buckets, sets = blocks_for(int(total * 0.06), ENTRIES), blocks_for(total, SET_BYTES)
+    anchors = 2 * total // (length - anchor_bytes(length) + 2)  # about: of so many places the least begins a run
+    buckets, sets = blocks_for(anchors, ENTRIES), groups_for(total)
     name = f"tideline_repeats_{uuid.uuid4().hex}"
     source = docs.select(
         *columns, F.col(key).cast("long").alias("_id"), F.col(text).cast("binary").alias("_bytes"),
