@@ -17,7 +17,7 @@ unlike segments (a frequent line with ever other surroundings) is dealt out by w
 strings instead, so that no set grows with it by more than a segment a block.
 
 Blocks and groups send each other a message for each pair of them. Groups hold several
-sets in a large corpus, so that messages stay a few kilobytes and their number in
+sets in a large corpus, so that messages stand for kilobytes and their number is in
 proportion to the input, up to MOST_GROUP; a message costs no step of Python.
 
 Passes, each over blocks of documents in a table bucketed by block, so that texts
@@ -48,7 +48,7 @@ from tideline.session import materialize
 LENGTH, ANCHOR = 50, 16
 LONG_ANCHOR, LONG_FROM = 24, 40  # in a large corpus most strings of 16 bytes come again somewhere
 BLOCK_BYTES, SET_BYTES, ENTRIES = 8 << 20, 1 << 20, 2_000_000
-MESSAGE, MOST_GROUP = 8 << 10, 8 << 20  # text for each pair of a block and a group, and for a group at most
+MESSAGE, MOST_GROUP = 4 << 10, 4 << 20  # text for each pair of a block and a group, and for a group at most
 SPREAD = 8_000  # unlike segments, besides one a block, from which an anchor is dealt out by whole strings: they would fill a set
 LONGEST_RUN = 64
 RUN_BITS = np.uint64(20)
@@ -461,7 +461,7 @@ def _segments(length: int, sets: int):
         return pa.table({
             "part": pa.array(found.part[at].astype(np.int32)),
             "block": pa.array(np.full(len(at), group.column("_block")[0].as_py(), np.int32)),
-            "anchors": dealt(found.anchor, counts), "sizes": dealt(sizes, counts), "owners": dealt(owner, counts),
+            "anchors": dealt((found.anchor >> np.uint64(32)).astype(np.uint32), counts), "sizes": dealt(sizes, counts), "owners": dealt(owner, counts),
             "texts": dealt(
                 np.frombuffer(b"".join(found.texts), np.uint8), np.add.reduceat(sizes, at, dtype=np.int64) if len(at) else at
             ),
@@ -475,9 +475,9 @@ def _transforms(length: int):
         sizes, row_bytes = joined(group.column("sizes"), np.uint16)
         coded = dealt(joined(group.column("texts"), np.uint8)[0], sizes.astype(np.int64)).dictionary_encode()
         texts, number = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
-        owner, anchor = np.full(len(texts), LAST), np.zeros(len(texts), np.uint64)
+        owner, anchor = np.full(len(texts), LAST), np.zeros(len(texts), np.uint32)  # half an anchor keeps equal ones together
         np.minimum.at(owner, number, joined(group.column("owners"), np.int64)[0])
-        anchor[number] = joined(group.column("anchors"), np.uint64)[0]
+        anchor[number] = joined(group.column("anchors"), np.uint32)[0]
         order = np.argsort(anchor, kind="stable")
         texts, owner, anchor = texts.take(pa.array(order)).to_pylist(), owner[order], anchor[order]
         size = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
